@@ -55,7 +55,7 @@ def _count_before(ranked: DataFrame, probes: DataFrame, strategy: str) -> DataFr
     """probes(node, at, pid_cols...) plus `hi`: edges of that node strictly before `at`."""
     extra = [c for c in probes.columns if c not in ("node", "at")]
     marks = (ranked.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("_edge"),
-                           F.col("rk").alias("_tie"),
+                           F.col("seq").alias("_tie"),
                            *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra])
              .unionByName(probes.withColumns({"_edge": F.lit(0), "_tie": F.lit(0).cast("bigint")})))
     # probes (0) sort before edges (1) of the same time: strictly earlier edges are counted

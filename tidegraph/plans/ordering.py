@@ -9,6 +9,7 @@ partition sums its own rows, and a table with at most one row per partition carr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,13 +40,13 @@ def fits_one_task(df: DataFrame, keys: Sequence[str], strategy: str = "auto") ->
 
 
 def _partition_offsets(spark: SparkSession, rows: list[tuple], sums: Sequence[str],
-                       start: Sequence[int] | None = None) -> DataFrame:
+                       start: Sequence[int] | None = None, sum_type: str = "bigint") -> DataFrame:
     """Exclusive prefix sums over partitions. `rows` holds one (pid, sums...) tuple per partition."""
     rows = sorted(rows)
-    types = ", ".join(f"_off_{name} bigint" for name in sums)
+    types = ", ".join(f"_off_{name} {sum_type}" for name in sums)
     columns = []
     for i, _ in enumerate(sums):
-        first = start[i] if start else 0
+        first = start[i] if start else (0 if sum_type == "bigint" else Decimal(0))
         columns.append(list(accumulate((row[1 + i] or 0 for row in rows), initial=first))[:-1])
     out = [(row[0], *(column[j] for column in columns)) for j, row in enumerate(rows)]
     return spark.createDataFrame(out, f"_pid int, {types}")
@@ -70,19 +71,22 @@ def dense_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "ord", sta
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
-                sums: dict[str, Column], strategy: str = "auto") -> DataFrame:
-    """Add inclusive running sums of bigint expressions per key in the total order `order_by`.
+                sums: dict[str, Column], strategy: str = "auto", big: bool = False) -> DataFrame:
+    """Add inclusive running sums of integer expressions per key in the total order `order_by`.
+
+    The sums are bigint, or decimal(38,0) with big=True.
 
     strategy: "plain" (one window per key), "ranged" (safe for any key size), or "auto", which
     measures the largest group. Without keys the plan is always ranged.
     """
     keys, order_by = list(keys), list(order_by)
     names = list(sums)
+    each, total = ("decimal(28,0)", "decimal(38,0)") if big else ("bigint", "bigint")
     if keys and fits_one_task(df, keys, strategy):
         window = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(window) for n, c in sums.items()})
+        return df.withColumns({n: F.sum(c.cast(each)).over(window) for n, c in sums.items()})
 
-    valued = df.withColumns({f"_val_{n}": c.cast("bigint") for n, c in sums.items()})
+    valued = df.withColumns({f"_val_{n}": c.cast(each) for n, c in sums.items()})
     ranged = freeze(valued.repartitionByRange(*keys, *order_by)
                     .withColumn("_pid", F.spark_partition_id()), "ranged")
     window = (Window.partitionBy("_pid", *keys).orderBy(*order_by)
@@ -101,6 +105,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
         joined = local.join(F.broadcast(carry), ["_pid", *keys], "left")
     else:
         rows = [tuple(r) for r in totals.collect()]
-        joined = local.join(F.broadcast(_partition_offsets(df.sparkSession, rows, names)), "_pid", "left")
-    return (joined.withColumns({n: F.col(n) + F.coalesce(f"_off_{n}", F.lit(0)) for n in names})
+        offsets = _partition_offsets(df.sparkSession, rows, names, sum_type=total)
+        joined = local.join(F.broadcast(offsets), "_pid", "left")
+    return (joined.withColumns({n: (F.col(n) + F.coalesce(f"_off_{n}", F.lit(0))).cast(total) for n in names})
             .select(*df.columns, *names))
