@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import freeze
+
 ROOT_KEYS = ("hop", "snapshot", "rid")
 _HOW = {"mean": F.avg, "max": F.max, "sum": F.sum}
 
@@ -47,6 +49,8 @@ def segment_softmax(samples: DataFrame, score: str, keys: Sequence[str] = ROOT_K
         return raised.withColumn(name, F.col("_x") / F.sum("_x").over(group)).drop("_x")
     peaks = samples.groupBy(*keys).agg(F.max(score).alias("_m"))
     raised = samples.join(peaks, list(keys)).withColumn("_x", F.exp(F.col(score) - F.col("_m"))).drop("_m")
+    # written, so that the sum combines on the map side and both joins may split a hot group
+    raised = freeze(raised, "softmax")
     sums = raised.groupBy(*keys).agg(F.sum("_x").alias("_s"))
     return raised.join(sums, list(keys)).withColumn(name, F.col("_x") / F.col("_s")).drop("_x", "_s")
 

@@ -45,17 +45,17 @@ def replay_sample(ordered: DataFrame, low: int, high: int, n: int, seed: int) ->
 
 
 def retrain_rows(ordered: DataFrame, low: int, start: int, end: int, ratio: float, seed: int) -> DataFrame:
-    """Replayed old rows followed by the new rows [start, end), with their position `at`."""
+    """Replayed old rows followed by the new rows [start, end), with their position `place`."""
     old = replay_sample(ordered, low, start, int(ratio * start), seed)
     new = ordered.filter((F.col("ord") >= start) & (F.col("ord") < end)).withColumn(
         "replay", F.lit(-1).cast("bigint"))
-    return dense_ordinal(old.unionByName(new), ["ord", "replay"], "at")
+    return dense_ordinal(old.unionByName(new), ["ord", "replay"], "place")
 
 
-def ordered_train_val(rows: DataFrame, val: float, at: str = "at", total: int | None = None) -> DataFrame:
+def ordered_train_val(rows: DataFrame, val: float, place: str = "place", total: int | None = None) -> DataFrame:
     """First int(n*(1-val))+1 rows train, the rest validate."""
     total = rows.count() if total is None else total
-    return rows.withColumn("part", F.when(F.col(at) < int(total * (1 - val)) + 1, "train").otherwise("val"))
+    return rows.withColumn("part", F.when(F.col(place) < int(total * (1 - val)) + 1, "train").otherwise("val"))
 
 
 def sliding_retention(stepped: DataFrame, step: int, window: int) -> DataFrame:

@@ -64,8 +64,6 @@ def partition_balanced(edges: DataFrame, parts: int, weight: str = "edgecount",
     if weight not in WEIGHTS:
         raise ValueError(f"weight must be one of {WEIGHTS}")
     rows = edges.select(F.col("src").alias("node"), "ts")
-    if ptable is not None:
-        rows = rows.join(ptable.select("node"), "node", "left_anti")
     if weight == "edgecount":
         per_node = rows.groupBy("node").agg(F.count(F.lit(1)).cast("decimal(28,0)").alias("w"))
     else:
@@ -73,6 +71,8 @@ def partition_balanced(edges: DataFrame, parts: int, weight: str = "edgecount",
         total = F.sum((F.col("ts") - F.lit(origin)).cast("decimal(28,0)"))
         value = total if weight == "timestampsum" else F.floor(total / F.count(F.lit(1)))
         per_node = rows.groupBy("node").agg(value.cast("decimal(28,0)").alias("w"))
+    if ptable is not None:
+        per_node = per_node.join(ptable.select("node"), "node", "left_anti")
     summed = freeze(running_sum(per_node, [], ["node"], {"cum": F.col("w")}, big=True), "weights")
     total = summed.agg(F.max("cum")).first()[0] or 0
     if total == 0:
@@ -106,9 +106,11 @@ def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float
     alpha = parts ** 0.5 * num_edges / max(max_node, 1) ** 1.5
     capacity = max_node * upsilon / parts
     fresh = new_sources(edges, ptable) if sources is None else sources
-    mine = edges.select(F.col("src").alias("node"), "dst").join(fresh.select("node"), "node", "left_semi")
-    placed = mine.join(ptable.select(F.col("node").alias("dst"), "pid"), "dst", "left")
-    near = placed.groupBy("node").agg(*[F.count_if(F.col("pid") == i).alias(f"n{i}") for i in range(parts)])
+    pairs = (edges.groupBy(F.col("src").alias("node"), "dst").agg(F.count(F.lit(1)).alias("c"))
+             .join(fresh.select("node"), "node", "left_semi"))
+    placed = pairs.join(ptable.select(F.col("node").alias("dst"), "pid"), "dst", "left")
+    near = placed.groupBy("node").agg(
+        *[F.sum(F.when(F.col("pid") == i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(parts)])
     scores = [F.col(f"n{i}") - F.lit(alpha * gamma * sizes[i] ** (gamma - 1)) if sizes[i] < capacity
               else F.lit(None).cast("double") for i in range(parts)]
     return near.select("node", _best(scores, min(range(parts), key=sizes.__getitem__)).alias("pid"))
@@ -128,8 +130,9 @@ def fennel_edge_round(edges: DataFrame, ptable: DataFrame, parts: int, slack: fl
     loads = _loads(owned, parts, F.sum("degree"))
     limit = slack * total / parts
     fresh = new_sources(edges, ptable) if sources is None else sources
-    pairs = (edges.select(F.col("src").alias("node"), "dst").join(fresh.select("node"), "node", "left_semi")
-             .groupBy("node", "dst").agg(F.count(F.lit(1)).alias("c")))
+    # counted per pair first: the rows of a hot source are spread by (node, dst)
+    pairs = (edges.groupBy(F.col("src").alias("node"), "dst").agg(F.count(F.lit(1)).alias("c"))
+             .join(fresh.select("node"), "node", "left_semi"))
     placed = pairs.join(owned.select(F.col("node").alias("dst"), "pid", "degree"), "dst", "left")
     near = placed.groupBy("node").agg(
         F.sum("c").alias("degree"),
@@ -288,7 +291,8 @@ def interleave_workers(edges: DataFrame, workers: int, pid: str = "new_pid") ->
     """Row j of a partition goes to worker j mod L; the trailing remainder is dropped."""
     sizes = edges.groupBy(pid).agg(F.count(F.lit(1)).alias("_size"))
     whole = F.col("_size") - F.col("_size") % workers
-    return (edges.join(sizes, pid).filter(F.col("pos") < whole)
+    # one row per partition, at most MAX_PARTITIONS
+    return (edges.join(F.broadcast(sizes), pid).filter(F.col("pos") < whole)
             .withColumn("worker", (F.col("pos") % workers).cast("int")).drop("_size"))
 
 

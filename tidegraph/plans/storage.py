@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidegraph/{label}-{uuid.uuid4().hex}"
+    """A new folder; all of one application lie together, so they can be dropped when it is over."""
+    return f"{shared_dir(spark)}/tidegraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame, label: str = "stage") -> DataFrame:
