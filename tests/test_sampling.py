@@ -139,24 +139,42 @@ def test_partitioned(small, roots_of, spark):
     assert placed.count() == 3
 
 
-def test_plain_equals_ranged_with_one_hot_source(spark):
+def test_plain_equals_ranged_with_one_hot_source(spark, monkeypatch):
     """A third of all edges and roots on one source, many equal times."""
     edges = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).cast("long").alias("src"),
         F.col("id").alias("dst"), (F.col("id") % 17).alias("ts"), F.col("id").alias("eid"),
         F.col("id").alias("seq"))
     roots = edges.select(F.col("eid").alias("rid"), F.col("src").alias("node"), "ts")
-    results = []
-    for strategy in ("plain", "ranged"):
-        ranked = S.rank_edges(edges, strategy=strategy)
-        results.append(set(map(tuple, S.sample_recent(ranked, roots, 5, strategy=strategy).collect())))
+    def run(strategy, **options):
+        return set(map(tuple, S.sample_recent(edges, roots, 5, strategy=strategy, **options).collect()))
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.tidegraph.maxGroupRows", "100")
     try:
-        ranked = S.rank_edges(edges)
-        results.append(set(map(tuple, S.sample_recent(ranked, roots, 5).collect())))
+        results = [run("plain"), run("ranged"), run("auto")]
+        monkeypatch.setattr(S, "MAX_LAGS", 0)
+        results += [run("plain"), run("ranged")]
+        uniform = [set(map(tuple, S.sample_uniform(S.rank_edges(edges, strategy=s), roots, 5, strategy=s).collect()))
+                   for s in ("plain", "ranged")]
     finally:
         spark.conf.unset("spark.tidegraph.maxGroupRows")
-    assert results[0] == results[1] == results[2] and len(results[0]) > 20000
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(results[0]) > 20000 and all(r == results[0] for r in results)
+    assert uniform[0] == uniform[1] and len(uniform[0]) > 20000
+
+
+def test_boundary_with_few_edges_and_many_roots(spark, monkeypatch):
+    """Whole partitions of roots: what came before must be carried across several of them."""
+    edges = spark.createDataFrame([(0, i, i, i, i) for i in range(7)], "src long, dst long, ts long, eid long, seq long")
+    roots = spark.range(4000).select(F.col("id").alias("rid"), F.lit(0).cast("long").alias("node"),
+                                     (F.col("id") % 9).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [set(map(tuple, S.sample_recent(edges, roots, 3, strategy=s).collect())) for s in ("plain", "ranged")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1] and len(got[0]) > 9000
 
 
 def test_compare_windows(small, roots_of):

@@ -1,20 +1,26 @@
-"""Temporal neighbour sampling by rank and probe.
+"""Temporal neighbour sampling.
 
 The obvious plan, joining roots to edges on `src = node AND ts < root_ts` and keeping the top k,
-does roots x degree work. Here edges get a rank per source once; each root finds, in one sorted
-pass over edges and roots together, how many edges lie before its time; the wanted neighbours are
-then single ranks, fetched by an equi join on (src, rank).
+does roots x degree work. Both plans here sort edges and roots together once per node instead.
+
+Most recent: in that order the k edges before a root are its answer; they are picked up with `lag`
+while passing, so the edges are shuffled once and nothing is joined.
+
+Uniform: edges also get a rank per source; each root counts the edges before its window's start and
+end, draws ranks between the two, and fetches them by an equi join on (src, rank).
+
+Neither needs a whole node in one task: see plans/ordering.py and _last_k_ranged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..plans.ordering import dense_ordinal, running_sum
+from ..plans.ordering import dense_ordinal, fits_one_task, running_sum
 from ..plans.storage import freeze
 
 SAMPLE_COLUMNS = ("hop", "snapshot", "rid", "slot", "root_node", "root_ts", "src_node", "eid",
@@ -80,26 +86,98 @@ def _finish(picked: DataFrame, ranked: DataFrame, hop: int, prop_time: bool, sta
         (root_ts - F.col("edge_ts")).alias("dt"), "start")
 
 
-def recent_within(ranked: DataFrame, bounds: DataFrame, k: int, prop_time: bool = False, hop: int = 0,
-                  static: bool = False, strategy: str = "auto") -> DataFrame:
-    """The newest k edges in [start, end) of each row of `bounds`."""
+# Above this the most recent k are fetched by rank like the uniform ones: lag columns grow with k.
+MAX_LAGS = 32
+
+
+def _with_last_k(marks: DataFrame, keys: Sequence[str], order_by: Sequence[str], k: int) -> DataFrame:
+    """Add `_last`: the k nearest preceding edge payloads (`_edge` of probes is NULL), newest first."""
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order_by)})"
+    lags = [F.expr(f"lag(_edge, {j}) IGNORE NULLS {over}") for j in range(1, k + 1)]
+    return marks.withColumn("_last", F.array(*lags))
+
+
+def _last_k_ranged(marks: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
+    """`_last` for nodes of any size: a node may continue over several range partitions.
+
+    Every partition finishes its own rows. What a continued node had before comes from a table of
+    the last k edges at each partition boundary: at most k rows per partition, whatever the data.
+    """
+    ranged = freeze(marks.repartitionByRange("node", *order_by).withColumn("_pid", F.spark_partition_id()), "ranged")
+    local = _with_last_k(ranged, ["_pid", "node"], order_by, k).filter("_edge IS NULL")
+    # only the highest node of a partition can continue in the next one
+    tops = ranged.groupBy("_pid").agg(F.max("node").alias("node"))
+    newest = Window.partitionBy("_pid", "node").orderBy(F.desc("at"), F.desc("_tie"))
+    tails = (ranged.filter("_edge IS NOT NULL").join(F.broadcast(tops), ["_pid", "node"])
+             .withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= k))
+    spans = ranged.select("_pid", "node").distinct().join(
+        F.broadcast(tops.select("node").distinct()), "node")
+    bounds = tails.select("node", "_pid", F.lit(1).alias("_kind"), "at", "_tie", "_edge").unionByName(
+        spans.select("node", "_pid", F.lit(0).alias("_kind")), allowMissingColumns=True)
+    # per node at most (k + 1) rows per partition
+    carried = (_with_last_k(bounds, ["node"], ["_pid", "_kind", "at", "_tie"], k).filter("_kind = 0")
+               .select("_pid", "node", F.col("_last").alias("_before")))
+    # one row per continued node and partition: bounded by twice the number of partitions
+    joined = local.join(F.broadcast(carried), ["_pid", "node"], "left")
+    full = F.when(F.col("_before").isNull(), F.col("_last")).otherwise(F.concat("_last", "_before"))
+    known = F.filter(full, lambda e: e.isNotNull())
+    return joined.withColumn("_last", F.slice(known, 1, k))
+
+
+def _last_k(edges: DataFrame, probes: DataFrame, k: int, strategy: str) -> DataFrame:
+    """probes(node, at, rid, snapshot, ...) plus `_last`: the k newest edges strictly before `at`."""
+    extra = [c for c in probes.columns if c not in ("node", "at")]
+    payload = F.struct(F.col("ts").alias("edge_ts"), F.col("dst").alias("src_node"), "eid")
+    marks = edges.select(
+        F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("_kind"), F.col("seq").alias("_tie"),
+        payload.alias("_edge"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra])
+    marks = marks.unionByName(probes.withColumns({
+        "_kind": F.lit(0), "_tie": F.lit(0).cast("bigint"), "_edge": F.lit(None).cast(marks.schema["_edge"].dataType)}))
+    # probes (0) sort before edges (1) of the same time: only strictly earlier edges are seen
+    order_by = ["at", "_kind", "_tie", *_tie_columns(extra)]
+    if fits_one_task(marks, ["node"], strategy):
+        return _with_last_k(marks, ["node"], order_by, k).filter("_edge IS NULL")
+    return _last_k_ranged(marks, order_by, k)
+
+
+def _recent_by_rank(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool, hop: int, static: bool,
+                    strategy: str) -> DataFrame:
+    ranked = edges if "rk" in edges.columns else rank_edges(edges, static=True, strategy=strategy)
     probes = bounds.select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start", "end")
     placed = _count_before(ranked, probes, strategy).filter("hi > 0")
     slots = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(k).cast("bigint"), F.col("hi")) - 1)
     picked = placed.withColumn("slot", F.explode(slots)).withColumn("rk", F.col("hi") - F.col("slot"))
+    return _finish(picked, ranked, hop, prop_time, static)
+
+
+def recent_within(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool = False, hop: int = 0,
+                  static: bool = False, strategy: str = "auto") -> DataFrame:
+    """The newest k edges in [start, end) of each row of `bounds`."""
+    if k > MAX_LAGS:
+        found = _recent_by_rank(edges, bounds, k, prop_time, hop, static, strategy)
+    else:
+        probes = bounds.select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start")
+        seen = _last_k(edges, probes, k, strategy)
+        known = F.filter("_last", lambda e: e.isNotNull())
+        each = seen.select("rid", "snapshot", "start", F.col("node").alias("root_node"),
+                           F.col("at" if static else "ts").alias("root_ts"),
+                           F.posexplode(known).alias("slot", "e"))
+        found = each.select(
+            F.lit(hop).alias("hop"), "snapshot", "rid", "slot", "root_node", "root_ts", "e.src_node", "e.eid",
+            "e.edge_ts", F.col("root_ts" if prop_time else "e.edge_ts").alias("out_ts"),
+            (F.col("root_ts") - F.col("e.edge_ts")).alias("dt"), "start")
     # the newest k before `end` that are also >= start are the newest k of the window
-    found = _finish(picked, ranked, hop, prop_time, static)
     if not static:
         found = found.filter("edge_ts >= start")
     return found.select(*SAMPLE_COLUMNS)
 
 
-def sample_recent(ranked: DataFrame, roots: DataFrame, k: int, window=0, snapshots: int = 1,
+def sample_recent(edges: DataFrame, roots: DataFrame, k: int, window=0, snapshots: int = 1,
                   prop_time: bool = False, hop: int = 0, static: bool = False,
                   strategy: str = "auto") -> DataFrame:
     """The k most recent neighbours strictly before each root's time (newest first, `slot` 0)."""
     bounds = window_bounds(roots, snapshots, window, static)
-    return recent_within(ranked, bounds, k, prop_time, hop, static, strategy)
+    return recent_within(edges, bounds, k, prop_time, hop, static, strategy)
 
 
 def sample_uniform(ranked: DataFrame, roots: DataFrame, k: int, window=0, snapshots: int = 1,
@@ -127,13 +205,13 @@ def sample_uniform(ranked: DataFrame, roots: DataFrame, k: int, window=0, snapsh
     return _finish(picked, ranked, hop, prop_time, static).select(*SAMPLE_COLUMNS)
 
 
-def sample_layer(ranked: DataFrame, roots: DataFrame, k: int, how: str = "recent", hop: int = 0,
+def sample_layer(edges: DataFrame, roots: DataFrame, k: int, how: str = "recent", hop: int = 0,
                  snapshot: int | None = None, snapshots: int = 1, window=0, seed: int = 0, **options) -> DataFrame:
-    """One hop, optionally one snapshot of several."""
+    """One hop, optionally one snapshot of several. Uniform sampling needs ranked edges."""
     if how == "recent":
-        found = sample_recent(ranked, roots, k, window, snapshots, hop=hop, **options)
+        found = sample_recent(edges, roots, k, window, snapshots, hop=hop, **options)
     elif how == "uniform":
-        found = sample_uniform(ranked, roots, k, window, snapshots, seed, hop=hop, **options)
+        found = sample_uniform(edges, roots, k, window, snapshots, seed, hop=hop, **options)
     else:
         raise ValueError(f"unknown sampling {how!r}")
     return found if snapshot is None else found.filter(F.col("snapshot") == snapshot)
@@ -142,8 +220,9 @@ def sample_layer(ranked: DataFrame, roots: DataFrame, k: int, how: str = "recent
 def sample_static(edges: DataFrame, roots: DataFrame, k: int, how: str = "recent", seed: int = 0,
                   strategy: str = "auto") -> DataFrame:
     """Sample from the whole history: the graph is read as having no time."""
-    ranked = rank_edges(edges, static=True, strategy=strategy)
-    return sample_layer(ranked, roots, k, how, seed=seed, static=True, strategy=strategy)
+    if how == "uniform":
+        edges = rank_edges(edges, static=True, strategy=strategy)
+    return sample_layer(edges, roots, k, how, seed=seed, static=True, strategy=strategy)
 
 
 def frontier(roots: DataFrame, samples: DataFrame, k: int, span: int, snapshot: int = 0) -> DataFrame:
@@ -162,9 +241,10 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
                      snapshots: int = 1, window=0, seed: int = 0, prop_time: bool = False,
                      static: bool = False, strategy: str = "auto", max_rid: int | None = None) -> list[DataFrame]:
     """Samples of every hop, outermost (last) hop first. Every hop is written before the next reads it."""
-    ranked = rank_edges(edges, snapshots, window, static, strategy)
-    if len(fanouts) > 1:
-        ranked = freeze(ranked, "ranked")
+    if how == "uniform" or max(fanouts) > MAX_LAGS:
+        edges = rank_edges(edges, snapshots, window, static, strategy)
+        if len(fanouts) > 1:
+            edges = freeze(edges, "ranked")
     if max_rid is None:
         max_rid = roots.agg(F.max("rid")).first()[0]
     span = (max_rid if max_rid is not None else -1) + 1
@@ -173,11 +253,11 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
     for hop, k in enumerate(fanouts):
         options = dict(prop_time=prop_time, static=static, strategy=strategy)
         if hop == 0:
-            layer = sample_layer(ranked, roots, k, how, hop, None, snapshots, window, seed, **options)
+            layer = sample_layer(edges, roots, k, how, hop, None, snapshots, window, seed, **options)
         else:
             layer = None
             for s, front in current.items():
-                part = _one_snapshot(ranked, front, k, how, hop, s, snapshots, window, seed, options)
+                part = _one_snapshot(edges, front, k, how, hop, s, snapshots, window, seed, options)
                 layer = part if layer is None else layer.unionByName(part)
         if hop + 1 < len(fanouts):
             layer = freeze(layer, f"hop{hop}")
@@ -187,16 +267,16 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
     return layers[::-1]
 
 
-def _one_snapshot(ranked, front, k, how, hop, snapshot, snapshots, window, seed, options) -> DataFrame:
+def _one_snapshot(edges, front, k, how, hop, snapshot, snapshots, window, seed, options) -> DataFrame:
     """Sample one snapshot of several: only that window is probed."""
     if snapshots == 1:
-        return sample_layer(ranked, front, k, how, hop, None, 1, window, seed, **options)
+        return sample_layer(edges, front, k, how, hop, None, 1, window, seed, **options)
     shift = (snapshots - 1 - snapshot) * window
     if how == "recent":
         bounds = (front.withColumn("snapshot", F.lit(snapshot))
                   .withColumn("end", F.col("ts") - shift).withColumn("start", F.col("end") - window))
-        return recent_within(ranked, bounds, k, options["prop_time"], hop, False, options["strategy"])
-    return sample_layer(ranked, front, k, how, hop, snapshot, snapshots, window, seed, **options)
+        return recent_within(edges, bounds, k, options["prop_time"], hop, False, options["strategy"])
+    return sample_layer(edges, front, k, how, hop, snapshot, snapshots, window, seed, **options)
 
 
 def to_block(samples: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +310,7 @@ def sample_partitioned(edges: DataFrame, roots: DataFrame, ptable: DataFrame, k:
     """
     placed = roots.join(ptable.select("node", "pid"), "node", "left")
     owned = placed.filter(F.col("pid").isNotNull())
-    found = sample_recent(rank_edges(edges, 1, window, strategy=strategy), owned, k, window, strategy=strategy)
+    found = sample_recent(edges, owned, k, window, strategy=strategy)
     return (found.join(owned.select("rid", "pid"), "rid"), placed.select("rid", "node", "ts", "pid"))
 
 
@@ -249,9 +329,8 @@ def compare_windows(edges: DataFrame, roots: DataFrame, k: int, windows: Sequenc
 
     `snapshot` is the position in `windows`.
     """
-    ranked = rank_edges(edges, len(windows), max(windows), strategy=strategy)
     options = F.array(*[F.struct(F.lit(i).alias("snapshot"), F.lit(w).alias("w")) for i, w in enumerate(windows)])
     spread = roots.select("rid", "node", "ts", F.explode(options).alias("o"))
     start = F.when(F.col("o.w") < 1e-6, F.col("ts") * 0).otherwise(F.col("ts") - F.col("o.w"))
     bounds = spread.select("rid", "node", "ts", "o.snapshot", start.alias("start"), F.col("ts").alias("end"))
-    return recent_within(ranked, bounds, k, strategy=strategy)
+    return recent_within(edges, bounds, k, strategy=strategy)

@@ -18,7 +18,7 @@ PAIRS = ", ".join(f"round(CAST({{v}}[{i + 1}] AS DOUBLE), 6) AS f{i}" for i in (
 
 
 def recent5(spark, sf):
-    return S.sample_recent(S.rank_edges(event_edges(spark, sf)), event_roots(spark, sf), 5)
+    return S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), 5)
 
 
 def ends(column: str, *keep: str):

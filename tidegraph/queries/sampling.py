@@ -56,24 +56,29 @@ def _long(df, columns=OUT):
 @query(recent_sql("ev", "roots"))
 def sample_recent(spark, sf):
     """For every event, the user's last 10 earlier items with elapsed time."""
-    return _long(S.sample_recent(S.rank_edges(event_edges(spark, sf)), event_roots(spark, sf), K))
+    return _long(S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), K))
 
 
 @query(recent_sql("rv", "end_roots"))
 def sample_recent_both_ways(spark, sf):
-    return _long(S.sample_recent(S.rank_edges(both_ways(spark, sf)), end_roots(spark, sf), K))
+    return _long(S.sample_recent(both_ways(spark, sf), end_roots(spark, sf), K))
 
 
 @query(recent_sql("ev", "roots"))
 def sample_recent_hot_safe(spark, sf):
     """The plan for sources too large for one task, on the same data."""
-    ranked = S.rank_edges(event_edges(spark, sf), strategy="ranged")
-    return _long(S.sample_recent(ranked, event_roots(spark, sf), K, strategy="ranged"))
+    return _long(S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), K, strategy="ranged"))
 
 
 @query(recent_sql("rv", "end_roots", window=DAY))
 def sample_recent_in_window(spark, sf):
-    return _long(S.sample_recent(S.rank_edges(both_ways(spark, sf), window=DAY), end_roots(spark, sf), K, window=DAY))
+    return _long(S.sample_recent(both_ways(spark, sf), end_roots(spark, sf), K, window=DAY))
+
+
+@query(recent_sql("ev", "roots", 50))
+def sample_recent_large_fanout(spark, sf):
+    """Fanouts too large for lag columns are fetched by rank."""
+    return _long(S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), 50))
 
 
 @query("WITH oes AS (SELECT *, eid AS seq FROM oe), o_roots AS (SELECT eid AS rid, src AS node, ts FROM oe) "
@@ -82,7 +87,7 @@ def sample_recent_with_ties(spark, sf):
     """Day-grained order lines: many equal times."""
     edges = order_edges(spark, sf)
     roots = edges.select(F.col("eid").alias("rid"), F.col("src").alias("node"), "ts")
-    return _long(S.sample_recent(S.rank_edges(edges), roots, K))
+    return _long(S.sample_recent(edges, roots, K))
 
 
 @query(uniform_sql("rv", "end_roots", K, None, SEED))
@@ -98,8 +103,7 @@ def sample_uniform_in_window(spark, sf):
 
 @query(snapshots_sql("rv", "end_roots", 5, 3, DAY))
 def sample_snapshots(spark, sf):
-    ranked = S.rank_edges(both_ways(spark, sf), 3, DAY)
-    return _long(S.sample_recent(ranked, end_roots(spark, sf), 5, DAY, 3), SNAP)
+    return _long(S.sample_recent(both_ways(spark, sf), end_roots(spark, sf), 5, DAY, 3), SNAP)
 
 
 HOPS = """WITH hop0 AS ({first}), span AS (SELECT max(rid) + 1 AS s FROM end_roots),
@@ -145,8 +149,7 @@ def sample_multi_hop_snapshots(spark, sf):
 
 @query("SELECT * FROM (" + snapshots_sql("rv", "end_roots", 5, 3, DAY) + ") WHERE snapshot = 1")
 def sample_layer(spark, sf):
-    ranked = S.rank_edges(both_ways(spark, sf), 3, DAY)
-    return _long(S.sample_layer(ranked, end_roots(spark, sf), 5, "recent", 0, 1, 3, DAY), SNAP)
+    return _long(S.sample_layer(both_ways(spark, sf), end_roots(spark, sf), 5, "recent", 0, 1, 3, DAY), SNAP)
 
 
 @query("""SELECT rid, slot, src_node, eid FROM (SELECT r.rid, e.dst AS src_node, e.eid,
@@ -164,7 +167,7 @@ def sample_static(spark, sf):
       root_ts - edge_ts AS dt FROM recent5 JOIN r USING (rid)""")
 def to_block(spark, sf):
     roots = event_roots(spark, sf)
-    edges, _ = S.to_block(S.sample_recent(S.rank_edges(event_edges(spark, sf)), roots, 5), roots)
+    edges, _ = S.to_block(S.sample_recent(event_edges(spark, sf), roots, 5), roots)
     return edges.select("row", "col", "eid", "dt")
 
 
@@ -174,7 +177,7 @@ def to_block(spark, sf):
     FROM recent5 JOIN r USING (rid)""")
 def block_frontier(spark, sf):
     roots = event_roots(spark, sf)
-    return S.to_block(S.sample_recent(S.rank_edges(event_edges(spark, sf)), roots, 5), roots)[1]
+    return S.to_block(S.sample_recent(event_edges(spark, sf), roots, 5), roots)[1]
 
 
 @query("""SELECT (SELECT count(*) FROM roots) AS num_dst_nodes,
@@ -182,7 +185,7 @@ def block_frontier(spark, sf):
     (SELECT count(*) FROM recent5) AS num_edges""")
 def block_counts(spark, sf):
     roots = event_roots(spark, sf)
-    return S.block_counts(*S.to_block(S.sample_recent(S.rank_edges(event_edges(spark, sf)), roots, 5), roots))
+    return S.block_counts(*S.to_block(S.sample_recent(event_edges(spark, sf), roots, 5), roots))
 
 
 @query("SELECT s.*, pid FROM (" + recent_sql("rv", "end_roots", 5) + ") s JOIN item_pt ON node = root_node")
@@ -195,7 +198,7 @@ def sample_partitioned(spark, sf):
 @query("SELECT node FROM roots UNION SELECT src_node FROM recent5")
 def unique_frontier(spark, sf):
     roots = event_roots(spark, sf)
-    samples = S.sample_recent(S.rank_edges(event_edges(spark, sf)), roots, 5)
+    samples = S.sample_recent(event_edges(spark, sf), roots, 5)
     return S.unique_frontier(roots.select("node").union(samples.select("src_node")))
 
 
