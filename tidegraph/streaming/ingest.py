@@ -38,8 +38,13 @@ def stream_edges(stream: DataFrame, graph_path: str, checkpoint: str) -> Streami
     A micro-batch owns its folder and overwrites it when repeated, so a retry adds nothing twice.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        (batch.repartitionByRange("src", "ts", "eid").sortWithinPartitions("src", "ts", "eid")
-         .write.mode("overwrite").parquet(f"{graph_path}/batch={batch_id}"))
+        # range bounds are sampled first: without this the stateful plan would run twice
+        batch = batch.persist()
+        try:
+            (batch.repartitionByRange("src", "ts", "eid").sortWithinPartitions("src", "ts", "eid")
+             .write.mode("overwrite").parquet(f"{graph_path}/batch={batch_id}"))
+        finally:
+            batch.unpersist()
 
     return (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
