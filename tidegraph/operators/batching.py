@@ -13,9 +13,14 @@ from ..plans.ordering import dense_ordinal
 ROLES = ("src", "dst", "neg")
 
 
+def _ordered(edges: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Edges with their global position; an `ord` that is already there is used as it is."""
+    return edges if "ord" in edges.columns else dense_ordinal(edges, order_by)
+
+
 def fixed_batches(edges: DataFrame, size: int, order_by: Sequence[str] = ("eid",)) -> DataFrame:
     """`ord` = global position, `batch_id` = ord div size, `pos` = position in the batch."""
-    ordered = dense_ordinal(edges, order_by)
+    ordered = _ordered(edges, order_by)
     return ordered.withColumns({"batch_id": F.floor(F.col("ord") / size), "pos": F.col("ord") % size})
 
 
@@ -34,7 +39,7 @@ def random_start_short(edges: DataFrame, size: int, chunks: int, r: int, drop_la
     if not 0 < chunks < size:
         raise ValueError("chunks must be in (0, size)")
     first = r * (size // chunks)
-    ordered = dense_ordinal(edges, order_by)
+    ordered = _ordered(edges, order_by)
     rest = F.col("ord") - first
     lead = 1 if first else 0
     out = ordered.withColumns({
@@ -51,7 +56,7 @@ def random_start_short(edges: DataFrame, size: int, chunks: int, r: int, drop_la
 def rank_shard(edges: DataFrame, rank: int, world: int, size: int | None = None,
                order_by: Sequence[str] = ("eid",)) -> DataFrame:
     """Every world-th row from `rank` on, renumbered by arithmetic, optionally batched."""
-    ordered = dense_ordinal(edges, order_by)
+    ordered = _ordered(edges, order_by)
     mine = ordered.filter(F.pmod("ord", F.lit(world)) == rank).withColumn("ord", F.floor((F.col("ord") - rank) / world))
     if size is None:
         return mine

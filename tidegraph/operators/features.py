@@ -15,6 +15,22 @@ def attach_node_features(front: DataFrame, feats: DataFrame, key: str = "node")
     return front.join(feats.select(F.col("id").alias(key), "feat"), key, "left")
 
 
+def attach_with_hot(front: DataFrame, feats: DataFrame, hot: DataFrame, key: str = "node",
+                    max_hot: int = 100_000) -> DataFrame:
+    """attach_node_features with the hot ids' rows joined by broadcast and only the rest shuffled.
+
+    The hot side is counted first; above `max_hot` rows the plain join is used.
+    """
+    if hot.count() > max_hot:
+        return attach_node_features(front, feats, key)
+    ids = hot.select(F.col("id").alias(key)).distinct()
+    by_id = feats.select(F.col("id").alias(key), "feat")
+    hot_feats = F.broadcast(by_id.join(F.broadcast(ids), key, "left_semi"))
+    often = front.join(F.broadcast(ids), key, "left_semi").join(hot_feats, key, "left")
+    seldom = front.join(F.broadcast(ids), key, "left_anti").join(by_id, key, "left")
+    return often.unionByName(seldom)
+
+
 def attach_edge_features(samples: DataFrame, feats: DataFrame) -> DataFrame:
     return samples.join(feats.select("eid", "feat"), "eid", "left")
 

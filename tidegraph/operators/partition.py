@@ -8,6 +8,8 @@ sequential run would give, with the same score and capacity rules.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,21 +156,20 @@ def _accept(choices: DataFrame, loads: list[int], capacity: float, weight: str)
 
 
 def _fill(left: DataFrame, loads: list[int], weight: str, parts: int) -> DataFrame:
-    """Nodes no partition had room for: laid end to end over the free room, least loaded first."""
+    """Nodes no partition had room for: laid end to end over the room below one common level.
+
+    The level takes the remaining weight exactly; the least loaded partitions are filled first.
+    """
     summed = running_sum(left, [], [weight, "node"], {"_cum": F.col(weight)})
-    total = summed.agg(F.max("_cum")).first()[0] or 0
+    total = left.agg(F.sum(weight)).first()[0] or 0
     order = sorted(range(parts), key=lambda i: (loads[i], i))
-    # raise every partition to one common level that takes the remaining weight
-    level, room = 0.0, [0.0] * parts
-    for used in range(1, parts + 1):
-        level = (total + sum(loads[i] for i in order[:used])) / used
-        if used == parts or level <= loads[order[used]]:
-            room = [max(0.0, level - loads[i]) if i in order[:used] else 0.0 for i in range(parts)]
-            break
-    edge, pid = 0.0, F.lit(order[0])
-    for i in order:
-        pid = F.when(F.col("_cum") - F.col(weight) >= F.lit(edge), F.lit(i)).otherwise(pid) if room[i] else pid
-        edge += room[i]
+    below = [0, *accumulate(loads[i] for i in order)]
+    used = next(u for u in range(1, parts + 1)
+                if u == parts or total + below[u] <= u * loads[order[u]])
+    pid = F.lit(order[0])
+    for i in range(1, used):
+        start = -((used * below[i] - i * (total + below[used])) // used)
+        pid = F.when(F.col("_cum") - F.col(weight) >= start, F.lit(order[i])).otherwise(pid)
     return summed.withColumn("pid", pid).select("node", "pid")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw
 from ..plans.ordering import dense_ordinal, fits_one_task, running_sum
 from ..plans.storage import freeze
+from ..schema import SamplingPreset
 
 SAMPLE_COLUMNS = ("hop", "snapshot", "rid", "slot", "root_node", "root_ts", "src_node", "eid",
                   "edge_ts", "out_ts", "dt")
@@ -267,6 +268,13 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
     return layers[::-1]
 
 
+def sample_preset(edges: DataFrame, roots: DataFrame, preset: SamplingPreset, seed: int = 0,
+                  strategy: str = "auto") -> list[DataFrame]:
+    """sample_multi_hop with named settings, see schema.PRESETS."""
+    return sample_multi_hop(edges, roots, preset.fanouts, preset.strategy, preset.snapshots, preset.window, seed,
+                            preset.prop_time, preset.static, strategy)
+
+
 def _one_snapshot(edges, front, k, how, hop, snapshot, snapshots, window, seed, options) -> DataFrame:
     """Sample one snapshot of several: only that window is probed."""
     if snapshots == 1:

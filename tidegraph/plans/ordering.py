@@ -32,11 +32,17 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def fits_one_task(df: DataFrame, keys: Sequence[str], strategy: str = "auto") -> bool:
+    """Whether every key group is known to be small enough for one task.
+
+    The row count comes first: over files it is read from their footers, and a table below the
+    limit needs no look at its keys.
+    """
     if strategy not in ("auto", "plain", "ranged"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy != "auto":
         return strategy == "plain"
-    return largest_group(df, keys) <= max_group_rows(df.sparkSession)
+    limit = max_group_rows(df.sparkSession)
+    return df.count() <= limit or largest_group(df, keys) <= limit
 
 
 def _partition_offsets(spark: SparkSession, rows: list[tuple], sums: Sequence[str],

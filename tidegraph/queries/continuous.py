@@ -118,6 +118,24 @@ def stream_edges(spark, sf):
     return ingest.read_graph(spark, f"{path}/graph").select("src", "dst", "ts", "eid")
 
 
+LATE = "signup"
+
+
+@query(f"""WITH seen AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - {7 * DAY} AS mark FROM events WHERE event_type <> '{LATE}')
+    SELECT event_id AS eid, event_type FROM events, seen WHERE event_type <> '{LATE}' OR epoch_us(ts) > mark""")
+def drop_late(spark, sf):
+    """Sign-ups arrive after everything else: those behind the watermark are dropped, not fatal."""
+    path = new_path(spark, "late")
+    events = table(spark, sf, "events").select(
+        F.col("event_id").alias("eid"), "event_type", F.col("ts").cast("timestamp").alias("event_time"))
+    schema = events.schema
+    for arriving in (F.col("event_type") != LATE, F.col("event_type") == LATE):
+        events.filter(arriving).write.mode("append").parquet(f"{path}/in")
+        kept = ingest.drop_late(ingest.read_stream(spark, f"{path}/in", schema), "7 days")
+        state.write_updates(kept, f"{path}/out", f"{path}/checkpoint", "append").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out").select("eid", "event_type")
+
+
 @query(f"""SELECT src AS node, row_number() OVER (PARTITION BY src ORDER BY ts DESC, seq DESC) - 1 AS slot, dst, ts, eid
     FROM ev QUALIFY slot < {K}""")
 def recent_neighbors_state(spark, sf):

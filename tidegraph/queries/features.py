@@ -42,6 +42,15 @@ def attach_node_features(spark, sf):
         *ends("feat", "node", "n"))
 
 
+@query(f"""WITH {FRONT} SELECT node, count(*) AS n, {PAIRS.format(v='any_value(feat)')}
+    FROM front LEFT JOIN nv ON id = node GROUP BY node""")
+def attach_with_hot(spark, sf):
+    """The same rows, the most used ids joined by broadcast."""
+    front = E.attach_with_hot(front_nodes(spark, sf), node_vectors(spark, sf), hot(spark, sf))
+    return front.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.any_value("feat").alias("feat")).select(
+        *ends("feat", "node", "n"))
+
+
 @query("""SELECT rid, slot, eid, round(CAST(f0 AS DOUBLE), 4) AS f0, CAST(f1 AS DOUBLE) AS f1
     FROM recent5 LEFT JOIN ef USING (eid)""")
 def attach_edge_features(spark, sf):

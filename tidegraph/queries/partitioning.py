@@ -68,7 +68,29 @@ def fennel_round(spark, sf):
     return _table(P.fennel_round(both_ways(spark, sf), item_ptable(spark, sf), PARTS))
 
 
-@query()
+ROUNDS = 4
+EMPTY = "t0 AS (SELECT CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS pid WHERE false)"
+PIDS = f"(SELECT unnest(range(0, {PARTS})) AS pid) p"
+
+
+def fennel_rounds_sql() -> str:
+    """All rounds unrolled; every partition has room, so nothing is left to fill."""
+    steps = [EMPTY, "g AS (SELECT count(*) AS m, max(greatest(src, dst)) AS maxn FROM rv)",
+             f"slices AS (SELECT node, {sql_hash('node')} % {ROUNDS} AS slice FROM (SELECT DISTINCT src AS node FROM rv))"]
+    for r in range(ROUNDS):
+        steps += [
+            f"size{r} AS (SELECT p.pid, count(t.node) AS n FROM {PIDS} LEFT JOIN t{r} t ON t.pid = p.pid GROUP BY p.pid)",
+            f"turn{r} AS (SELECT node FROM slices WHERE slice <= {r} AND node NOT IN (SELECT node FROM t{r}))",
+            f"near{r} AS (SELECT src AS node, t.pid, count(*) AS c FROM rv JOIN t{r} t ON t.node = dst GROUP BY ALL)",
+            f"""score{r} AS (SELECT u.node, s.pid, coalesce(c, 0) - sqrt({PARTS}) * m / power(maxn, 1.5) * 1.5 * power(s.n, 0.5) AS score
+                FROM turn{r} u CROSS JOIN size{r} s CROSS JOIN g LEFT JOIN near{r} x ON x.node = u.node AND x.pid = s.pid
+                WHERE s.n < maxn * 1.1 / {PARTS})""",
+            f"""t{r + 1} AS (SELECT * FROM t{r} UNION ALL SELECT node, pid FROM (SELECT node, pid,
+                row_number() OVER (PARTITION BY node ORDER BY score DESC, pid) AS k FROM score{r}) WHERE k = 1)"""]
+    return f"WITH {', '.join(steps)} SELECT node, pid FROM t{ROUNDS}"
+
+
+@query(fennel_rounds_sql())
 def partition_fennel(spark, sf):
     return _table(P.partition_fennel(both_ways(spark, sf), PARTS))
 
@@ -91,7 +113,42 @@ def fennel_edge_round(spark, sf):
     return _table(P.fennel_edge_round(both_ways(spark, sf), item_ptable(spark, sf), PARTS))
 
 
-@query()
+def fennel_edge_rounds_sql() -> str:
+    """All rounds unrolled, with the load limit, then the rest filled up to one level."""
+    limit = f"1.25 * (SELECT count(*) FROM rv) / {PARTS}"
+    steps = [EMPTY, "deg AS (SELECT src AS node, count(*) AS d FROM rv GROUP BY src)",
+             "waiting AS (SELECT node, d, row_number() OVER (ORDER BY d, node) - 1 AS o, count(*) OVER () AS n FROM deg)"]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""load{r} AS (SELECT p.pid, coalesce(sum(d), 0)::BIGINT AS l FROM {PIDS} LEFT JOIN t{r} t ON t.pid = p.pid
+            LEFT JOIN deg ON deg.node = t.node GROUP BY p.pid)""")
+        if r == ROUNDS:
+            break
+        steps += [
+            f"turn{r} AS (SELECT node, d FROM waiting WHERE o < (n * {r + 1}) // {ROUNDS} AND node NOT IN (SELECT node FROM t{r}))",
+            f"""near{r} AS (SELECT node, pid, sum(c + d) AS loc FROM (SELECT e.src AS node, t.pid, e.dst, count(*) AS c, any_value(d) AS d
+                FROM rv e JOIN t{r} t ON t.node = e.dst JOIN deg ON deg.node = e.dst GROUP BY e.src, t.pid, e.dst) GROUP BY node, pid)""",
+            f"""score{r} AS (SELECT u.node, u.d, s.pid, l, CASE WHEN l + u.d <= {limit} THEN coalesce(loc, 0) - l END AS score
+                FROM turn{r} u CROSS JOIN load{r} s LEFT JOIN near{r} x ON x.node = u.node AND x.pid = s.pid)""",
+            f"""choice{r} AS (SELECT node, d, pid, l + sum(d) OVER (PARTITION BY pid ORDER BY d, node) AS filled FROM (
+                SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC NULLS LAST,
+                  CASE WHEN score IS NULL THEN l END, pid) AS k FROM score{r}) WHERE k = 1)""",
+            f"t{r + 1} AS (SELECT * FROM t{r} UNION ALL SELECT node, pid FROM choice{r} WHERE filled <= {limit})"]
+    last = f"t{ROUNDS}"
+    steps += [
+        f"""rest AS (SELECT node, sum(d) OVER (ORDER BY d, node) - d AS before, sum(d) OVER () AS total
+            FROM waiting WHERE node NOT IN (SELECT node FROM {last}))""",
+        f"""places AS (SELECT pid, l, row_number() OVER (ORDER BY l, pid) AS u, sum(l) OVER (ORDER BY l, pid) AS upto,
+            lead(l) OVER (ORDER BY l, pid) AS following FROM load{ROUNDS})""",
+        """used AS (SELECT min(u) AS used, min_by(upto, u) AS s FROM places
+            WHERE following IS NULL OR (SELECT any_value(total) FROM rest) + upto <= u * following)""",
+        """starts AS (SELECT pid, u, CASE WHEN u = 1 THEN 0 ELSE
+            ceil(((u - 1) * ((SELECT any_value(total) FROM rest) + s) - used * (upto - l)) / used) END AS start
+            FROM places, used WHERE u <= used)"""]
+    return f"""WITH {', '.join(steps)} SELECT node, pid FROM {last} UNION ALL
+        SELECT node, max_by(pid, u) FROM rest JOIN starts ON before >= start GROUP BY node"""
+
+
+@query(fennel_edge_rounds_sql())
 def partition_fennel_edge(spark, sf):
     return _table(P.partition_fennel_edge(both_ways(spark, sf), PARTS))
 

@@ -107,12 +107,12 @@ def node_state_stream(stream: DataFrame, size: int, salts: int = 16, ttl_ms: int
         LastWrite(ttl_ms), LAST_OUT, "Update", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def write_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store each micro-batch's updates; `batch` orders them."""
+def write_updates(updates: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Store each micro-batch's rows in its own folder; `batch` orders them."""
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (updates.writeStream.foreachBatch(store).outputMode("update")
+    return (updates.writeStream.foreachBatch(store).outputMode(mode)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
