@@ -96,63 +96,80 @@ def _best(scores: list[Column], fallback: int) -> Column:
     return F.coalesce(-F.array_max(ranked)["i"], F.lit(fallback))
 
 
-def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float = 1.1, gamma: float = 1.5,
-                 sources: DataFrame | None = None) -> DataFrame:
+def _pair_counts(edges: DataFrame) -> DataFrame:
+    """Edges per (node, dst): the rows of a hot source are spread over its destinations."""
+    return edges.groupBy(F.col("src").alias("node"), "dst").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _fennel_choice(pairs: DataFrame, fresh: DataFrame, ptable: DataFrame, sizes: list[int], alpha: float,
+                   gamma: float, capacity: float) -> DataFrame:
+    mine = pairs.join(fresh.select("node"), "node", "left_semi")
+    placed = mine.join(ptable.select(F.col("node").alias("dst"), "pid"), "dst", "left")
+    near = placed.groupBy("node").agg(
+        *[F.sum(F.when(F.col("pid") == i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(len(sizes))])
+    scores = [F.col(f"n{i}") - F.lit(alpha * gamma * size ** (gamma - 1)) if size < capacity
+              else F.lit(None).cast("double") for i, size in enumerate(sizes)]
+    return near.select("node", _best(scores, sizes.index(min(sizes))).alias("pid"))
+
+
+def _fennel_terms(edges: DataFrame, parts: int, upsilon: float) -> tuple[float, float]:
+    """alpha and the capacity of a partition; the highest node id stands for the node count."""
+    num_edges, max_node = edges.agg(F.count(F.lit(1)), F.max(F.greatest("src", "dst"))).first()
+    return parts ** 0.5 * num_edges / max(max_node, 1) ** 1.5, max_node * upsilon / parts
+
+
+def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float = 1.1,
+                 gamma: float = 1.5) -> DataFrame:
     """Choice (node, pid) of every new source against the frozen table.
 
     Score: neighbours in the partition - alpha * gamma * size**(gamma-1); full partitions are
     excluded, and if all are full the smallest takes the node.
     """
-    num_edges, max_node = edges.agg(F.count(F.lit(1)), F.max(F.greatest("src", "dst"))).first()
+    alpha, capacity = _fennel_terms(edges, parts, upsilon)
     sizes = _loads(ptable, parts, F.count(F.lit(1)))
-    alpha = parts ** 0.5 * num_edges / max(max_node, 1) ** 1.5
-    capacity = max_node * upsilon / parts
-    fresh = new_sources(edges, ptable) if sources is None else sources
-    pairs = (edges.groupBy(F.col("src").alias("node"), "dst").agg(F.count(F.lit(1)).alias("c"))
-             .join(fresh.select("node"), "node", "left_semi"))
-    placed = pairs.join(ptable.select(F.col("node").alias("dst"), "pid"), "dst", "left")
+    return _fennel_choice(_pair_counts(edges), new_sources(edges, ptable), ptable, sizes, alpha, gamma, capacity)
+
+
+def _fennel_edge_choice(pairs: DataFrame, fresh: DataFrame, owned: DataFrame, loads: list[int],
+                        limit: float) -> DataFrame:
+    mine = pairs.join(fresh.select("node"), "node", "left_semi")
+    placed = mine.join(owned.select(F.col("node").alias("dst"), "pid", "degree"), "dst", "left")
     near = placed.groupBy("node").agg(
-        *[F.sum(F.when(F.col("pid") == i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(parts)])
-    scores = [F.col(f"n{i}") - F.lit(alpha * gamma * sizes[i] ** (gamma - 1)) if sizes[i] < capacity
-              else F.lit(None).cast("double") for i in range(parts)]
-    return near.select("node", _best(scores, min(range(parts), key=sizes.__getitem__)).alias("pid"))
+        F.sum("c").alias("degree"),
+        *[F.sum(F.when(F.col("pid") == i, F.col("c") + F.col("degree")).otherwise(0)).alias(f"n{i}")
+          for i in range(len(loads))])
+    scores = [F.when(F.col("degree") + load <= limit, F.col(f"n{i}") - load) for i, load in enumerate(loads)]
+    return near.select("node", _best(scores, loads.index(min(loads))).alias("pid"), "degree")
+
 
+def _with_degree(ptable: DataFrame, degree: DataFrame) -> DataFrame:
+    return ptable.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
-def fennel_edge_round(edges: DataFrame, ptable: DataFrame, parts: int, slack: float = 1.25,
-                      sources: DataFrame | None = None) -> DataFrame:
+
+def fennel_edge_round(edges: DataFrame, ptable: DataFrame, parts: int, slack: float = 1.25) -> DataFrame:
     """Choice (node, pid, degree) against the frozen table, by locality minus edge load.
 
     Locality: edges into the partition plus the out-degrees of the distinct neighbours there.
     Partitions whose load would exceed slack * mean are excluded; if all are, the least loaded
     takes the node.
     """
-    total = edges.count()
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    owned = ptable.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    owned = _with_degree(ptable, degree)
     loads = _loads(owned, parts, F.sum("degree"))
-    limit = slack * total / parts
-    fresh = new_sources(edges, ptable) if sources is None else sources
-    # counted per pair first: the rows of a hot source are spread by (node, dst)
-    pairs = (edges.groupBy(F.col("src").alias("node"), "dst").agg(F.count(F.lit(1)).alias("c"))
-             .join(fresh.select("node"), "node", "left_semi"))
-    placed = pairs.join(owned.select(F.col("node").alias("dst"), "pid", "degree"), "dst", "left")
-    near = placed.groupBy("node").agg(
-        F.sum("c").alias("degree"),
-        *[F.sum(F.when(F.col("pid") == i, F.col("c") + F.col("degree")).otherwise(0)).alias(f"n{i}")
-          for i in range(parts)])
-    scores = [F.when(F.col("degree") + loads[i] <= limit, F.col(f"n{i}") - loads[i]) for i in range(parts)]
-    return near.select("node", _best(scores, min(range(parts), key=loads.__getitem__)).alias("pid"), "degree")
+    limit = slack * edges.count() / parts
+    return _fennel_edge_choice(_pair_counts(edges), new_sources(edges, ptable), owned, loads, limit)
 
 
 def _literal_map(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("bigint") for v in values])
 
 
-def _accept(choices: DataFrame, loads: list[int], capacity: float, weight: str) -> DataFrame:
-    """Flag the choices that still fit: node order within each partition, running load <= capacity."""
+def _commit(table: DataFrame, choices: DataFrame, loads: list[int], capacity: float, weight: str) -> DataFrame:
+    """The table plus the choices that still fit: smallest weight first, running load <= capacity."""
+    choices = freeze(choices, "choices")
     summed = running_sum(choices, ["pid"], [weight, "node"], {"_cum": F.col(weight)})
     fits = F.get(_literal_map(loads), F.col("pid")) + F.col("_cum") <= F.lit(float(capacity))
-    return freeze(summed.withColumn("_fits", fits).drop("_cum"), "choices")
+    return freeze(_extend(table, summed.filter(fits)), "ptable")
 
 
 def _fill(left: DataFrame, loads: list[int], weight: str, parts: int) -> DataFrame:
@@ -178,48 +195,45 @@ def partition_fennel(edges: DataFrame, parts: int, upsilon: float = 1.1, gamma:
     """Rounds of fennel_round over hash slices of the new sources; each round sees the ones before.
 
     What does not fit in a round is tried again in the next; the rest fills the free room evenly.
+    The edges are read once, as counts per (node, dst).
     """
     _check(parts)
-    spark = edges.sparkSession
-    table = freeze(ptable if ptable is not None else empty_ptable(spark), "ptable")
-    max_node = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
-    capacity = max_node * upsilon / parts
-    waiting = freeze(new_sources(edges, table).withColumn("_slice", F.pmod(stable_hash(F.col("node")), F.lit(rounds))),
-                     "waiting")
+    table = freeze(ptable if ptable is not None else empty_ptable(edges.sparkSession), "ptable")
+    alpha, capacity = _fennel_terms(edges, parts, upsilon)
+    pairs = freeze(_pair_counts(edges), "pairs")
+    one = F.lit(1).cast("bigint").alias("w")
+    waiting = freeze(pairs.select("node").distinct().join(table.select("node"), "node", "left_anti")
+                     .select("node", F.pmod(stable_hash(F.col("node")), F.lit(rounds)).alias("_slice"), one), "waiting")
+    sizes = _loads(table, parts, F.count(F.lit(1)))
     for r in range(rounds):
         turn = waiting.filter(F.col("_slice") <= r).join(table.select("node"), "node", "left_anti")
-        choices = fennel_round(edges, table, parts, upsilon, gamma, turn).withColumn("w", F.lit(1).cast("bigint"))
-        done = _accept(choices, _loads(table, parts, F.count(F.lit(1))), capacity, "w")
-        table = freeze(_extend(table, done.filter("_fits")), "ptable")
-    left = waiting.join(table.select("node"), "node", "left_anti").withColumn("w", F.lit(1).cast("bigint"))
-    if left.isEmpty():
-        return table
-    return _extend(table, _fill(left, _loads(table, parts, F.count(F.lit(1))), "w", parts))
+        choices = _fennel_choice(pairs, turn, table, sizes, alpha, gamma, capacity).select("*", one)
+        table = _commit(table, choices, sizes, capacity, "w")
+        sizes = _loads(table, parts, F.count(F.lit(1)))
+    left = waiting.join(table.select("node"), "node", "left_anti")
+    return table if left.isEmpty() else _extend(table, _fill(left, sizes, "w", parts))
 
 
 def partition_fennel_edge(edges: DataFrame, parts: int, rounds: int = 4, slack: float = 1.25,
                           ptable: DataFrame | None = None) -> DataFrame:
-    """Rounds of fennel_edge_round, small degrees first: round = decimal-order slice of the degree."""
+    """Rounds of fennel_edge_round, small degrees first: each round takes the next slice by degree."""
     _check(parts)
     table = freeze(ptable if ptable is not None else empty_ptable(edges.sparkSession), "ptable")
-    total = edges.count()
-    degree = freeze(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "degree")
+    pairs = freeze(_pair_counts(edges), "pairs")
+    degree = freeze(pairs.groupBy("node").agg(F.sum("c").alias("degree")), "degree")
+    limit = slack * (degree.agg(F.sum("degree")).first()[0] or 0) / parts
     waiting = freeze(dense_ordinal(degree.join(table.select("node"), "node", "left_anti"), ["degree", "node"]), "waiting")
     n = waiting.count()
-
-    def loads_of(t: DataFrame) -> list[int]:
-        return _loads(t.join(degree, "node"), parts, F.sum("degree"))
-
+    owned = _with_degree(table, degree)
+    loads = _loads(owned, parts, F.sum("degree"))
     for r in range(rounds):
         turn = (waiting.filter(F.col("ord") < (n * (r + 1)) // rounds)
                 .join(table.select("node"), "node", "left_anti"))
-        choices = fennel_edge_round(edges, table, parts, slack, turn)
-        done = _accept(choices, loads_of(table), slack * total / parts, "degree")
-        table = freeze(_extend(table, done.filter("_fits")), "ptable")
+        table = _commit(table, _fennel_edge_choice(pairs, turn, owned, loads, limit), loads, limit, "degree")
+        owned = _with_degree(table, degree)
+        loads = _loads(owned, parts, F.sum("degree"))
     left = waiting.select("node", "degree").join(table.select("node"), "node", "left_anti")
-    if left.isEmpty():
-        return table
-    return _extend(table, _fill(left, loads_of(table), "degree", parts))
+    return table if left.isEmpty() else _extend(table, _fill(left, loads, "degree", parts))
 
 
 def assign_by_dst_majority(edges: DataFrame, ptable: DataFrame) -> DataFrame:
