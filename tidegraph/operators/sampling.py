@@ -47,7 +47,8 @@ def window_bounds(roots: DataFrame, snapshots: int = 1, window=0, static: bool =
     cols = ["rid", "node", "ts"]
     if static:
         kind = roots.schema["ts"].dataType.simpleString()
-        top = F.lit(float("inf")) if kind in ("double", "float") else F.lit((1 << 63) - 1)
+        # later than any time, and differences to it still fit a bigint
+        top = F.lit(float("inf")) if kind in ("double", "float") else F.lit(1 << 62)
         return roots.select(*cols, F.lit(0).alias("snapshot"), F.lit(None).cast(kind).alias("start"),
                             top.cast(kind).alias("end"))
     if snapshots == 1:
@@ -120,9 +121,8 @@ def _last_k_ranged(marks: DataFrame, order_by: Sequence[str], k: int) -> DataFra
                .select("_pid", "node", F.col("_last").alias("_before")))
     # one row per continued node and partition: bounded by twice the number of partitions
     joined = local.join(F.broadcast(carried), ["_pid", "node"], "left")
-    full = F.when(F.col("_before").isNull(), F.col("_last")).otherwise(F.concat("_last", "_before"))
-    known = F.filter(full, lambda e: e.isNotNull())
-    return joined.withColumn("_last", F.slice(known, 1, k))
+    both = F.filter(F.concat("_last", "_before"), lambda e: e.isNotNull())
+    return joined.withColumn("_last", F.when(F.col("_before").isNull(), F.col("_last")).otherwise(F.slice(both, 1, k)))
 
 
 def _last_k(edges: DataFrame, probes: DataFrame, k: int, strategy: str) -> DataFrame:
@@ -159,10 +159,9 @@ def recent_within(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool =
     else:
         probes = bounds.select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start")
         seen = _last_k(edges, probes, k, strategy)
-        known = F.filter("_last", lambda e: e.isNotNull())
         each = seen.select("rid", "snapshot", "start", F.col("node").alias("root_node"),
                            F.col("at" if static else "ts").alias("root_ts"),
-                           F.posexplode(known).alias("slot", "e"))
+                           F.posexplode("_last").alias("slot", "e")).filter("e IS NOT NULL")
         found = each.select(
             F.lit(hop).alias("hop"), "snapshot", "rid", "slot", "root_node", "root_ts", "e.src_node", "e.eid",
             "e.edge_ts", F.col("root_ts" if prop_time else "e.edge_ts").alias("out_ts"),
