@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -25,9 +26,10 @@ def sf():
 def edges_of(spark):
     """Edges from literal columns; eid and seq are the position."""
     def make(src, dst, ts, eids=None):
-        rows = [(s, d, float(t), e if eids else i, i)
-                for i, (s, d, t, e) in enumerate(zip(src, dst, ts, eids or src))]
-        return spark.createDataFrame(rows, "src long, dst long, ts double, eid long, seq long")
+        n = len(src)
+        frame = pd.DataFrame({"src": list(src), "dst": list(dst), "ts": [float(t) for t in ts],
+                              "eid": eids or list(range(n)), "seq": list(range(n))})
+        return spark.createDataFrame(frame, "src long, dst long, ts double, eid long, seq long")
     return make
 
 
@@ -35,7 +37,8 @@ def edges_of(spark):
 def roots_of(spark):
     def make(nodes, ts):
         times = ts if isinstance(ts, list) else [ts] * len(nodes)
-        return spark.createDataFrame([(i, n, float(t)) for i, (n, t) in enumerate(zip(nodes, times))],
+        frame = pd.DataFrame({"rid": range(len(nodes)), "node": nodes, "ts": [float(t) for t in times]})
+        return spark.createDataFrame(frame.astype({"rid": "int64", "node": "int64", "ts": "float64"}),
                                      "rid long, node long, ts double")
     return make
 
