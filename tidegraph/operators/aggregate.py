@@ -14,17 +14,27 @@ from pyspark.sql import functions as F
 from ..plans.storage import freeze
 
 ROOT_KEYS = ("hop", "snapshot", "rid")
-_HOW = {"mean": F.avg, "max": F.max, "sum": F.sum}
+HOW = ("mean", "max", "sum", "gcn")
 
 
 def vector_agg(df: DataFrame, keys: Sequence[str], vec: str, dim: int, how: str, name: str = "agg") -> DataFrame:
-    fn = _HOW[how]
-    return df.groupBy(*keys).agg(F.array(*[fn(F.get(vec, F.lit(i)).cast("double")) for i in range(dim)]).alias(name))
+    """Elementwise mean, max or sum of vectors without NULL elements.
+
+    A mean keeps one sum per dimension and a single count, half the buffers of `dim` averages.
+    """
+    fn = F.max if how == "max" else F.sum
+    parts = [f"_d{i}" for i in range(dim)]
+    columns = [fn(F.get(vec, F.lit(i)).cast("double")).alias(p) for i, p in enumerate(parts)]
+    reduced = df.groupBy(*keys).agg(*columns, F.count(vec).alias("_n"))
+    values = [F.col(p) / F.col("_n") if how == "mean" else F.col(p) for p in parts]
+    return reduced.select(*keys, F.array(*values).alias(name))
 
 
 def neighbor_aggregate(samples: DataFrame, feats: DataFrame, dim: int, how: str = "mean",
                        keys: Sequence[str] = ROOT_KEYS) -> DataFrame:
-    """Mean / max / self-inclusive mean ("gcn") of the neighbours' vectors per root."""
+    """Mean / max / sum / self-inclusive mean ("gcn") of the neighbours' vectors per root."""
+    if how not in HOW:
+        raise ValueError(f"how must be one of {HOW}")
     neighbors = samples.select(*keys, "root_node", F.col("src_node").alias("id"))
     if how == "gcn":
         selves = samples.select(*keys, "root_node").distinct().withColumn("id", F.col("root_node"))
