@@ -100,6 +100,18 @@ def test_uniform_in_windows(edges_of, roots_of):
     assert got.count() == 40
 
 
+def test_uniform_snapshots_hop_by_hop(edges_of, roots_of):
+    """A later hop probes one window at a time and must draw what probing all windows would."""
+    edges = edges_of([0] * 6 + [1] * 6, [1, 0] * 6, list(range(6)) * 2)
+    roots = roots_of([0, 1], 6)
+    outer, inner = S.sample_multi_hop(edges, roots, [3, 3], "uniform", snapshots=2, window=2, seed=5)
+    ranked = S.rank_edges(edges, 2, 2)
+    for snapshot in (0, 1):
+        want = S.sample_layer(ranked, S.frontier(roots, inner, 3, 2, snapshot), 3, "uniform", 1, snapshot, 2, 2, 5)
+        assert set(outer.filter(F.col("snapshot") == snapshot).collect()) == set(want.collect())
+        assert want.count() > 6
+
+
 def test_prop_time_and_layer(small, roots_of):
     ranked = S.rank_edges(small)
     got = S.sample_layer(ranked, roots_of([0], 1.5), 2, prop_time=True)

@@ -184,9 +184,17 @@ def sample_uniform(ranked: DataFrame, roots: DataFrame, k: int, window=0, snapsh
                    seed: int = 0, prop_time: bool = False, hop: int = 0, static: bool = False,
                    strategy: str = "auto") -> DataFrame:
     """k independent draws with replacement among each root's candidates; none without candidates."""
+    whole = static or (snapshots == 1 and window < 1e-6)
     bounds = window_bounds(roots, snapshots, window, static)
+    return uniform_within(ranked, bounds, k, seed, whole, prop_time, hop, static, strategy)
+
+
+def uniform_within(ranked: DataFrame, bounds: DataFrame, k: int, seed: int, whole: bool = False,
+                   prop_time: bool = False, hop: int = 0, static: bool = False,
+                   strategy: str = "auto") -> DataFrame:
+    """k draws in [start, end) of each row of `bounds`; `whole`: every earlier edge is a candidate."""
     keep = ["rid", "snapshot", "ts", "start", "end"]
-    if static or (snapshots == 1 and window < 1e-6):
+    if whole:
         probes = bounds.select("node", F.col("end").alias("at"), *keep)
         placed = _count_before(ranked, probes, strategy).withColumn("n", F.col("hi"))
     else:
@@ -279,11 +287,11 @@ def _one_snapshot(edges, front, k, how, hop, snapshot, snapshots, window, seed,
     if snapshots == 1:
         return sample_layer(edges, front, k, how, hop, None, 1, window, seed, **options)
     shift = (snapshots - 1 - snapshot) * window
+    bounds = (front.withColumn("snapshot", F.lit(snapshot))
+              .withColumn("end", F.col("ts") - shift).withColumn("start", F.col("end") - window))
     if how == "recent":
-        bounds = (front.withColumn("snapshot", F.lit(snapshot))
-                  .withColumn("end", F.col("ts") - shift).withColumn("start", F.col("end") - window))
         return recent_within(edges, bounds, k, options["prop_time"], hop, False, options["strategy"])
-    return sample_layer(edges, front, k, how, hop, snapshot, snapshots, window, seed, **options)
+    return uniform_within(edges, bounds, k, seed, False, options["prop_time"], hop, False, options["strategy"])
 
 
 def to_block(samples: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
