@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_path
+from . import chat, decontaminate, secret_scan, url_rules, warc
 from .common import table
 from .simhash import near_duplicates
 
@@ -24,3 +26,137 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """SimHash groups of documents: 3-word shingles, links at two or fewer of 64 bits."""
     found = near_duplicates(table(spark, sf, "documents"), words=3, lanes=1, segments=2, max_bits=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+BASE = "filter(spans, s -> s.kind <> 'novel')"
+
+
+def _count(kind: str):
+    return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint")
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+@query
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in documents: spans by pattern and by compression."""
+    found = secret_scan.secret_spans(table(spark, sf, "documents"), keep=["doc_id"])
+    return found.select("doc_id", _count("assign").alias("n_assign"), _count("access").alias("n_access"),
+                        _count("hex").alias("n_hex"), F.sha2(_listed(F.expr(BASE)), 256).alias("base_sha256"),
+                        _listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations formatted, read back and digested; conversation -1 is made of control strings."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).cast("bigint"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"),
+                                 F.lit("</s>[INST] ok [/INST]"))
+    return chat.read_back(chat.render_turns(turns.union(hard)))
+
+
+SQL["op4_chat"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(text) + length(text) - length(replace(text, '␛', ''))
+        + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|\[ANSWER\]|<<SYS>>|<</SYS>>|<role>|</role>|</turn>')) AS n
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 14 WHEN 'system' THEN 18
+        ELSE length(role) + 20 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+# (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op6_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on page urls by the longest fitting rule."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_rules.judge_urls(table(spark, sf, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op6_url_rules"] = r"""
+WITH parsed AS (
+    SELECT page_id, row_number() OVER () AS n,
+        CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+urls AS (SELECT n, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed),
+rules(rule_host, rule_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+    ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+    SELECT n, arg_max(rule_host || rule_path, (length(rule_host) + length(rule_path), length(rule_host))) AS rule,
+        arg_max(verdict, (length(rule_host) + length(rule_path), length(rule_host))) AS verdict
+    FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN best USING (n)"""
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _sql_selected(mask: str) -> str:
+    return " || chr(31) || ".join(f"words[p + {i}]" for i, c in enumerate(mask, 1) if c == "1")
+
+
+SQL["op7_decontamination"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
+items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM benchmark),
+doc_at AS (SELECT doc_id, words, unnest(range(len(words) - 7)) AS p FROM docs WHERE len(words) >= 8),
+item_at AS (SELECT item_id, words, unnest(range(len(words) - 7)) AS p FROM items WHERE len(words) >= 8),
+doc_seeds AS (SELECT doc_id, words, p, 0 AS m, {_sql_selected(decontaminate.MASKS[0])} AS seed FROM doc_at
+    UNION ALL SELECT doc_id, words, p, 1, {_sql_selected(decontaminate.MASKS[1])} FROM doc_at),
+item_seeds AS (SELECT item_id, any_value(words) AS words, m, seed, min(p) AS p FROM (
+    SELECT item_id, words, p, 0 AS m, {_sql_selected(decontaminate.MASKS[0])} AS seed FROM item_at
+    UNION ALL SELECT item_id, words, p, 1, {_sql_selected(decontaminate.MASKS[1])} FROM item_at) GROUP BY item_id, m, seed),
+laid AS (SELECT DISTINCT doc_id, item_id, d.words AS dw, i.words AS iw, d.p - i.p AS start
+    FROM doc_seeds d JOIN item_seeds i ON d.m = i.m AND d.seed = i.seed),
+compared AS (SELECT *, least({decontaminate.STRETCH}, len(iw)) AS n,
+    [CASE WHEN start + k >= 0 AND dw[start + k + 1] = iw[k + 1] THEN 1 ELSE 0 END FOR k IN range(len(iw))] AS eq FROM laid),
+scored AS (SELECT doc_id, item_id, len(iw) AS item_words, n,
+    list_max([list_sum(eq[s + 1:s + n]) FOR s IN range(len(iw) - n + 1)]) AS matched FROM compared)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(item_words) AS BIGINT) AS item_words
+FROM scored WHERE matched >= ceil(n * {decontaminate.IDENTITY}) GROUP BY doc_id, item_id"""
+
+
+@query
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as WARC captures and read back, one row per capture."""
+    path = new_path(spark, "warc")
+    warc.write_captures(table(spark, sf, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path))
+    payload = warc.payload_of(F.col("response.block"))
+    response = F.col("response.type") == "response"
+    length = warc.field_of(F.col("metadata.block"), "payloadLength").cast("bigint")
+    digest = F.substring_index("response.payload_digest", ":", -1)
+    return captures.select(
+        warc.field_of(F.col("metadata.block"), "pageId").cast("bigint").alias("page_id"),
+        F.when(response, F.length(payload).cast("bigint")).otherwise(length).alias("payload_bytes"),
+        F.when(response, warc.base32_of_hex(F.sha1(payload))).otherwise(digest).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.regexp_extract("response.refers_to", "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint").alias("refers_to"))
+
+
+SQL["op8_warc"] = """
+WITH digested AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+digits AS (SELECT page_id, octet_length(payload) AS payload_bytes, hex,
+    list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        (CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER), 1) FOR i IN range(32)],
+        'string_agg', '') AS payload_digest FROM digested),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM digits)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first < page_id THEN first END AS refers_to FROM firsts"""
