@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import new_path
-from . import chat, decontaminate, secret_scan, url_rules, warc
+from . import bpe, chat, decontaminate, secret_scan, token_counts, url_rules, warc
 from .common import table
 from .simhash import near_duplicates
 
@@ -160,3 +160,17 @@ firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM digits)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
     CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN first < page_id THEN first END AS refers_to FROM firsts"""
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of documents."""
+    counted = token_counts.count_tokens(table(spark, sf, "documents"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query
+def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents encoded and decoded again, as digests."""
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return bpe.digests(bpe.decode(encoded)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
