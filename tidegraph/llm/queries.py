@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import new_path
-from . import bpe, chat, decontaminate, secret_scan, token_counts, url_rules, warc
+from . import block_search, bpe, chat, decontaminate, quality, secret_scan, token_counts, url_rules, warc
 from .common import table
 from .simhash import near_duplicates
 
@@ -174,3 +174,30 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
     encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
     return bpe.digests(bpe.decode(encoded)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return block_search.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+SQL["op3_nearest"] = """
+WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (SELECT * FROM vectors WHERE v IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN v])
+    AND list_bool_or([x <> 0 FOR x IN v])),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+GOOD = 0.3
+
+
+@query
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality scores of documents, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    return quality.with_scores(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
