@@ -76,7 +76,50 @@ def test_negatives_are_seeded_and_spread(line):
 def test_excluding_real_edges(line):
     out = B.negative_dst(B.fixed_batches(line, 10), B.dst_pool(line), 1, exclude=line.limit(20))
     real = {(r.src, r.dst) for r in line.limit(20).collect()}
-    assert all((r.src, r.neg) not in real for r in out.collect())
+    rows = out.collect()
+    assert len(rows) == 103 and all((r.src, r.neg) not in real for r in rows)
+
+
+@pytest.mark.parametrize("strategy", ["plain", "ranged"])
+def test_excluding_is_uniform_over_the_free(spark, strategy):
+    """Every free destination of a source is drawn; a source that knows them all keeps its row with null."""
+    known = [(0, d) for d in (100, 101, 104, 107)] + [(1, d) for d in range(100, 108)]
+    edges = spark.createDataFrame(known, "src long, dst long")
+    asks = spark.range(600).select((F.col("id") % 3).alias("src"), F.col("id").alias("ord"))
+    rows = B.negative_dst(asks, B.dst_pool(edges), 3, exclude=edges, strategy=strategy).collect()
+    assert sorted(r.ord for r in rows) == list(range(600))
+    assert {r.neg for r in rows if r.src == 0} == {102, 103, 105, 106}
+    assert {r.neg for r in rows if r.src == 1} == {None}
+    assert {r.neg for r in rows if r.src == 2} == set(range(100, 108))
+
+
+def test_several_negatives(line):
+    pool, batches = B.dst_pool(line), B.fixed_batches(line, 10)
+    rows = B.negative_dst(batches, pool, 1, neg_ratio=4).collect()
+    single = {r.ord: r.neg for r in B.negative_dst(batches, pool, 1).collect()}
+    assert len(rows) == 103 and all(len(r.negs) == 4 and r.negs[0] == single[r.ord] for r in rows)
+    real = {(r.src, r.dst) for r in line.collect()}
+    few = B.negative_dst(batches, pool, 1, exclude=line, neg_ratio=2).collect()
+    assert len(few) == 103 and all((r.src, n) not in real for r in few for n in r.negs if n is not None)
+
+
+def test_positions_are_dense_under_gaps(line):
+    batches = B.negative_dst(B.fixed_batches(line, 10), B.dst_pool(line), 1, neg_ratio=2).filter("ord % 3 != 1")
+    stacked = B.target_triples(batches, 2)
+    for r in stacked.groupBy("batch_id").agg(F.countDistinct("pos").alias("d"), F.max("pos").alias("m"), F.count("*").alias("n")).collect():
+        assert r.d == r.n == r.m + 1
+
+
+def test_empty_pool_is_an_error(line):
+    with pytest.raises(ValueError):
+        B.negative_dst(B.fixed_batches(line, 10), B.dst_pool(line.limit(0)), 1)
+
+
+def test_draws_reach_all_of_a_large_range(spark):
+    from tidegraph.functions.hashing import draw
+    n = 1 << 40
+    slices = spark.range(20_000).select(F.floor(draw(n, 1, F.col("id")) * 10 / n).alias("s")).groupBy("s").count().collect()
+    assert len(slices) == 10 and all(1_700 < r["count"] < 2_300 for r in slices)
 
 
 def test_pools(line):

@@ -15,7 +15,8 @@ def zeros(dim: int) -> Column:
 
 
 def zero_like(vec) -> Column:
-    return F.transform(vec, lambda x: (x * 0).cast("double"))
+    """Zeros for every element, whatever it was (NaN, infinite and null included)."""
+    return F.transform(vec, lambda x: F.lit(0.0).cast("double"))
 
 
 def time_encode(dt, dim: int) -> Column:
@@ -41,5 +42,10 @@ def pair_product(left, right) -> Column:
     return F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
 
 
+def pair_products(left, rights) -> Column:
+    """The products of one vector with each of an array of vectors, as for several negatives."""
+    return F.transform(rights, lambda right: pair_product(left, right))
+
+
 def vector_sum(vec) -> Column:
     return F.aggregate(vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))

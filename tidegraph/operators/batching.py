@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..plans.ordering import dense_ordinal
+from ..plans.ordering import dense_ordinal, running_sum
 
 ROLES = ("src", "dst", "neg")
 
@@ -63,24 +63,30 @@ def rank_shard(edges: DataFrame, rank: int, world: int, size: int | None = None,
     return mine.withColumns({"batch_id": F.floor(F.col("ord") / size), "pos": F.col("ord") % size})
 
 
-def _stack(batches: DataFrame, roles: Sequence[str]) -> DataFrame:
+def _stack(batches: DataFrame, roles: Sequence[tuple[str, Column]]) -> DataFrame:
+    """`roles` are (name, node) in their order. Positions are dense even where `pos` has gaps."""
     # a batch group never exceeds the batch size
-    length = F.count(F.lit(1)).over(Window.partitionBy("batch_id"))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(role).alias("role"), F.col(role).alias("node"))
-                      for i, role in enumerate(roles)])
-    return (batches.withColumn("_len", length).withColumn("_p", F.explode(parts))
+    batch = Window.partitionBy("batch_id")
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(role).alias("role"), node.alias("node"))
+                      for i, (role, node) in enumerate(roles)])
+    dense = (F.row_number().over(batch.orderBy("pos")) - 1).cast("bigint")
+    return (batches.withColumns({"_len": F.count(F.lit(1)).over(batch), "pos": dense}).withColumn("_p", F.explode(parts))
             .select("batch_id", (F.col("_p.i") * F.col("_len") + F.col("pos")).alias("pos"),
                     F.col("_p.role").alias("role"), F.col("_p.node").alias("node"), "ts",
                     F.when(F.col("_p.i") == 0, F.col("eid")).alias("eid")))
 
 
-def target_triples(batches: DataFrame) -> DataFrame:
-    """src, dst and neg stacked per batch: position role*len + i; eid only on the src row."""
-    return _stack(batches, ROLES)
+def target_triples(batches: DataFrame, neg_ratio: int = 1) -> DataFrame:
+    """src, dst and neg stacked per batch: position role*len + i; eid only on the src row.
+
+    With neg_ratio > 1, `negs` (see negative_dst) follow as so many blocks of role neg.
+    """
+    negs = [F.col("neg")] if neg_ratio == 1 else [F.get("negs", F.lit(r)) for r in range(neg_ratio)]
+    return _stack(batches, [("src", F.col("src")), ("dst", F.col("dst")), *(("neg", n) for n in negs)])
 
 
 def target_pairs(batches: DataFrame) -> DataFrame:
-    return _stack(batches, ROLES[:2])
+    return _stack(batches, [(role, F.col(role)) for role in ROLES[:2]])
 
 
 def id_pool(ids: DataFrame, column: str) -> DataFrame:
@@ -104,7 +110,10 @@ def dst_pools(train: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pool_size(pool: DataFrame) -> int:
-    return (pool.agg(F.max("idx")).first()[0] or 0) + 1
+    highest = pool.agg(F.max("idx")).first()[0]
+    if highest is None:
+        raise ValueError("nothing can be drawn from an empty pool")
+    return highest + 1
 
 
 def draw_from_pool(requests: DataFrame, pool: DataFrame, key: str | Column, seed: int,
@@ -116,13 +125,44 @@ def draw_from_pool(requests: DataFrame, pool: DataFrame, key: str | Column, seed
 
 
 def negative_dst(batches: DataFrame, pool: DataFrame, seed: int, key: str = "ord",
-                 exclude: DataFrame | None = None) -> DataFrame:
-    """One negative destination per positive edge. `exclude` drops negatives that are real edges."""
-    out = draw_from_pool(batches, pool, key, seed)
-    if exclude is not None:
-        real = exclude.select("src", F.col("dst").alias("neg")).distinct()
-        out = out.join(real, ["src", "neg"], "left_anti")
-    return out
+                 exclude: DataFrame | None = None, neg_ratio: int = 1, strategy: str = "auto") -> DataFrame:
+    """A negative destination `neg` for every positive edge; with neg_ratio > 1 an array `negs`.
+
+    With `exclude` (edges) a negative is drawn from the destinations of the pool that the source has
+    no edge to; it is null only if the source has an edge to all of them. No positive is ever lost.
+    """
+    if neg_ratio == 1:
+        return _negatives(batches, pool, seed, [F.col(key)], exclude, strategy)
+    # the first draw has the key of a single one
+    spread = batches.select(key, "src", F.explode(F.sequence(F.lit(0), F.lit(neg_ratio - 1))).alias("_r"))
+    parts = [F.when(F.col("_r") == 0, F.col(key).cast("string")).otherwise(F.concat_ws("|", key, "_r"))]
+    drawn = _negatives(spread, pool, seed, parts, exclude, strategy)
+    # neg_ratio rows per key
+    negs = F.transform(F.array_sort(F.collect_list(F.struct("_r", "neg"))), lambda x: x.neg)
+    return batches.join(drawn.groupBy(key).agg(negs.alias("negs")), key)
+
+
+def _negatives(requests: DataFrame, pool: DataFrame, seed: int, key: list[Column],
+               exclude: DataFrame | None, strategy: str) -> DataFrame:
+    if exclude is None:
+        return draw_from_pool(requests, pool, key[0], seed)
+    size = pool_size(pool)
+    ids = pool.select("idx", F.col("id").alias("neg"))
+    # A source's taken indices in order: the i-th of them, less i - 1, is the number of free
+    # indices below it. The j-th free index is j plus the taken ones that have at most j below.
+    taken = (exclude.select("src", F.col("dst").alias("neg")).distinct().join(ids, "neg").select("src", "idx"))
+    below = (running_sum(taken, ["src"], ["idx"], {"_i": F.lit(1)}, strategy)
+             .select("src", (F.col("idx") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_asks")))
+    free = taken.groupBy("src").agg((F.lit(size) - F.count(F.lit(1))).alias("_free"))
+    asked = (requests.join(free, "src", "left").withColumn("_free", F.coalesce("_free", F.lit(size)))
+             .withColumn("_at", F.when(F.col("_free") > 0, draw(F.col("_free"), seed, "dst", *key))))
+    asks = asked.filter("_at IS NOT NULL").drop("_free").withColumn("_asks", F.lit(1))
+    marks = asks.unionByName(below, allowMissingColumns=True)
+    order = ["_at", "_asks", *[c for c in ("ord", "eid", "_r") if c in requests.columns]]
+    placed = (running_sum(marks, ["src"], order, {"_skip": 1 - F.col("_asks")}, strategy).filter("_asks = 1")
+              .withColumn("idx", F.col("_at") + F.col("_skip")).drop("_at", "_asks", "_skip"))
+    none = asked.filter("_at IS NULL").drop("_free", "_at").withColumn("neg", F.lit(None).cast("bigint"))
+    return placed.join(ids, "idx").drop("idx").unionByName(none)
 
 
 def random_edges(edges: DataFrame, requests: DataFrame, seed: int, key: str = "ord") -> DataFrame:

@@ -119,7 +119,7 @@ def item_ptable(spark: SparkSession, sf: str) -> DataFrame:
 
 def sql_hash(*parts: str) -> str:
     texts = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 15) AS BIGINT)"
 
 
 VIEWS = {
