@@ -16,15 +16,21 @@ def attach_node_features(front: DataFrame, feats: DataFrame, key: str = "node")
 
 
 def attach_with_hot(front: DataFrame, feats: DataFrame, hot: DataFrame, key: str = "node",
-                    max_hot: int = 100_000) -> DataFrame:
+                    max_bytes: int = 64 << 20, salts: int = 32) -> DataFrame:
     """attach_node_features with the hot ids' rows joined by broadcast and only the rest shuffled.
 
-    The hot side is counted first; above `max_hot` rows the plain join is used.
+    The hot rows are measured first. Beyond `max_bytes` nothing is broadcast: hot ids are salted,
+    their rows repeated for every salt, so that no hot id lands in one task.
     """
-    if hot.count() > max_hot:
-        return attach_node_features(front, feats, key)
     ids = hot.select(F.col("id").alias(key)).distinct()
     by_id = feats.select(F.col("id").alias(key), "feat")
+    n, width = by_id.join(ids, key, "left_semi").agg(F.count(F.lit(1)), F.max(F.size("feat"))).first()
+    if max(n * (16 + 4 * (width or 0)), 8 * hot.count()) > max_bytes:
+        marked = front.join(ids.withColumn("_hot", F.lit(True)), key, "left")
+        salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*front.columns), F.lit(salts))).otherwise(0))
+        spread = by_id.join(ids.withColumn("_hot", F.lit(True)), key, "left").withColumn("_salt", F.explode(
+            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("bigint")).drop("_hot")
+        return salted.drop("_hot").join(spread, [key, "_salt"], "left").select(*front.columns, "feat")
     hot_feats = F.broadcast(by_id.join(F.broadcast(ids), key, "left_semi"))
     often = front.join(F.broadcast(ids), key, "left_semi").join(hot_feats, key, "left")
     seldom = front.join(F.broadcast(ids), key, "left_anti").join(by_id, key, "left")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ordering import dense_ordinal, running_sum
 
@@ -42,18 +43,21 @@ def add_reverse(edges: DataFrame) -> DataFrame:
 
 
 def append_edges(graph: DataFrame | None, edges: DataFrame, order_by: Sequence[str] = ("ts", "src", "dst"),
-                 reverse: bool = False) -> DataFrame:
+                 reverse: bool = False, known: tuple[int, int] | None = None) -> DataFrame:
     """Append a batch. Missing eids continue from the number of edges; missing seq follows the eid.
 
-    `order_by` is the arrival order, needed (as a total order) only when eids are missing.
+    `order_by` is the arrival order, needed (as a total order) only when eids are missing. `known`
+    is (number of edges, highest seq) of the graph so far, if the caller keeps them; without it the
+    stored graph is read for them.
     """
     edges = validate_edges(edges)
     if "eid" not in edges.columns:
-        edges = assign_edge_ids(edges, order_by, num_edges(graph) if graph is not None else 0)
+        have = 0 if graph is None else known[0] if known else num_edges(graph)
+        edges = assign_edge_ids(edges, order_by, have)
     if "seq" not in edges.columns:
         edges = edges.withColumn("seq", F.col("eid"))
     if graph is not None:
-        last = graph.agg(F.max("seq")).first()[0]
+        last = known[1] if known else graph.agg(F.max("seq")).first()[0]
         first = edges.agg(F.min("seq")).first()[0]
         shift = 0 if last is None else last + 1 - first
         edges = edges.withColumn("seq", F.col("seq") + shift)
@@ -109,15 +113,19 @@ def edge_ids(edges: DataFrame) -> DataFrame:
 
 
 def graph_counts(edges: DataFrame) -> DataFrame:
-    """(metric, value): vertices, source vertices, distinct edges, highest vertex id."""
-    def metric(df: DataFrame, name: str, value) -> DataFrame:
-        return df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("metric"), "value")
+    """(metric, value): vertices, source vertices, distinct edges, highest vertex id.
 
-    vertices = nodes(edges)
-    return (metric(vertices, "num_vertices", F.count(F.lit(1)))
-            .union(metric(src_nodes(edges), "num_source_vertices", F.count(F.lit(1))))
-            .union(metric(edge_ids(edges), "num_edges", F.count(F.lit(1))))
-            .union(metric(edges, "max_vertex_id", F.max(F.greatest("src", "dst")))))
+    The ends are reduced to one row per vertex before anything is counted; ids are a second pass.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("source")),
+                             F.struct(F.col("dst").alias("node"), F.lit(0).alias("source"))))
+    vertices = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.max("source").alias("source"))
+    metrics = {"num_vertices": F.count(F.lit(1)), "num_source_vertices": F.coalesce(F.sum("source"), F.lit(0)),
+               "max_vertex_id": F.max("node")}
+    counted = vertices.agg(*[value.cast("bigint").alias(name) for name, value in metrics.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in metrics]))
+    num = edge_ids(edges).agg(F.count(F.lit(1)).alias("value")).select(F.lit("num_edges").alias("metric"), "value")
+    return counted.select(rows.alias("m")).select("m.metric", "m.value").union(num)
 
 
 def retain_since(edges: DataFrame, since) -> DataFrame:
@@ -125,19 +133,29 @@ def retain_since(edges: DataFrame, since) -> DataFrame:
     return edges.filter(F.col("ts") >= F.lit(since))
 
 
-def archive_before(edges: DataFrame, before: int, path: str, unit: int = 86_400_000_000) -> DataFrame:
-    """Write rows older than `before` to date-partitioned files and return the rows that stay."""
+def archive_before(edges: DataFrame, before: int, path: str, unit: int = 86_400_000_000,
+                   run: str | None = None) -> DataFrame:
+    """Write rows older than `before` to date-partitioned files and return the rows that stay.
+
+    Every run has a folder of its own, named by `before` unless `run` is given, and a repeated run
+    replaces it. If nothing is old nothing is written, so an earlier archive is never emptied.
+    """
     old = edges.filter(F.col("ts") < F.lit(before)).withColumn("day", F.floor(F.col("ts") / unit))
     # day and src order: many files per day when a day is large, few small ones otherwise
-    (old.repartitionByRange("day", "src", "ts", "seq").sortWithinPartitions("day", "src", "ts", "seq")
-     .write.partitionBy("day").mode("append").parquet(path))
+    if not old.isEmpty():
+        (old.repartitionByRange("day", "src", "ts", "seq").sortWithinPartitions("day", "src", "ts", "seq")
+         .write.partitionBy("day").mode("overwrite").parquet(f"{path}/run={run or before}"))
     return edges.filter(F.col("ts") >= F.lit(before))
 
 
 def restore_archive(edges: DataFrame, path: str, since: int | None = None,
                     unit: int = 86_400_000_000) -> DataFrame:
-    """Union archived rows back; `since` prunes whole days."""
-    old = edges.sparkSession.read.parquet(path)
+    """Union archived rows of all runs back; `since` prunes whole days. No archive: nothing to add."""
+    spark = edges.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return edges
+    old = spark.read.schema(T.StructType(list(edges.schema)).add("day", "long").add("run", "string")).parquet(path)
     if since is not None:
         old = old.filter((F.col("day") >= since // unit) & (F.col("ts") >= F.lit(since)))
     return edges.unionByName(old.select(*edges.columns))

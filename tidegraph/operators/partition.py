@@ -8,6 +8,7 @@ sequential run would give, with the same score and capacity rules.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -16,13 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_hash
 from ..plans.ordering import dense_ordinal, running_sum
 from ..plans.storage import freeze
-
-MAX_PARTITIONS = 128
-
+from .graph import nodes
 
 def _check(parts: int) -> None:
-    if not 0 < parts <= MAX_PARTITIONS:
-        raise ValueError(f"number of partitions must be in 1..{MAX_PARTITIONS}")
+    if parts < 1:
+        raise ValueError("there must be at least one partition")
 
 
 def empty_ptable(spark) -> DataFrame:
@@ -60,7 +59,9 @@ def partition_balanced(edges: DataFrame, parts: int, weight: str = "edgecount",
                        ptable: DataFrame | None = None) -> DataFrame:
     """New sources in id order, cut where the running weight crosses total/P.
 
-    Time weights count from the earliest edge and are summed exactly (decimal).
+    With an earlier table the new sources are laid end to end over the room below one common level,
+    the least loaded partitions first: loads continue from what the partitions hold. Time weights
+    count from the earliest edge and are summed exactly (decimal).
     """
     _check(parts)
     if weight not in WEIGHTS:
@@ -74,7 +75,10 @@ def partition_balanced(edges: DataFrame, parts: int, weight: str = "edgecount",
         value = total if weight == "timestampsum" else F.floor(total / F.count(F.lit(1)))
         per_node = rows.groupBy("node").agg(value.cast("decimal(28,0)").alias("w"))
     if ptable is not None:
+        held = _loads(ptable.join(per_node, "node", "left"), parts, F.sum("w"))
         per_node = per_node.join(ptable.select("node"), "node", "left_anti")
+        if any(held):
+            return _extend(ptable, _fill(freeze(per_node, "weights"), held, "w", parts, ["node"], big=True))
     summed = freeze(running_sum(per_node, [], ["node"], {"cum": F.col("w")}, big=True), "weights")
     total = summed.agg(F.max("cum")).first()[0] or 0
     if total == 0:
@@ -113,9 +117,9 @@ def _fennel_choice(pairs: DataFrame, fresh: DataFrame, ptable: DataFrame, sizes:
 
 
 def _fennel_terms(edges: DataFrame, parts: int, upsilon: float) -> tuple[float, float]:
-    """alpha and the capacity of a partition; the highest node id stands for the node count."""
-    num_edges, max_node = edges.agg(F.count(F.lit(1)), F.max(F.greatest("src", "dst"))).first()
-    return parts ** 0.5 * num_edges / max(max_node, 1) ** 1.5, max_node * upsilon / parts
+    """alpha and the capacity of a partition, from the numbers of edges and of distinct nodes."""
+    num_edges, num_nodes = edges.count(), nodes(edges).count()
+    return parts ** 0.5 * num_edges / max(num_nodes, 1) ** 1.5, num_nodes * upsilon / parts
 
 
 def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float = 1.1,
@@ -172,13 +176,14 @@ def _commit(table: DataFrame, choices: DataFrame, loads: list[int], capacity: fl
     return freeze(_extend(table, summed.filter(fits)), "ptable")
 
 
-def _fill(left: DataFrame, loads: list[int], weight: str, parts: int) -> DataFrame:
+def _fill(left: DataFrame, loads: list[int], weight: str, parts: int, order_by: list[str] | None = None,
+          big: bool = False) -> DataFrame:
     """Nodes no partition had room for: laid end to end over the room below one common level.
 
     The level takes the remaining weight exactly; the least loaded partitions are filled first.
     """
-    summed = running_sum(left, [], [weight, "node"], {"_cum": F.col(weight)})
-    total = left.agg(F.sum(weight)).first()[0] or 0
+    summed = running_sum(left, [], order_by or [weight, "node"], {"_cum": F.col(weight)}, big=big)
+    total = int(left.agg(F.sum(weight)).first()[0] or 0)
     order = sorted(range(parts), key=lambda i: (loads[i], i))
     below = [0, *accumulate(loads[i] for i in order)]
     used = next(u for u in range(1, parts + 1)
@@ -186,7 +191,7 @@ def _fill(left: DataFrame, loads: list[int], weight: str, parts: int) -> DataFra
     pid = F.lit(order[0])
     for i in range(1, used):
         start = -((used * below[i] - i * (total + below[used])) // used)
-        pid = F.when(F.col("_cum") - F.col(weight) >= start, F.lit(order[i])).otherwise(pid)
+        pid = F.when(F.col("_cum") - F.col(weight) >= F.lit(Decimal(start) if big else start), F.lit(order[i])).otherwise(pid)
     return summed.withColumn("pid", pid).select("node", "pid")
 
 
@@ -306,7 +311,7 @@ def interleave_workers(edges: DataFrame, workers: int, pid: str = "new_pid") ->
     """Row j of a partition goes to worker j mod L; the trailing remainder is dropped."""
     sizes = edges.groupBy(pid).agg(F.count(F.lit(1)).alias("_size"))
     whole = F.col("_size") - F.col("_size") % workers
-    # one row per partition, at most MAX_PARTITIONS
+    # one row per partition of the graph
     return (edges.join(F.broadcast(sizes), pid).filter(F.col("pos") < whole)
             .withColumn("worker", (F.col("pos") % workers).cast("int")).drop("_size"))
 

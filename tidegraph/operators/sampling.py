@@ -263,10 +263,7 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
         if hop == 0:
             layer = sample_layer(edges, roots, k, how, hop, None, snapshots, window, seed, **options)
         else:
-            layer = None
-            for s, front in current.items():
-                part = _one_snapshot(edges, front, k, how, hop, s, snapshots, window, seed, options)
-                layer = part if layer is None else layer.unionByName(part)
+            layer = _later_hop(edges, current, k, how, hop, snapshots, window, seed, options)
         if hop + 1 < len(fanouts):
             layer = freeze(layer, f"hop{hop}")
             current = {s: frontier(current[s], layer, k, span, s) for s in current}
@@ -282,18 +279,25 @@ def sample_preset(edges: DataFrame, roots: DataFrame, preset: SamplingPreset, se
                             preset.prop_time, preset.static, strategy)
 
 
-def _one_snapshot(edges, front, k, how, hop, snapshot, snapshots, window, seed, options) -> DataFrame:
-    """Sample one snapshot of several: only that window is probed."""
+def _later_hop(edges, fronts, k, how, hop, snapshots, window, seed, options) -> DataFrame:
+    """Every snapshot has a frontier of its own and is asked in its own window, all in one probe."""
     if snapshots == 1:
-        return sample_layer(edges, front, k, how, hop, None, 1, window, seed, **options)
-    shift = (snapshots - 1 - snapshot) * window
-    bounds = (front.withColumn("snapshot", F.lit(snapshot))
-              .withColumn("end", F.col("ts") - shift).withColumn("start", F.col("end") - window))
+        return sample_layer(edges, fronts[0], k, how, hop, None, 1, window, seed, **options)
+    bounds = None
+    for s, front in fronts.items():
+        part = _snapshot_bounds(front, s, snapshots, window)
+        bounds = part if bounds is None else bounds.unionByName(part)
     if how == "recent":
         return recent_within(edges, bounds, k, options["prop_time"], hop, False, options["strategy"])
     return uniform_within(edges, bounds, k, seed, False, options["prop_time"], hop, False, options["strategy"])
 
 
+def _snapshot_bounds(front, snapshot, snapshots, window) -> DataFrame:
+    shift = (snapshots - 1 - snapshot) * window
+    return (front.withColumn("snapshot", F.lit(snapshot))
+            .withColumn("end", F.col("ts") - shift).withColumn("start", F.col("end") - window))
+
+
 def to_block(samples: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One hop and snapshot as (edges, frontier) with dense ordinals.
 

@@ -24,9 +24,8 @@ def insert_missing_state(state: DataFrame, nodes: DataFrame, mem_dim: int, mail_
 
 def reset_state(state: DataFrame) -> DataFrame:
     """Zero every value and time, keep the keys."""
-    return state.withColumns({
-        "mem": zero_like("mem"), "mail": zero_like("mail"),
-        "mem_ts": F.col("mem_ts") * 0, "mail_ts": F.col("mail_ts") * 0})
+    zero = {c: F.lit(0).cast(state.schema[c].dataType) for c in ("mem_ts", "mail_ts")}
+    return state.withColumns({"mem": zero_like("mem"), "mail": zero_like("mail"), **zero})
 
 
 def node_state_lookup(front: DataFrame, state: DataFrame, mem_dim: int, mail_dim: int) -> DataFrame:
@@ -37,6 +36,15 @@ def node_state_lookup(front: DataFrame, state: DataFrame, mem_dim: int, mail_dim
         "mail": F.coalesce("mail", zeros(mail_dim)), "mail_ts": F.coalesce("mail_ts", zero)})
 
 
+def _last_positions(marks: DataFrame) -> DataFrame:
+    """(node, batch_id, pos) of the last row of each node: the latest batch, then the latest position.
+
+    Only fixed-width numbers are aggregated, combined on the map side, and no vector is moved before
+    its row has won."""
+    batch = marks.groupBy("node").agg(F.max("batch_id").alias("batch_id"))
+    return marks.join(batch, ["node", "batch_id"]).groupBy("node", "batch_id").agg(F.max("pos").alias("pos"))
+
+
 def last_memory(batch: DataFrame) -> DataFrame:
     """Last memory per node over the positive rows of stacked batches.
 
@@ -44,9 +52,8 @@ def last_memory(batch: DataFrame) -> DataFrame:
     aggregation combines on the map side, so a hot node sends one row per task.
     """
     positive = batch.filter(F.col("role").isin("src", "dst"))
-    last = F.max_by(F.struct("mem", "ts"), F.struct("batch_id", "pos"))
-    return positive.groupBy("node").agg(last.alias("_l")).select(
-        "node", F.col("_l.mem").alias("mem"), F.col("_l.ts").alias("mem_ts"))
+    last = _last_positions(positive.select("node", "batch_id", "pos"))
+    return positive.join(last, ["node", "batch_id", "pos"]).select("node", "mem", F.col("ts").alias("mem_ts"))
 
 
 def last_mail(interactions: DataFrame, edge_dim: int = 0) -> DataFrame:
@@ -57,15 +64,15 @@ def last_mail(interactions: DataFrame, edge_dim: int = 0) -> DataFrame:
     """
     edge = F.col("feat") if "feat" in interactions.columns else zeros(edge_dim)
     edge = F.transform(edge, lambda x: x.cast("double"))
-    roles = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("mem_src").alias("a"), F.col("mem_dst").alias("b")),
-        F.struct(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("mem_dst").alias("a"), F.col("mem_src").alias("b")))
-    mails = interactions.withColumn("_e", edge).withColumn("_r", F.explode(roles)).select(
-        F.col("_r.node").alias("node"), F.concat("_r.a", "_r.b", "_e").alias("mail"), "ts",
-        F.struct("batch_id", "i", "_r.side").alias("_at"))
-    last = F.max_by(F.struct("mail", "ts"), "_at")
-    return mails.groupBy("node").agg(last.alias("_l")).select(
-        "node", F.col("_l.mail").alias("mail"), F.col("_l.ts").alias("mail_ts"))
+    # where each end stands: interaction i, source before destination
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), (2 * F.col("i")).alias("pos")),
+                             F.struct(F.col("dst").alias("node"), (2 * F.col("i") + 1).alias("pos"))))
+    last = _last_positions(interactions.select("batch_id", ends.alias("_r")).select("_r.node", "batch_id", "_r.pos"))
+    # mails are made for the winners only
+    won = last.select("node", "batch_id", F.col("pos").alias("_pos"), F.floor(F.col("pos") / 2).alias("i"))
+    theirs = won.join(interactions, ["batch_id", "i"])
+    mail = F.when(F.col("_pos") % 2 == 0, F.concat("mem_src", "mem_dst", edge)).otherwise(F.concat("mem_dst", "mem_src", edge))
+    return theirs.select("node", mail.alias("mail"), F.col("ts").alias("mail_ts"))
 
 
 def _merge(state: DataFrame, fresh: DataFrame, columns: tuple[str, str], mem_dim: int, mail_dim: int) -> DataFrame:

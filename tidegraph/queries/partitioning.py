@@ -52,7 +52,7 @@ def partition_balanced_timestampavg(spark, sf):
 
 FENNEL = f"""WITH size AS (SELECT p.pid, count(item_pt.node) AS n FROM (SELECT unnest(range(0, {PARTS})) AS pid) p
       LEFT JOIN item_pt USING (pid) GROUP BY p.pid),
-    g AS (SELECT count(*) AS m, max(greatest(src, dst)) AS maxn FROM rv),
+    g AS (SELECT count(*) AS m, (SELECT count(*) FROM (SELECT src FROM rv UNION SELECT dst FROM rv)) AS maxn FROM rv),
     near AS (SELECT src AS node, pid, count(*) AS c FROM rv JOIN item_pt ON item_pt.node = dst
       WHERE src NOT IN (SELECT node FROM item_pt) GROUP BY ALL),
     score AS (SELECT u.node, s.pid, coalesce(c, 0)
@@ -63,6 +63,30 @@ FENNEL = f"""WITH size AS (SELECT p.pid, count(item_pt.node) AS n FROM (SELECT u
     WHERE k = 1"""
 
 
+def fill_sql(held: str, fresh: str) -> str:
+    """Clauses up to `filled`(node, pid): nodes of `fresh`(node, w), in id order, laid end to end over
+    the room below one level that the partitions of `held`(pid, l) leave."""
+    return f"""ranked AS (SELECT pid, l, row_number() OVER (ORDER BY l, pid) - 1 AS i, sum(l) OVER (ORDER BY l, pid) - l AS below,
+      lead(l) OVER (ORDER BY l, pid) AS nxt FROM {held}),
+    laid AS (SELECT node, w, sum(w) OVER (ORDER BY node) - w AS begins FROM {fresh}),
+    tot AS (SELECT coalesce(sum(w), 0) AS total FROM laid),
+    used AS (SELECT min(i + 1) AS u FROM ranked, tot WHERE nxt IS NULL OR total + below + l <= (i + 1) * nxt),
+    lv AS (SELECT u, total + (SELECT sum(l) FROM ranked WHERE i < u) AS level FROM used, tot),
+    starts AS (SELECT pid, i, ceil((i * level - u * below)::DOUBLE / u)::BIGINT AS s FROM ranked, lv WHERE i < u),
+    filled AS (SELECT node, arg_max(pid, i) AS pid FROM laid JOIN starts ON begins >= s OR i = 0 GROUP BY node)"""
+
+
+@query(f"""WITH per AS (SELECT src AS node, count(*) AS w FROM rv GROUP BY src),
+    held AS (SELECT p.pid, coalesce(sum(w), 0) AS l FROM (SELECT unnest(range(0, {PARTS})) AS pid) p
+      LEFT JOIN item_pt USING (pid) LEFT JOIN per USING (node) GROUP BY p.pid),
+    fresh AS (SELECT node, w FROM per WHERE node NOT IN (SELECT node FROM item_pt)),
+    {fill_sql('held', 'fresh')}
+    SELECT node, pid FROM item_pt UNION ALL SELECT node, pid FROM filled""")
+def partition_balanced_on_table(spark, sf):
+    """Items keep their partition; users fill the room that the items' edges leave."""
+    return _table(P.partition_balanced(both_ways(spark, sf), PARTS, "edgecount", item_ptable(spark, sf)))
+
+
 @query(FENNEL)
 def fennel_round(spark, sf):
     return _table(P.fennel_round(both_ways(spark, sf), item_ptable(spark, sf), PARTS))
@@ -74,8 +98,8 @@ PIDS = f"(SELECT unnest(range(0, {PARTS})) AS pid) p"
 
 
 def fennel_rounds_sql() -> str:
-    """All rounds unrolled; every partition has room, so nothing is left to fill."""
-    steps = [EMPTY, "g AS (SELECT count(*) AS m, max(greatest(src, dst)) AS maxn FROM rv)",
+    """All rounds unrolled; what no round had room for is filled in at the end."""
+    steps = [EMPTY, "g AS (SELECT count(*) AS m, (SELECT count(*) FROM (SELECT src FROM rv UNION SELECT dst FROM rv)) AS maxn FROM rv)",
              f"slices AS (SELECT node, {sql_hash('node')} % {ROUNDS} AS slice FROM (SELECT DISTINCT src AS node FROM rv))"]
     for r in range(ROUNDS):
         steps += [
@@ -85,9 +109,13 @@ def fennel_rounds_sql() -> str:
             f"""score{r} AS (SELECT u.node, s.pid, coalesce(c, 0) - sqrt({PARTS}) * m / power(maxn, 1.5) * 1.5 * power(s.n, 0.5) AS score
                 FROM turn{r} u CROSS JOIN size{r} s CROSS JOIN g LEFT JOIN near{r} x ON x.node = u.node AND x.pid = s.pid
                 WHERE s.n < maxn * 1.1 / {PARTS})""",
-            f"""t{r + 1} AS (SELECT * FROM t{r} UNION ALL SELECT node, pid FROM (SELECT node, pid,
-                row_number() OVER (PARTITION BY node ORDER BY score DESC, pid) AS k FROM score{r}) WHERE k = 1)"""]
-    return f"WITH {', '.join(steps)} SELECT node, pid FROM t{ROUNDS}"
+            f"""best{r} AS (SELECT node, pid, row_number() OVER (PARTITION BY pid ORDER BY node) AS nth FROM (SELECT node, pid,
+                row_number() OVER (PARTITION BY node ORDER BY score DESC, pid) AS k FROM score{r}) WHERE k = 1)""",
+            f"""t{r + 1} AS (SELECT * FROM t{r} UNION ALL SELECT node, pid FROM best{r} JOIN size{r} USING (pid), g
+                WHERE n + nth <= maxn * 1.1 / {PARTS})"""]
+    steps += [f"held AS (SELECT p.pid, count(t.node) AS l FROM {PIDS} LEFT JOIN t{ROUNDS} t ON t.pid = p.pid GROUP BY p.pid)",
+              f"fresh AS (SELECT node, 1 AS w FROM slices WHERE node NOT IN (SELECT node FROM t{ROUNDS}))", fill_sql("held", "fresh")]
+    return f"WITH {', '.join(steps)} SELECT node, pid FROM t{ROUNDS} UNION ALL SELECT node, pid FROM filled"
 
 
 @query(fennel_rounds_sql())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
+from ..plans.ordering import dense_ordinal
 from .common import (DAY, PARTS, SEED, both_ways, end_roots, event_edges, event_roots, item_ptable, order_edges,
                      query, sql_hash)
 
@@ -106,45 +107,81 @@ def sample_snapshots(spark, sf):
     return _long(S.sample_recent(both_ways(spark, sf), end_roots(spark, sf), 5, DAY, 3), SNAP)
 
 
-HOPS = """WITH hop0 AS ({first}), span AS (SELECT max(rid) + 1 AS s FROM end_roots),
+HOP_OUT = ["hop", "rid", "slot", "root_node", "src_node", "eid", "out_ts", "dt"]
+
+
+def hops_sql(first: str, second: str, k: int, out: str) -> str:
+    """All rows of two hops; the second asks for the roots again and for what the first found."""
+    rows = "rid, slot, root_node, src_node, eid, {out} AS out_ts, dt"
+    return f"""WITH hop0 AS ({first}), span AS (SELECT max(rid) + 1 AS s FROM end_roots),
     front AS (SELECT rid, node, ts FROM end_roots UNION ALL
-      SELECT s + rid * 5 + slot, src_node, {out} FROM hop0, span), hop1 AS ({second})
-    SELECT 0 AS hop, rid, count(*) AS n, sum(eid)::BIGINT AS sum_eid, sum(dt)::BIGINT AS sum_dt FROM hop0 GROUP BY rid
-    UNION ALL SELECT 1, rid, count(*), sum(eid)::BIGINT, sum(dt)::BIGINT FROM hop1 GROUP BY rid"""
+      SELECT s + rid * {k} + slot, src_node, {out} FROM hop0, span), hop1 AS ({second})
+    SELECT 0 AS hop, {rows.format(out=out)} FROM hop0 UNION ALL SELECT 1, {rows.format(out=out)} FROM hop1"""
 
 
-def _per_root(layers):
+def _all_hops(layers, columns=HOP_OUT):
     out = None
     for layer in layers:
-        per = layer.groupBy(F.col("hop").cast("bigint").alias("hop"), "rid").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("eid").alias("sum_eid"), F.sum("dt").cast("bigint").alias("sum_dt"))
-        out = per if out is None else out.unionByName(per)
-    return out
+        out = layer if out is None else out.unionByName(layer)
+    return _long(out, columns)
 
 
-@query(HOPS.format(first=recent_sql("rv", "end_roots", 5), second=recent_sql("rv", "front", 5), out="edge_ts"))
+@query(hops_sql(recent_sql("rv", "end_roots", 5), recent_sql("rv", "front", 5), 5, "edge_ts"))
 def sample_multi_hop(spark, sf):
-    return _per_root(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [5, 5]))
+    return _all_hops(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [5, 5]))
 
 
-@query(HOPS.format(first=recent_sql("rv", "end_roots", 5), second=recent_sql("rv", "front", 5), out="root_ts"))
+@query(hops_sql(recent_sql("rv", "end_roots", 5), recent_sql("rv", "front", 5), 5, "root_ts"))
 def sample_with_root_time(spark, sf):
     """Sampled nodes are asked again at the root's time instead of the edge's."""
-    return _per_root(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [5, 5], prop_time=True))
+    return _all_hops(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [5, 5], prop_time=True))
+
+
+@query(hops_sql(uniform_sql("rv", "end_roots", 3, None, SEED), uniform_sql("rv", "front", 3, None, SEED, 1), 3, "edge_ts"))
+def sample_multi_hop_uniform(spark, sf):
+    return _all_hops(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [3, 3], "uniform", seed=SEED))
+
+
+def snapshot_hops_sql(how, k: int, count: int, window: int, out: str) -> str:
+    """Two hops in snapshots: every snapshot's second hop starts from its own first one."""
+    fronts = [f"""f{s} AS (SELECT rid, node, ts FROM end_roots UNION ALL
+        SELECT s + rid * {k} + slot, src_node, {out} FROM s0, span WHERE snapshot = {s})""" for s in range(count)]
+    later = [f"h{s} AS (SELECT * FROM ({how('rv', f'f{s}', k, count, window, 1)}) WHERE snapshot = {s})" for s in range(count)]
+    rows = f"snapshot, rid, slot, root_node, src_node, eid, {out} AS out_ts, dt"
+    union = " UNION ALL ".join(f"SELECT 1 AS hop, {rows} FROM h{s}" for s in range(count))
+    return f"""WITH s0 AS ({how('rv', 'end_roots', k, count, window, 0)}), span AS (SELECT max(rid) + 1 AS s FROM end_roots),
+        {', '.join([*fronts, *later])} SELECT 0 AS hop, {rows} FROM s0 UNION ALL {union}"""
+
+
+def recent_in_snapshots(edges, roots, k, count, window, hop):
+    return snapshots_sql(edges, roots, k, count, window)
+
+
+def uniform_in_snapshots(edges: str, roots: str, k: int, count: int, window: int, hop: int) -> str:
+    return f"""SELECT c.snapshot, rid, slot, node AS root_node, root_ts, dst AS src_node, eid, ts AS edge_ts, root_ts - ts AS dt
+        FROM (SELECT s.snapshot, r.rid, r.node, r.ts AS root_ts, e.dst, e.eid, e.ts,
+            row_number() OVER (PARTITION BY s.snapshot, r.rid ORDER BY e.ts DESC, e.seq DESC) - 1 AS back,
+            count(*) OVER (PARTITION BY s.snapshot, r.rid) AS n
+            FROM {roots} r CROSS JOIN (SELECT unnest(range(0, {count})) AS snapshot) s JOIN {edges} e ON e.src = r.node
+            AND e.ts < r.ts - ({count - 1} - s.snapshot) * {window}
+            AND e.ts >= r.ts - ({count - 1} - s.snapshot) * {window} - {window}) c
+        CROSS JOIN (SELECT unnest(range(0, {k})) AS slot) s
+        WHERE back = {sql_hash(str(SEED), str(hop), 'c.snapshot', 'rid', 'slot')} % n"""
 
 
-@query(f"""WITH s0 AS ({snapshots_sql("rv", "end_roots", 3, 2, DAY)}), span AS (SELECT max(rid) + 1 AS s FROM end_roots),
-    f0 AS (SELECT rid, node, ts FROM end_roots UNION ALL
-      SELECT s + rid * 3 + slot, src_node, edge_ts FROM s0, span WHERE snapshot = 0),
-    f1 AS (SELECT rid, node, ts FROM end_roots UNION ALL
-      SELECT s + rid * 3 + slot, src_node, edge_ts FROM s0, span WHERE snapshot = 1),
-    a AS ({snapshots_sql("rv", "f0", 3, 2, DAY)}), b AS ({snapshots_sql("rv", "f1", 3, 2, DAY)})
-    SELECT snapshot, count(*) AS n, sum(eid)::BIGINT AS sum_eid, sum(dt)::BIGINT AS sum_dt FROM
-      (SELECT * FROM a WHERE snapshot = 0 UNION ALL SELECT * FROM b WHERE snapshot = 1) GROUP BY snapshot""")
+SNAP_HOPS = ["hop", "snapshot", *HOP_OUT[1:]]
+
+
+@query(snapshot_hops_sql(recent_in_snapshots, 3, 2, DAY, "edge_ts"))
 def sample_multi_hop_snapshots(spark, sf):
-    outer, _ = S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [3, 3], snapshots=2, window=DAY)
-    return outer.groupBy(F.col("snapshot").cast("bigint").alias("snapshot")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("eid").alias("sum_eid"), F.sum("dt").cast("bigint").alias("sum_dt"))
+    return _all_hops(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [3, 3], snapshots=2, window=DAY), SNAP_HOPS)
+
+
+@query(snapshot_hops_sql(uniform_in_snapshots, 3, 3, DAY // 4, "root_ts"))
+def sample_uniform_snapshots_root_time(spark, sf):
+    """Two uniform hops in three snapshots; sampled nodes are asked at the root's time."""
+    return _all_hops(S.sample_multi_hop(both_ways(spark, sf), end_roots(spark, sf), [3, 3], "uniform", 3, DAY // 4, SEED,
+                                        prop_time=True), SNAP_HOPS)
 
 
 @query("SELECT * FROM (" + snapshots_sql("rv", "end_roots", 5, 3, DAY) + ") WHERE snapshot = 1")
@@ -162,6 +199,18 @@ def sample_static(spark, sf):
     return _long(S.sample_static(edges, roots, K), ["rid", "slot", "src_node", "eid"])
 
 
+@query(f"""WITH cand AS (SELECT r.rid, e.dst AS src_node, e.eid,
+      row_number() OVER (PARTITION BY r.rid ORDER BY e.ts DESC, e.seq DESC) - 1 AS back, count(*) OVER (PARTITION BY r.rid) AS n
+      FROM (SELECT DISTINCT src AS rid, src AS node FROM rv) r JOIN rv e ON e.src = r.node)
+    SELECT rid, slot, src_node, eid FROM cand CROSS JOIN (SELECT unnest(range(0, {K})) AS slot) s
+    WHERE back = {sql_hash(str(SEED), '0', '0', 'rid', 'slot')} % n""")
+def sample_static_uniform(spark, sf):
+    edges = both_ways(spark, sf)
+    roots = edges.select(F.col("src").alias("rid"), F.col("src").alias("node")).distinct().withColumn(
+        "ts", F.lit(0).cast("bigint"))
+    return _long(S.sample_static(edges, roots, K, "uniform", SEED), ["rid", "slot", "src_node", "eid"])
+
+
 @query("""WITH r AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS "row" FROM roots)
     SELECT "row", (SELECT count(*) FROM r) + row_number() OVER (ORDER BY "row", slot) - 1 AS col, eid,
       root_ts - edge_ts AS dt FROM recent5 JOIN r USING (rid)""")
@@ -202,19 +251,19 @@ def unique_frontier(spark, sf):
     return S.unique_frontier(roots.select("node").union(samples.select("src_node")))
 
 
-@query("SELECT rid, node, ts FROM end_roots")
+@query("SELECT row_number() OVER (ORDER BY node, rid) - 1 AS at, rid, node, ts FROM end_roots")
 def sort_frontier(spark, sf):
-    return S.sort_frontier(end_roots(spark, sf))
+    """The order is the result: `at` is the position in it."""
+    return dense_ordinal(S.sort_frontier(end_roots(spark, sf)), ["node", "rid"], "at")
 
 
-@query(f"""SELECT w AS "window", count(*) AS n, sum(eid)::BIGINT AS sum_eid FROM (
-    SELECT w, e.eid, row_number() OVER (PARTITION BY w, r.rid ORDER BY e.ts DESC, e.seq DESC) AS k
+@query(f"""SELECT w AS "window", rid, slot, src_node, eid FROM (
+    SELECT w, r.rid, e.dst AS src_node, e.eid, row_number() OVER (PARTITION BY w, r.rid ORDER BY e.ts DESC, e.seq DESC) - 1 AS slot
     FROM end_roots r CROSS JOIN (SELECT unnest([0, {DAY}, {DAY // 24}]) AS w) JOIN rv e ON e.src = r.node AND e.ts < r.ts
-    AND e.ts >= CASE WHEN w = 0 THEN 0 ELSE r.ts - w END) WHERE k <= 10 GROUP BY w""")
+    AND e.ts >= CASE WHEN w = 0 THEN 0 ELSE r.ts - w END) WHERE slot < 10""")
 def compare_windows(spark, sf):
     """Whole history, one day, one hour."""
     windows = [0, DAY, DAY // 24]
     got = S.compare_windows(both_ways(spark, sf), end_roots(spark, sf), K, windows)
     names = F.array(*[F.lit(w) for w in windows])
-    return got.groupBy(F.get(names, F.col("snapshot")).alias("window")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("eid").alias("sum_eid"))
+    return got.select(F.get(names, F.col("snapshot")).alias("window"), "rid", F.col("slot").cast("bigint").alias("slot"), "src_node", "eid")

@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 from ..functions.vectors import to_float32
 from ..operators.partition import dispatch_by_source
 from ..plans.ordering import dense_ordinal
-from ..schema import EDGE_FILE, FEATURES, NODE_STATE, PARTITION_TABLE
+from ..schema import EDGE_FILE, FEATURES, PARTITION_TABLE
 
 SPLITS = ("train", "val", "test")
+INDEX_NAMES = ("Unnamed: 0", "_c0", "eid")  # a column without a name reads as _c0
 
 
 def read_edges(spark: SparkSession, path: str, fmt: str = "csv", time_type: str = "double") -> DataFrame:
-    """Edge file with an unnamed index column: the index becomes the eid, time becomes ts."""
-    reader = spark.read.schema(EDGE_FILE)
-    raw = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-    return raw.select("src", "dst", F.col("time").cast(time_type).alias("ts"),
-                      F.col("Unnamed: 0").alias("eid"), F.col("Unnamed: 0").alias("seq"), "ext_roll")
+    """Edge file with an unnamed index column: the index becomes the eid, time becomes ts.
+
+    Columns are found by name, wherever they stand; other columns are not read. Files of one folder
+    must agree in their header.
+    """
+    raw = (spark.read.option("header", True).option("enforceSchema", False).csv(path) if fmt == "csv"
+           else spark.read.format(fmt).load(path))
+    index = next((c for c in INDEX_NAMES if c in raw.columns), INDEX_NAMES[0])
+    wanted = {f.name if f.name != INDEX_NAMES[0] else index: f.dataType for f in EDGE_FILE}
+    if missing := [c for c in wanted if c not in raw.columns]:
+        raise ValueError(f"the edge file lacks columns {missing}")
+    typed = raw.select(*[F.col(f"`{c}`").cast(kind).alias("eid" if c == index else c) for c, kind in wanted.items()])
+    return typed.select("src", "dst", F.col("time").cast(time_type).alias("ts"), "eid", F.col("eid").alias("seq"), "ext_roll")
 
 
 def split_by_roll(edges: DataFrame) -> dict[str, DataFrame]:
@@ -114,4 +123,5 @@ def snapshot_state(state: DataFrame, path: str, version: int) -> None:
 
 
 def restore_state(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema(NODE_STATE).parquet(f"{path}/version={version}")
+    """A backed-up state, with the time type it had."""
+    return spark.read.parquet(f"{path}/version={version}")
