@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 CANDIDATES = 8_192  # in a block, about
 QUERIES = 1_024
 MOST_HELD = 1_000_000
@@ -71,7 +73,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // size))
     placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), "id", "vector")
-    return placed.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_packed, _BLOCK), n
+    return placed.repartition("block").sortWithinPartitions("block", "id").transform(map_arrow, _packed, _BLOCK), n
 
 
 class _Side:
@@ -152,7 +154,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     asking = (asking.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
               .select("tile", *(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "vectors", "codes", "scales", "rests"))))
     tiles = asking.join(blocks, asking["tile"] == blocks["block"]).drop("tile", "block")
-    found = tiles.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
+    found = tiles.transform(map_arrow, _search(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import freeze
-from .common import schema_with, sliced, texts_of, with_columns
-from .tokens import Codec, byte_characters, codec, vocabulary
+from .common import by_size, map_arrow, schema_with, sliced, texts_of, with_columns
+from .tokens import Codec, codec, vocabulary
 
-PART_CHARS = 32_768
+PART_CHARS = 65_536
 LONG_WORD = 1_024
 LOOKAHEAD = 3
 
@@ -42,61 +43,87 @@ def halves(text: str, most: int) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+@dataclass
+class Part:
+    """An encoded text: where its pre-tokens end in the text and in the ids (both from 0 on)."""
+    text: str
+    ends: np.ndarray
+    id_ends: np.ndarray
+    ids: np.ndarray
+
+    @property
+    def words(self) -> int:
+        return len(self.ends) - 1
+
+    def word(self, i: int) -> tuple[str, np.ndarray]:
+        i %= self.words
+        return self.text[self.ends[i]:self.ends[i + 1]], self.ids[self.id_ends[i]:self.id_ends[i + 1]]
+
+
+def _ends(sizes: list[int]) -> np.ndarray:
+    return np.cumsum([0, *sizes], dtype=np.int64)
+
+
 class Joiner:
-    """Puts encoded parts together. A part is its list of pre-tokens and the ids of each."""
+    """Encodes parts and puts them together."""
 
     def __init__(self, c: Codec):
         self.codec = c
-        self.model = c.library.model
-        self.character = byte_characters()
 
-    def bpe(self, data: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(self.character[b] for b in data))]
+    def part(self, text: str) -> Part:
+        words = self.codec.words(text)
+        ids = list(map(self.codec.known(words), words))
+        return Part(text, _ends([len(w) for w in words]), _ends([len(i) // 4 for i in ids]), np.frombuffer(b"".join(ids), "<i4"))
 
     def join_ids(self, left: list[int], right: list[int], window: int = 4) -> list[int]:
         """Encoding of the two sides' bytes as one pre-token."""
-        table = self.codec.token_bytes
-        fits = lambda a, b: self.bpe(table[a] + table[b]) == [a, b]
+        table, bpe = self.codec.token_bytes, self.codec.bpe
+        fits = lambda a, b: bpe(table[a] + table[b]) == [a, b]
         while True:
             a, b = left[:-window] if window < len(left) else [], right[window:]
-            middle = self.bpe(b"".join(table[i] for i in [*left[len(a):], *right[:window]]))
+            middle = bpe(b"".join(table[i] for i in [*left[len(a):], *right[:window]]))
             if (not a or fits(a[-1], middle[0])) and (not b or fits(middle[-1], b[0])):
                 return [*a, *middle, *b]
             window *= 2
 
-    def join(self, left: tuple[list, list], right: tuple[list, list], window: int = 8) -> tuple[list, list]:
+    def join(self, left: Part, right: Part, window: int = 8) -> Part:
         """Encoding of the two parts' text."""
-        (lw, li), (rw, ri) = left, right
-        if not lw or not rw:
-            return left if lw else right
+        if not left.words or not right.words:
+            return left if left.words else right
         while True:
-            i, j = max(0, len(lw) - window), min(window, len(rw))
-            tail, head = "".join(lw[i:]), "".join(rw[:j])
+            i, j = max(0, left.words - window), min(window, right.words)
+            tail, head = left.text[left.ends[i]:], right.text[:right.ends[j]]
             if i == 0 or len(tail) >= LOOKAHEAD:
-                cuts = dict(zip(np.cumsum([len(tail), *map(len, rw[:j])]).tolist(), range(j + 1)))
+                cuts = {len(tail) + end: k for k, end in enumerate(right.ends[:j + 1].tolist())}
                 words, at = self.codec.words(tail + head), 0
                 for k, word in enumerate(words, 1):
                     at += len(word)
-                    if at in cuts and (at + LOOKAHEAD <= len(tail) + len(head) or j == len(rw)):
-                        made = [self.ids(w, lw, li, rw, ri) for w in words[:k]]
-                        return lw[:i] + words[:k] + rw[cuts[at]:], li[:i] + made + ri[cuts[at]:]
+                    if at in cuts and (at + LOOKAHEAD <= len(tail) + len(head) or j == right.words):
+                        return self.put_together(left, i, words[:k], right, cuts[at])
             window *= 2
 
-    def ids(self, word: str, lw: list, li: list, rw: list, ri: list) -> list[int]:
-        if len(word) > LONG_WORD and len(word) == len(lw[-1]) + len(rw[0]) and word == lw[-1] + rw[0]:
-            return self.join_ids(li[-1], ri[0])
-        return np.frombuffer(self.codec.encode_words([word])[word], "<i4").tolist()
-
-    def part(self, text: str) -> tuple[list, list]:
-        words = self.codec.words(text)
-        known = {w: np.frombuffer(i, "<i4").tolist() for w, i in self.codec.encode_words(set(words)).items()}
-        return words, [known[w] for w in words]
-
-    def concatenate(self, parts: list[tuple[list, list]]) -> tuple[list, list]:
-        """Neighbours are joined two by two until one is left."""
+    def put_together(self, left: Part, i: int, words: list[str], right: Part, j: int) -> Part:
+        """The first i pre-tokens of left, the new ones, and right from its j-th on."""
+        made = [self.ids(w, left, right) for w in words]
+        n, at = len(left.text), int(left.id_ends[i])
+        ids = np.concatenate([left.ids[:at], *(np.asarray(m, "<i4") for m in made), right.ids[right.id_ends[j]:]])
+        shift = at + sum(map(len, made)) - int(right.id_ends[j])
+        return Part(left.text + right.text,
+                    np.concatenate([left.ends[:i], left.ends[i] + _ends([len(w) for w in words]), right.ends[j + 1:] + n]),
+                    np.concatenate([left.id_ends[:i], at + _ends([len(m) for m in made]), right.id_ends[j + 1:] + shift]), ids)
+
+    def ids(self, word: str, left: Part, right: Part) -> list[int]:
+        if len(word) > LONG_WORD:
+            (a, a_ids), (b, b_ids) = left.word(-1), right.word(0)
+            if word == a + b:
+                return self.join_ids(a_ids.tolist(), b_ids.tolist())
+        return self.codec.bpe(word.encode())
+
+    def concatenate(self, parts: list[Part]) -> np.ndarray:
+        """Ids of the parts' text: neighbours are joined two by two until one is left."""
         while len(parts) > 1:
             parts = [self.join(*parts[k:k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return parts[0] if parts else ([], [])
+        return parts[0].ids if parts else np.empty(0, "<i4")
 
 
 def _id_arrays(encoded: list[bytes]) -> pa.Array:
@@ -104,11 +131,15 @@ def _id_arrays(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
-def _whole(json: str, out: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _whole(json: str, out: str, names: list[str], then):
+    def run(batches: Batches) -> Batches:
         c = codec(json)
-        for batch in sliced(batches, 250):
-            yield with_columns(batch, **{out: _id_arrays(c.encode_all(texts_of(batch, "_encoded")))}).select([*names, out])
+        for batch in by_size(batches, "_encoded"):
+            encoded = _id_arrays([c.encode(t) for t in texts_of(batch, "_encoded")])
+            yield from then(iter([with_columns(batch, **{out: encoded}).select([*names, out])]))
     return run
 
 
@@ -134,36 +165,33 @@ _PART = "row bigint, segment int, part int, special int, text string"
 
 
 def _encode_parts(json: str):
-    """Adds the length of each pre-token, its number of ids, and the ids."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds where the pre-tokens end in the text and in the ids, and the ids."""
+    def run(batches: Batches) -> Batches:
         joiner = Joiner(codec(json))
-        for batch in sliced(batches, 50):
-            lengths, counts, ids = [], [], []
-            for special, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                words, found = joiner.part(text) if special is None else ([], [])
-                lengths.append(np.array([len(w) for w in words], "<i4").tobytes())
-                counts.append(np.array([len(i) for i in found], "<i4").tobytes())
-                ids.append(np.array([t for i in found for t in i], "<i4").tobytes())
-            yield with_columns(batch, lengths=pa.array(lengths, pa.binary()), counts=pa.array(counts, pa.binary()),
-                               ids=pa.array(ids, pa.binary()))
+        for batch in by_size(batches, "text"):
+            parts = [joiner.part(text) if special is None else joiner.part("")
+                     for special, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield with_columns(batch, ends=pa.array([p.ends.astype("<i4").tobytes() for p in parts], pa.binary()),
+                               id_ends=pa.array([p.id_ends.astype("<i4").tobytes() for p in parts], pa.binary()),
+                               ids=pa.array([p.ids.tobytes() for p in parts], pa.binary()))
     return run
 
 
 def _assemble(json: str):
     """Rows sorted by (row, segment, part) -> (row, ids), one text at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         joiner = Joiner(codec(json))
         row, segment, parts, done = None, None, [], []
 
         def close():
             if parts:
-                done.extend(t for i in joiner.concatenate(parts)[1] for t in i)
+                done.append(joiner.concatenate(parts))
                 parts.clear()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), _id_arrays([np.array(done, "<i4").tobytes()])], ["row", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), _id_arrays([b"".join(d.tobytes() for d in done)])], ["row", "ids"])
 
-        for batch in sliced(batches, 20):
+        for batch in sliced(batches, 16):
             for r in batch.to_pylist():
                 if r["row"] != row:
                     close()
@@ -174,11 +202,10 @@ def _assemble(json: str):
                     close()
                     segment = r["segment"]
                 if r["special"] is not None:
-                    done.append(r["special"])
+                    done.append(np.array([r["special"]], "<i4"))
                     continue
-                lengths, counts = (np.cumsum([0, *np.frombuffer(r[n], "<i4")]).tolist() for n in ("lengths", "counts"))
-                ids = np.frombuffer(r["ids"], "<i4").tolist()
-                parts.append(([r["text"][a:b] for a, b in zip(lengths, lengths[1:])], [ids[a:b] for a, b in zip(counts, counts[1:])]))
+                ends, id_ends, ids = (np.frombuffer(r[n], "<i4") for n in ("ends", "id_ends", "ids"))
+                parts.append(Part(r["text"], ends.astype(np.int64), id_ends.astype(np.int64), ids))
         close()
         if row is not None:
             yield out()
@@ -186,11 +213,14 @@ def _assemble(json: str):
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", vocabulary_json: str | None = None,
-           part_chars: int = PART_CHARS) -> DataFrame:
+           part_chars: int = PART_CHARS, then=iter, then_schema: str | None = None) -> DataFrame:
     """df with the ids (array<int>) of the text, as the library gives them without added tokens.
 
     Special strings inside a text become their token, the library's default. A null text counts as
     empty. All columns are kept; one named like `out` is replaced.
+
+    `then`, if given, turns the encoded record batches into others (of `then_schema`) before they
+    leave their task, as decode_batches does.
     """
     json = vocabulary_json or vocabulary()
     names = [c for c in df.columns if c != out]
@@ -198,47 +228,57 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", vocabulary_j
     source = df.select(*quoted, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_encoded"))
     short = source.filter(F.length("_encoded") <= part_chars)
     schema = schema_with(df.select(*quoted), **{out: "array<int>"})
-    encoded = short.mapInArrow(_whole(json, out, names), schema)
+    encoded = short.transform(map_arrow, _whole(json, out, names, then), then_schema or schema)
     # written once, so that its row numbers hold for both uses
     long = freeze(source.filter(F.length("_encoded") > part_chars).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
-    parts = (long.select("_row", "_encoded").mapInArrow(_cut(json, part_chars), _PART).repartition("row", "segment", "part")
-             .mapInArrow(_encode_parts(json), _PART + ", lengths binary, counts binary, ids binary"))
+    parts = (long.select("_row", "_encoded").transform(map_arrow, _cut(json, part_chars), _PART).repartition("row", "segment", "part")
+             .transform(map_arrow, _encode_parts(json), _PART + ", ends binary, id_ends binary, ids binary"))
     whole = (parts.repartition("row").sortWithinPartitions("row", "segment", "part")
-             .mapInArrow(_assemble(json), "row bigint, ids array<int>").select(F.col("row").alias("_row"), F.col("ids").alias("_ids")))
+             .transform(map_arrow, _assemble(json), "row bigint, ids array<int>").select(F.col("row").alias("_row"), F.col("ids").alias("_ids")))
     joined = long.join(whole, "_row").select(*quoted, F.col("_ids").alias(out))
+    if then_schema:
+        joined = joined.transform(map_arrow, then, then_schema)
     return encoded.union(joined)
 
 
+def decode_batches(json: str, ids_col: str = "ids", out: str = "decoded"):
+    """A function that adds to record batches the text of their ids."""
+    def run(batches: Batches) -> Batches:
+        token = codec(json).token_bytes.__getitem__
+        for batch in sliced(batches, 250):
+            ids = batch.column(batch.schema.names.index(ids_col))
+            texts = [None if i is None else b"".join(map(token, i)).decode("utf-8", "replace") for i in _lists(ids)]
+            yield with_columns(batch, **{out: pa.array(texts, pa.string())})
+    return run
+
+
+def _lists(ids: pa.ListArray) -> Iterator[list[int] | None]:
+    for i in range(len(ids)):
+        value = ids[i].values
+        yield None if value is None else value.to_numpy(zero_copy_only=False).tolist()
+
+
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", vocabulary_json: str | None = None) -> DataFrame:
     """df with the text of the ids, special tokens kept; bytes that aren't UTF-8 become U+FFFD.
 
     Null ids give a null text. A column named like `out` is replaced.
     """
-    json = vocabulary_json or vocabulary()
+    return df.transform(map_arrow, decode_batches(vocabulary_json or vocabulary(), ids_col, out), schema_with(df, **{out: "string"}))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = codec(json).token_bytes.__getitem__
-        for batch in sliced(batches, 250):
-            ids = batch.column(batch.schema.names.index(ids_col))
-            texts = [None if i is None else b"".join(map(token, i)).decode("utf-8", "replace") for i in ids.to_pylist()]
-            yield with_columns(batch, **{out: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, schema_with(df, **{out: "string"}))
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(df: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """df with n_tokens and ids_sha256 (of the decimal ids joined by commas) in place of the ids."""
-    kept = [c for c in df.columns if c not in (ids_col, "n_tokens", "ids_sha256")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal: list[bytes] = []
-        for batch in sliced(batches, 250):
-            ids = batch.column(batch.schema.names.index(ids_col)).to_pylist()
-            if most := max((max(i, default=0) for i in ids if i), default=0) + 1 - len(decimal):
-                if most > 0:
-                    decimal.extend(str(i).encode() for i in range(len(decimal), len(decimal) + most))
-            digest = [hashlib.sha256(b",".join(map(decimal.__getitem__, i or []))).hexdigest() for i in ids]
-            yield with_columns(batch, n_tokens=pa.array([len(i or []) for i in ids], pa.int64()),
-                               ids_sha256=pa.array(digest, pa.string())).select([*kept, "n_tokens", "ids_sha256"])
-
-    return df.mapInArrow(run, schema_with(df.select(*kept), n_tokens="bigint", ids_sha256="string"))
+def digest_batches(json: str, keep: list[str]):
+    """A function from record batches with `ids` to the columns `keep` and DIGESTS: the number of
+    ids, the digest of the decimal ids joined by commas, and that of the decoded text."""
+    def run(batches: Batches) -> Batches:
+        decimal = [str(i).encode() for i in range(len(codec(json).token_bytes))].__getitem__
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        for batch in decode_batches(json)(batches):
+            ids = list(_lists(batch.column(batch.schema.names.index("ids"))))
+            yield with_columns(batch, n_tokens=pa.array([len(i) for i in ids], pa.int64()),
+                               ids_sha256=pa.array([sha(b",".join(map(decimal, i))) for i in ids], pa.string()),
+                               decoded_sha256=pa.array([sha(t.encode()) for t in texts_of(batch, "decoded")], pa.string())
+                               ).select([*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+    return run

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import map_arrow, sliced
 
 ESCAPE = "␛"
 
@@ -117,7 +117,7 @@ def render_turns(turns: DataFrame, template: Template = Template(), conv_col: st
 
     rows = turns.select(F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
                         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "conv_id bigint, turn bigint, piece string")
+    return rows.transform(map_arrow, run, "conv_id bigint, turn bigint, piece string")
 
 
 class _Reader:
@@ -167,7 +167,7 @@ def read_back(pieces: DataFrame, template: Template = Template()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(reader.row(current), schema)], schema=schema)
 
     ordered = (pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece").select("conv_id", "piece"))
-    return ordered.mapInArrow(run, READ_BACK)
+    return ordered.transform(map_arrow, run, READ_BACK)
 
 
 def formatted(pieces: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,6 +16,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# What a Python worker and the JVM beside it hold of a table at a time, several times over.
+BATCH_BYTES = 8 << 20
+_BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as --py-files would."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with record batches of bounded size; the session's own limit holds if lower."""
+    spark = df.sparkSession
+    ship(spark)
+    limit = (spark.conf.get(_BATCH_OPTION, None) or "").lower().rstrip("b")
+    if not limit.isdigit() or not 0 < int(limit) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_OPTION, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def with_columns(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
     """The batch with columns added; a column of the same name is replaced."""
     names = [n for n in batch.schema.names if n not in arrays]
@@ -30,6 +66,19 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.names.index(name)).to_pylist()]
 
 
+def by_size(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `most` bytes in the column `name`."""
+    for batch in batches:
+        start, size = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column(batch.schema.names.index(name))).to_pylist()):
+            if i > start and (size + (n or 0) > most or i - start >= rows):
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n or 0
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import freeze
-from .common import schema_with, sliced, texts_of, with_columns
+from .common import map_arrow, schema_with, sliced, texts_of, with_columns
 
 BLOCK_BYTES = 512
 DICTIONARY_BYTES = 256 << 10
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 label, block = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(block, pa.binary())], ["label", "block"])
 
-    pieces = sample.filter("half = 0").select("label", "text").mapInArrow(cut, "label int, block binary")
+    pieces = sample.filter("half = 0").select("label", "text").transform(map_arrow, cut, "label int, block binary")
     content = []
     for label in (1, 0):
         rows = (pieces.filter(F.col("label") == label).orderBy(F.xxhash64("block"), "block").limit(dictionary_bytes // BLOCK_BYTES)
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in sizes.T)], ["label", "good", "bad", "plain", "n"])
 
     rows = (sample.filter("half = 1").select("label", "text")
-            .mapInArrow(measure, "label int, good double, bad double, plain double, n double").collect())
+            .transform(map_arrow, measure, "label int, good double, bad double, plain double, n double").collect())
     y = np.array([r[0] for r in rows], float)
     # the sample holds the classes in other shares than the labels do; the constant term makes up for it
     share = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
@@ -156,4 +156,4 @@ def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str =
         for batch in sliced(batches, 500):
             yield with_columns(batch, **{out: pa.array(model.scores(texts_of(batch, text_col)))})
 
-    return df.mapInArrow(run, schema_with(df, **{out: "double"}))
+    return df.transform(map_arrow, run, schema_with(df, **{out: "double"}))

@@ -11,6 +11,7 @@ from ..plans.storage import new_path
 from . import block_search, bpe, chat, decontaminate, quality, secret_scan, token_counts, url_rules, warc
 from .common import table
 from .simhash import near_duplicates
+from .tokens import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,8 +173,8 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
-    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs, json = table(spark, sf, "documents").select("doc_id", "text"), vocabulary()
+    return bpe.encode(docs, vocabulary_json=json, then=bpe.digest_batches(json, ["doc_id"]), then_schema=f"doc_id bigint, {bpe.DIGESTS}")
 
 
 @query

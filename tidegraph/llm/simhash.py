@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import freeze
-from .common import texts_of
+from .common import map_arrow, texts_of
 from .components import connected_components
 
 SEED = 42
@@ -92,7 +92,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp binary")
+    return rows.transform(map_arrow, run, "id bigint, fp binary")
 
 
 def _segments(fps: np.ndarray, segments: int) -> np.ndarray:
@@ -268,10 +268,10 @@ def near_links(fps: DataFrame, segments: int = 2, max_bits: int = 2) -> DataFram
     width = first * 8 // segments
     if width * segments != first * 8 or width > 32:
         raise ValueError(f"{first * 8} bits can't be cut into {segments} equal segments of at most 32 bits")
-    index = fps.select("id", "fp").mapInArrow(_index(segments, width), "key bigint, id bigint")
+    index = fps.select("id", "fp").transform(map_arrow, _index(segments, width), "key bigint, id bigint")
     sorted_keys = (index.withColumn("g", F.shiftright("key", 1)).repartition("g")
                    .sortWithinPartitions("key", "id").select("key", "id"))
-    shared = freeze(sorted_keys.mapInArrow(_shared(width), "key bigint, id bigint, hot boolean"), "variants")
+    shared = freeze(sorted_keys.transform(map_arrow, _shared(width), "key bigint, id bigint, hot boolean"), "variants")
     plain = shared.filter("not hot").select("key", "id", F.lit(0).cast("bigint").alias("bi"), F.lit(0).cast("bigint").alias("bj"))
     hot = shared.filter("hot").withColumn("g", F.shiftright("key", 1))
     blocks = hot.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("n"))
@@ -281,7 +281,7 @@ def near_links(fps: DataFrame, segments: int = 2, max_bits: int = 2) -> DataFram
     members = plain.union(placed).join(fps.select("id", "fp"), "id").withColumn("g", F.shiftright("key", 1))
     return (members.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "key", "id")
             .select("key", "bi", "bj", "id", "fp")
-            .mapInArrow(_compare(width, max_bits), "a bigint, b bigint"))
+            .transform(map_arrow, _compare(width, max_bits), "a bigint, b bigint"))
 
 
 def recall(share: float, width: int, segments: int) -> float:

@@ -7,6 +7,8 @@ independently of each other, which both the counting and the encoding operators
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -14,6 +16,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
 VOCABULARY = "byte_bpe_50k.json"
 
 # fixed value: the byte-level pre-tokenizer's pattern
@@ -21,7 +25,7 @@ PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 # Up to here the pattern's classes are the same in every Unicode version from 12 on; texts with
 # other characters are cut by the library itself.
 COMMON = regex.compile(r"[^\x00-՗]")
-MOST_CACHED = 400_000
+MOST_CACHED = 200_000
 MOST_CACHED_CHARS = 64
 
 
@@ -54,6 +58,8 @@ class Codec:
         longest = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.cache: dict[str, bytes] = {}
+        self.characters = byte_characters()
+        self.model = self.library.model
 
     def segments(self, text: str) -> list[str]:
         """The text cut at special strings, which stand at odd places."""
@@ -65,30 +71,33 @@ class Codec:
             return PATTERN.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def bpe(self, data: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        return [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.characters))]
+
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens, as bytes of 32-bit integers."""
-        words = list(words)
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<i4").tobytes() for w, e in zip(words, found)}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as bytes of 32-bit integers."""
-        cut = [[(s, None) if k % 2 else (s, self.words(s)) for k, s in enumerate(self.segments(t))] for t in texts]
-        distinct = set().union(*(words for parts in cut for _, words in parts if words is not None))
-        own = {}
+        return {w: _bytes(self.bpe(w.encode())) for w in words}
+
+    def known(self, words: list[str]):
+        """A function from each of the pre-tokens to its ids; those not yet known are encoded."""
+        distinct, own = set(words), {}
         if missing := distinct.difference(self.cache):
             if len(self.cache) + len(missing) > MOST_CACHED:
-                self.cache.clear()
-                missing = distinct
+                self.cache, missing = {}, distinct
             new = self.encode_words(missing)
             own = {w: i for w, i in new.items() if len(w) > MOST_CACHED_CHARS}
             self.cache.update((w, i) for w, i in new.items() if len(w) <= MOST_CACHED_CHARS)
         cache = self.cache
-        if len(cache) > 2 * MOST_CACHED:  # a batch with very many different pre-tokens
-            self.cache = {}
-        known = cache.__getitem__ if not own else lambda w: cache[w] if w in cache else own[w]
-        return [b"".join(np.array([self.special[s]], "<i4").tobytes() if words is None else b"".join(map(known, words))
-                         for s, words in parts) for parts in cut]
+        return cache.__getitem__ if not own else lambda w: cache[w] if w in cache else own[w]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as bytes of 32-bit integers."""
+        parts = []
+        for k, s in enumerate(self.segments(text)):
+            words = [] if k % 2 else self.words(s)
+            parts.append(_bytes([self.special[s]]) if k % 2 else b"".join(map(self.known(words), words)))
+        return b"".join(parts)
 
     @property
     def token_bytes(self) -> list[bytes]:
@@ -101,6 +110,10 @@ class Codec:
         return self._token_bytes
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary: visible Latin-1
     characters stand for themselves, the others get characters from 256 on, in order."""
