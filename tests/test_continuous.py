@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,13 +89,15 @@ def test_recent_state_equals_batch(spark, sf, stream_dir, tmp_path):
 def test_last_state_equals_batch(spark, sf, stream_dir, tmp_path):
     path, schema = stream_dir
     stream = edges_from_events(ingest.read_stream(spark, path, schema, files_per_trigger=2))
-    run(spark, lambda: state.write_updates(state.node_state_stream(stream, 100, salts=2), f"{tmp_path}/u", f"{tmp_path}/c"))
+    run(spark, lambda: state.write_updates(state.node_state_stream(stream, 100), f"{tmp_path}/u", f"{tmp_path}/c"))
     got = {r.node: r.eid for r in state.merge_last(spark.read.parquet(f"{tmp_path}/u")).collect()}
     want = {}
     for e in event_edges(spark, sf).collect():
         for node, pos in ((e.src, e.eid % 100), (e.dst, e.eid % 100 + 100)):
             want[node] = max(want.get(node, (-1,)), (e.eid // 100, pos, e.eid))
     assert got == {n: v[2] for n, v in want.items()}
+    compacted = state.compact(spark, f"{tmp_path}/u", f"{tmp_path}/z", ["node"], 0)
+    assert {r.node: r.eid for r in state.merge_last(compacted).collect()} == got
 
 
 def test_ingest_drops_duplicates_and_late_rows(spark, tmp_path):
@@ -105,7 +109,17 @@ def test_ingest_drops_duplicates_and_late_rows(spark, tmp_path):
     batch([(9, 9, 100, 3), (2, 4, 5001, 4)])
     schema = spark.read.parquet(f"{tmp_path}/in").schema
     stream = ingest.read_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
-    query = ingest.stream_edges(ingest.drop_late(stream, "10 seconds"), f"{tmp_path}/graph", f"{tmp_path}/c")
-    query.awaitTermination()
-    assert sorted(r.eid for r in ingest.read_graph(spark, f"{tmp_path}/graph").collect()) == [0, 1, 2, 4]
-    assert ingest.late_rows(query) == 1
+    late = ingest.LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = ingest.stream_edges(ingest.drop_late(stream, "10 seconds"), f"{tmp_path}/graph", f"{tmp_path}/c")
+        query.awaitTermination()
+        rows = ingest.read_graph(spark, f"{tmp_path}/graph").orderBy("seq").collect()
+        assert [r.eid for r in rows] == [0, 1, 2, 4]
+        for _ in range(100):  # the listener is told afterwards
+            if late.of(query):
+                break
+            time.sleep(0.1)
+        assert late.of(query) == 1
+    finally:
+        spark.streams.removeListener(late)

@@ -113,3 +113,23 @@ def test_neighbors_match_recomputation(spark, sf):
     for strategy in ("plain", "ranged"):
         got = G.temporal_neighbors(edges, G.src_nodes(edges), strategy).toPandas().sort_values("slot")
         assert got.groupby("node").eid.apply(list).to_dict() == want
+
+
+def test_archives_are_safe_to_repeat(small, spark, tmp_path):
+    path = str(tmp_path / "archive")
+    assert G.restore_archive(small, path).count() == 9          # nothing archived yet
+    kept = G.archive_before(small, -1, path)
+    assert kept.count() == 9 and G.restore_archive(kept, path).count() == 9
+    for _ in range(2):
+        kept = G.archive_before(small, 1, path, unit=1)
+    G.archive_before(kept, 1, path, unit=1)                      # nothing is old any more
+    assert kept.count() == 6 and G.restore_archive(kept, path).count() == 9
+    later = G.archive_before(kept, 2, path, unit=1)
+    assert later.count() == 3 and G.restore_archive(later, path).count() == 9
+
+
+def test_known_counters(small):
+    more = small.drop("eid", "seq")
+    read = G.append_edges(small, more, ("src", "ts", "dst"))
+    told = G.append_edges(small, more, ("src", "ts", "dst"), known=(9, 8))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, told.collect()))

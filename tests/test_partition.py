@@ -44,7 +44,7 @@ def test_balanced_without_hot_source(spark):
     with pytest.raises(ValueError):
         P.partition_balanced(edges, PARTS, "weight")
     with pytest.raises(ValueError):
-        P.partition_hash(edges, 129)
+        P.partition_hash(edges, 0)
 
 
 def test_fennel_capacity_holds(graph, spark):
@@ -113,3 +113,16 @@ def test_edge_cut(spark):
     ptable = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "node long, pid int")
     assert tuple(P.edge_cut(edges, ptable).first()) == (1, 2, 50.0)
     assert P.edge_cut(edges, ptable, skip_unassigned=False).first().cut == 2
+
+
+def test_balanced_continues_from_earlier_loads(spark):
+    """60 sources already in partition 0 of 4: the 40 new ones go to the others."""
+    edges = spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1000).alias("dst"), F.lit(1).cast("long").alias("ts"))
+    held = spark.range(60).select(F.col("id").alias("node"), F.lit(0).alias("pid"))
+    got = P.partition_balanced(edges, 4, ptable=held).groupBy("pid").count().collect()
+    assert sorted((r.pid, r["count"]) for r in got) == [(0, 60), (1, 14), (2, 13), (3, 13)]
+
+
+def test_more_partitions_than_a_byte_holds(spark):
+    edges = spark.range(1000).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("id").alias("ts"))
+    assert P.partition_round_robin(edges, 500).groupBy("pid").count().count() == 500

@@ -14,6 +14,16 @@ def test_edge_csv(spark, tmp_path):
     assert {k: v.count() for k, v in io.split_by_roll(edges).items()} == {"train": 1, "val": 1, "test": 1}
 
 
+def test_edge_csv_by_name(spark, tmp_path):
+    """Columns in another order, and one that isn't asked for."""
+    (tmp_path / "e.csv").write_text(",dst,src,time,int_roll,ext_roll\n0,2,1,0.0,7,0\n1,3,1,5.5,7,2\n")
+    edges = io.read_edges(spark, str(tmp_path / "e.csv"))
+    assert rows(edges, "src", "dst", "ts", "eid", "ext_roll") == [(1, 2, 0.0, 0, 0), (1, 3, 5.5, 1, 2)]
+    (tmp_path / "bad.csv").write_text(",src,dst,time\n0,1,2,0.0\n")
+    with pytest.raises(ValueError):
+        io.read_edges(spark, str(tmp_path / "bad.csv"))
+
+
 def test_chunks(small):
     got = dict(rows(io.edge_chunks(small, 4, 2), "eid", "chunk"))
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 2, 7: 2, 8: 3}
@@ -65,5 +75,14 @@ def test_state_versions(spark, tmp_path):
     assert [io.restore_state(spark, str(tmp_path), v).first().mem_ts for v in (1, 2)] == [5, 9]
 
 
+def test_state_of_double_times(spark, tmp_path):
+    state = spark.createDataFrame([(1, [float("nan"), float("inf")], 5.5, [-2.0], 6.5)],
+                                  "node long, mem array<double>, mem_ts double, mail array<double>, mail_ts double")
+    io.snapshot_state(state, str(tmp_path), 1)
+    assert io.restore_state(spark, str(tmp_path), 1).first().mem_ts == 5.5
+    from tidegraph.operators.state import reset_state
+    assert str(tuple(reset_state(state).first())) == "(1, [0.0, 0.0], 0.0, [0.0], 0.0)"
+
+
 def test_presets():
     assert PRESETS["snapshots_two_hop"].window == 10000 and PRESETS["static_mean"].fanouts == (15, 10)

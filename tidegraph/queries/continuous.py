@@ -102,16 +102,18 @@ def _rocksdb(spark):
         spark.conf.set(key, before)
 
 
-def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return ingest.read_stream(spark, sf, schema, pattern="events.parquet")
+def event_stream(spark, sf, path):
+    """The events as several files, read one per micro-batch."""
+    events = table(spark, sf, "events")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{path}/in")
+    return ingest.read_stream(spark, f"{path}/in", events.schema, files_per_trigger=1)
 
 
 @query("SELECT src, dst, ts, eid FROM ev")
 def stream_edges(spark, sf):
     """Events ingested as a stream: deduplicated, late rows dropped, appended per micro-batch."""
     path = new_path(spark, "stream")
-    stream = event_stream(spark, sf).select("*", F.col("ts").cast("timestamp").alias("event_time"))
+    stream = event_stream(spark, sf, path).select("*", F.col("ts").cast("timestamp").alias("event_time"))
     edges = stream.select("*", F.col("event_id").alias("eid"))
     kept = ingest.drop_late(edges, "40 days")
     ingest.stream_edges(edges_from_events(kept), f"{path}/graph", f"{path}/checkpoint").awaitTermination()
@@ -142,7 +144,7 @@ def recent_neighbors_state(spark, sf):
     """The last five items of every user, kept by a stateful stream."""
     path = new_path(spark, "recent")
     with _rocksdb(spark):
-        updates = state.recent_neighbors_state(edges_from_events(event_stream(spark, sf)), K, salts=2)
+        updates = state.recent_neighbors_state(edges_from_events(event_stream(spark, sf, path)), K, salts=2)
         state.write_updates(updates, f"{path}/updates", f"{path}/checkpoint").awaitTermination()
     return state.merge_recent(spark.read.parquet(f"{path}/updates"), K)
 
@@ -151,9 +153,8 @@ def recent_neighbors_state(spark, sf):
     FROM (SELECT src AS node, ts, eid, eid // {BATCH} AS b, eid % {BATCH} AS p FROM ev UNION ALL
       SELECT dst, ts, eid, eid // {BATCH}, eid % {BATCH} + {BATCH} FROM ev)) WHERE k = 1""")
 def node_state_stream(spark, sf):
-    """The last interaction of every node, kept by a stateful stream."""
+    """The last interaction of every node, kept by a stream; its first batches are compacted."""
     path = new_path(spark, "last")
-    with _rocksdb(spark):
-        updates = state.node_state_stream(edges_from_events(event_stream(spark, sf)), BATCH, salts=2)
-        state.write_updates(updates, f"{path}/updates", f"{path}/checkpoint").awaitTermination()
-    return state.merge_last(spark.read.parquet(f"{path}/updates"))
+    updates = state.node_state_stream(edges_from_events(event_stream(spark, sf, path)), BATCH)
+    state.write_updates(updates, f"{path}/updates", f"{path}/checkpoint").awaitTermination()
+    return state.merge_last(state.compact(spark, f"{path}/updates", f"{path}/compacted", ["node"], 1))

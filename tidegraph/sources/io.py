@@ -22,9 +22,9 @@ def read_edges(spark: SparkSession, path: str, fmt: str = "csv", time_type: str
     """Edge file with an unnamed index column: the index becomes the eid, time becomes ts.
 
     Columns are found by name, wherever they stand; other columns are not read. Files of one folder
-    must agree in their header.
+    must have one header.
     """
-    raw = (spark.read.option("header", True).option("enforceSchema", False).csv(path) if fmt == "csv"
+    raw = (spark.read.option("header", True).csv(path) if fmt == "csv"
            else spark.read.format(fmt).load(path))
     index = next((c for c in INDEX_NAMES if c in raw.columns), INDEX_NAMES[0])
     wanted = {f.name if f.name != INDEX_NAMES[0] else index: f.dataType for f in EDGE_FILE}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 
@@ -22,34 +24,61 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
 def drop_late(stream: DataFrame, delay: str, event_time: str = "event_time") -> DataFrame:
     """Deduplicate by eid and drop rows older than the newest time minus `delay`.
 
-    Dropped rows are counted in the progress (see late_rows); they never fail the query.
+    Dropped rows are counted in the progress (see LateRows); they never fail the query.
     """
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["eid"])
 
 
-def late_rows(query: StreamingQuery) -> int:
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for progress in query.recentProgress for op in progress["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, batch by batch, for as long as it is registered.
+
+    The progress a query keeps itself goes back a limited number of batches only.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, dict[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        found = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        # a repeated batch counts once
+        self.dropped.setdefault(str(progress.id), {})[progress.batchId] = found
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return sum(self.dropped.get(str(query.id), {}).values())
+
+
+def start(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+          every: str | None = None) -> StreamingQuery:
+    """Run `store` for every micro-batch: until the files at hand are read, or, with `every` (such as
+    "1 minute"), for ever at that interval."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(**trigger).start())
 
 
-def stream_edges(stream: DataFrame, graph_path: str, checkpoint: str) -> StreamingQuery:
-    """Append every micro-batch to the graph folder; runs until the available files are read.
+def stream_edges(stream: DataFrame, graph_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append every micro-batch to the graph folder, sorted within its files.
 
-    A micro-batch owns its folder and overwrites it when repeated, so a retry adds nothing twice.
+    A micro-batch owns its folder and overwrites it when repeated, so a retry adds nothing twice. It
+    is hashed by source and not by range: ranges would have to be sampled by running it once more.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        # range bounds are sampled first: without this the stateful plan would run twice
-        batch = batch.persist()
-        try:
-            (batch.repartitionByRange("src", "ts", "eid").sortWithinPartitions("src", "ts", "eid")
-             .write.mode("overwrite").parquet(f"{graph_path}/batch={batch_id}"))
-        finally:
-            batch.unpersist()
+        (batch.repartition("src", F.pmod("eid", F.lit(8))).sortWithinPartitions("src", "ts", "eid")
+         .write.mode("overwrite").parquet(f"{graph_path}/batch={batch_id}"))
 
-    return (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return start(stream, append, checkpoint, every=every)
 
 
 def read_graph(spark: SparkSession, graph_path: str) -> DataFrame:
-    """The ingested edges; arrival order is (batch, eid)."""
-    return spark.read.parquet(graph_path).withColumn("seq", F.col("eid"))
+    """The ingested edges; arrival order `seq` is (batch, eid): eids are below 2^40."""
+    return spark.read.parquet(graph_path).withColumn("seq", F.shiftleft(F.col("batch").cast("bigint"), 40) + F.col("eid")).drop("batch")

@@ -1,8 +1,8 @@
 """Per-node state kept continuously.
 
-State lives under (node, salt): the rows of a hot node are spread over `salts` state groups. Both
-kinds of state kept here merge exactly (last k of last k's; last of lasts), so reading merges the
-salts and gives the same answer as one group per node would.
+The last k neighbours live under (node, salt): the rows of a hot node are spread over `salts` state
+groups, and reading merges the salts exactly (last k of last k's). The last write of a node is a
+built-in streaming aggregate.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.hashing import stable_hash
 from ..plans.ordering import running_sum
+from .ingest import start
 
 # Workers get the processors by value, so this package need not be installed on the executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,9 +28,6 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _LONG = T.LongType()
 RECENT = T.StructType([T.StructField(c, _LONG) for c in ("ts", "seq", "dst", "eid")])
 RECENT_OUT = T.StructType([T.StructField("node", _LONG), T.StructField("salt", T.IntegerType()), *RECENT])
-LAST = T.StructType([T.StructField(c, _LONG) for c in ("batch_id", "pos", "ts", "eid")])
-LAST_OUT = T.StructType([T.StructField("node", _LONG), T.StructField("salt", T.IntegerType()), *LAST])
-
 
 class RecentNeighbors(StatefulProcessor):
     """Keeps the k newest edges of a key in a list state; idle keys expire after `ttl_ms`."""
@@ -56,29 +54,6 @@ class RecentNeighbors(StatefulProcessor):
         pass
 
 
-class LastWrite(StatefulProcessor):
-    """Keeps the last write of a key, ordered by (batch_id, pos)."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", LAST, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = LAST.fieldNames()
-        best = tuple(self.last.get()) if self.last.exists() else None
-        for chunk in rows:
-            top = chunk.sort_values(["batch_id", "pos"]).iloc[-1]
-            top = tuple(int(top[c]) for c in columns)
-            best = top if best is None or top[:2] > best[:2] else best
-        self.last.update(best)
-        yield pd.DataFrame([(key[0], key[1], *best)], columns=["node", "salt", *columns])
-
-    def close(self) -> None:
-        pass
-
-
 def _salted(stream: DataFrame, salts: int) -> DataFrame:
     return stream.withColumn("salt", F.pmod(stable_hash(F.col("eid")), F.lit(salts)).cast("int"))
 
@@ -93,43 +68,54 @@ def recent_neighbors_state(stream: DataFrame, k: int, salts: int = 16, ttl_ms: i
         RecentNeighbors(k, ttl_ms), RECENT_OUT, "Update", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def node_state_stream(stream: DataFrame, size: int, salts: int = 16, ttl_ms: int | None = None) -> DataFrame:
-    """Stream of edges -> last interaction per (node, salt), in batches of `size` by eid.
+def node_state_stream(stream: DataFrame, size: int) -> DataFrame:
+    """Stream of edges -> last interaction per node, in batches of `size` by eid; update mode.
 
-    A batch is the stacked [sources, destinations], so within a batch destinations come later.
+    A batch is the stacked [sources, destinations], so within a batch destinations come later. The
+    aggregate is combined before it is shuffled, so a hot node needs no salts.
     """
     batch, i = F.floor(F.col("eid") / size), F.col("eid") % size
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), i.alias("pos")),
                              F.struct(F.col("dst").alias("node"), (i + size).alias("pos"))))
-    keyed = _salted(stream.select(batch.alias("batch_id"), "ts", "eid", ends.alias("e"))
-                    .select("e.node", "batch_id", "e.pos", "ts", "eid"), salts)
-    return keyed.groupBy("node", "salt").transformWithStateInPandas(
-        LastWrite(ttl_ms), LAST_OUT, "Update", "None" if ttl_ms is None else "ProcessingTime")
+    last = F.max_by(F.struct("ts", "eid", "batch_id", "pos"), F.struct("batch_id", "pos"))
+    return (stream.select(batch.alias("batch_id"), "ts", "eid", ends.alias("e"))
+            .select(F.col("e.node").alias("node"), "batch_id", F.col("e.pos").alias("pos"), "ts", "eid")
+            .groupBy("node").agg(last.alias("_l")).select("node", "_l.ts", "_l.eid", "_l.batch_id", "_l.pos"))
 
 
-def write_updates(updates: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+def write_updates(updates: DataFrame, path: str, checkpoint: str, mode: str = "update",
+                  every: str | None = None) -> StreamingQuery:
     """Store each micro-batch's rows in its own folder; `batch` orders them."""
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (updates.writeStream.foreachBatch(store).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return start(updates, store, checkpoint, mode, every)
+
+
+def compact(spark: SparkSession, path: str, into: str, keys: list[str], through: int) -> DataFrame:
+    """Rewrite the stored updates of batches up to `through` as the newest rows of each key.
+
+    They go to the folder `into`/batch=`through`; a reader takes that together with the batches
+    after it, and the folders up to `through` can be dropped once it is written.
+    """
+    stored = spark.read.parquet(path).filter(F.col("batch") <= through)
+    _newest(stored, keys).drop("batch").write.mode("overwrite").parquet(f"{into}/batch={through}")
+    return spark.read.parquet(into).unionByName(spark.read.parquet(path).filter(F.col("batch") > through))
 
 
-def _newest(updates: DataFrame) -> DataFrame:
-    """Rows of the newest batch of every (node, salt); the rest is superseded."""
-    last = updates.groupBy("node", "salt").agg(F.max("batch").alias("batch"))
-    return updates.join(last, ["node", "salt", "batch"], "left_semi")
+def _newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the newest batch of every key; the rest is superseded."""
+    last = updates.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return updates.join(last, [*keys, "batch"], "left_semi")
 
 
 def merge_recent(updates: DataFrame, k: int, strategy: str = "auto") -> DataFrame:
     """Last k neighbours per node from the stored updates of recent_neighbors_state."""
-    down = _newest(updates).withColumns({"_t": -F.col("ts"), "_s": -F.col("seq")})
+    down = _newest(updates, ["node", "salt"]).withColumns({"_t": -F.col("ts"), "_s": -F.col("seq")})
     ranked = running_sum(down, ["node"], ["_t", "_s"], {"_n": F.lit(1)}, strategy)
     return ranked.filter(F.col("_n") <= k).select("node", (F.col("_n") - 1).alias("slot"), "dst", "ts", "eid")
 
 
 def merge_last(updates: DataFrame) -> DataFrame:
     """Last interaction per node from the stored updates of node_state_stream."""
-    last = F.max_by(F.struct("ts", "eid"), F.struct("batch_id", "pos"))
-    return updates.groupBy("node").agg(last.alias("_l")).select("node", "_l.ts", "_l.eid")
+    return _newest(updates, ["node"]).select("node", "ts", "eid")
