@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import freeze
-from .common import sliced, texts_of
+from .common import by_size, map_arrow, sliced, texts_of
 from .tokens import codec, vocabulary
 
 HEAD = 200_000
@@ -41,13 +41,13 @@ def _head(texts: DataFrame, json: str, size: int, share: float) -> dict[str, int
     """Piece counts of the most frequent pre-tokens of a sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(json)
-        for batch in sliced(batches, 2_000):
+        for batch in by_size(batches, "text"):
             total: Counter = Counter()
             for text in texts_of(batch, "text"):
                 total.update(w for w in _frequencies(c.segments(text), c.words)[0] if len(w) <= HEAD_CHARS)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    top = (texts.sample(share, seed=1).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = (texts.sample(share, seed=1).transform(map_arrow, run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "word").limit(size).select("word"))
     words = [r[0] for r in top.collect()]
     return {w: len(ids) // 4 for w, ids in codec(json).encode_words(words).items()}
@@ -56,7 +56,7 @@ def _head(texts: DataFrame, json: str, size: int, share: float) -> dict[str, int
 def _documents(json: str, head: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(json)
-        for batch in sliced(batches, 500):
+        for batch in by_size(batches, "text"):
             n_bytes, counted, words, times, ends = [], [], [], [], [0]
             for text in texts_of(batch, "text"):
                 found, known = _frequencies(c.segments(text), c.words)
@@ -100,12 +100,12 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = _head(rows.select("text"), json, head, head_sample) if head else {}
     id_type = rows.schema["id"].dataType.simpleString()
-    docs = freeze(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(
+    docs = freeze(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").transform(map_arrow, 
         _documents(json, known), f"row bigint, id {id_type}, n_bytes bigint, counted bigint, words array<string>, times array<int>"),
         "frequencies")
     rest = (docs.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
             .select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n")))
-    pieces = rest.select("word").distinct().mapInArrow(_pieces(json), "word string, pieces bigint")
+    pieces = rest.select("word").distinct().transform(map_arrow, _pieces(json), "word string, pieces bigint")
     sums = rest.join(pieces, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
     return (docs.select("row", "id", "n_bytes", "counted").join(sums, "row", "left")
             .select("id", "n_bytes", (F.col("counted") + F.coalesce("rest", F.lit(0))).alias("n_tokens")))
