@@ -28,8 +28,8 @@ def attach_with_hot(front: DataFrame, feats: DataFrame, hot: DataFrame, key: str
     if max(n * (16 + 4 * (width or 0)), 8 * hot.count()) > max_bytes:
         marked = front.join(ids.withColumn("_hot", F.lit(True)), key, "left")
         salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*front.columns), F.lit(salts))).otherwise(0))
-        spread = by_id.join(ids.withColumn("_hot", F.lit(True)), key, "left").withColumn("_salt", F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("bigint")).drop("_hot")
+        each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        spread = by_id.join(ids.withColumn("_hot", F.lit(True)), key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
         return salted.drop("_hot").join(spread, [key, "_salt"], "left").select(*front.columns, "feat")
     hot_feats = F.broadcast(by_id.join(F.broadcast(ids), key, "left_semi"))
     often = front.join(F.broadcast(ids), key, "left_semi").join(hot_feats, key, "left")

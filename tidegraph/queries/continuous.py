@@ -83,12 +83,12 @@ def sliding_retention(spark, sf):
     ap AS (SELECT step, sum(p * tp / total) / sum(p) AS ap FROM (SELECT step, p, sum(p) OVER w AS tp, sum(c) OVER w AS total
       FROM (SELECT step, score, sum(label) AS p, count(*) AS c FROM scored GROUP BY step, score)
       WINDOW w AS (PARTITION BY step ORDER BY score DESC)) GROUP BY step)
-    SELECT step, round(auc, 6) AS auc, round(ap, 6) AS ap FROM auc JOIN ap USING (step)""")
+    SELECT step, round(auc, 9) AS auc, round(ap, 6) AS ap FROM auc JOIN ap USING (step)""")
 def prequential(spark, sf):
     """Each increment is scored by item popularity before it, against one negative per edge."""
     pool = B.dst_pool(event_edges(spark, sf))
     got = C.prequential(freeze(stepped(spark, sf), "stepped"), C.popularity_scorer(pool, SEED))
-    return got.select("step", F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
+    return got.select("step", F.round("auc", 9).alias("auc"), F.round("ap", 6).alias("ap"))
 
 
 @contextmanager

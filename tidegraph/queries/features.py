@@ -10,45 +10,53 @@ from ..operators import batching as B
 from ..operators import features as E
 from ..operators import sampling as S
 from ..operators import state as M
+from .batching import ratio_sql, several_negatives
 from .common import (BATCH, ITEM, SEED, edge_features, event_edges, event_roots, node_vectors, query, sql_hash,
                      table, vectors)
 
 DIM = 64
-PAIRS = ", ".join(f"round(CAST({{v}}[{i + 1}] AS DOUBLE), 6) AS f{i}" for i in (0, 63))
 
 
-def recent5(spark, sf):
-    return S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), 5)
+def whole(column):
+    """All components of a vector in millionths, as one text: every number is compared."""
+    return F.array_join(F.transform(column, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+
+
+def whole_sql(vector: str) -> str:
+    return f"array_to_string([CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) FOR x IN {vector}], ',')"
 
 
-def ends(column: str, *keep: str):
-    """First and last component, rounded."""
-    return [*keep, *[F.round(F.col(column)[i].cast("double"), 6).alias(f"f{i}") for i in (0, 63)]]
+def recent5(spark, sf):
+    return S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), 5)
 
 
-FRONT = "front AS (SELECT node FROM roots UNION ALL SELECT src_node FROM recent5)"
+FRONT = "front AS (SELECT rid, -1 AS slot, node FROM roots UNION ALL SELECT rid, slot, src_node FROM recent5)"
 
 
 def front_nodes(spark, sf):
-    return event_roots(spark, sf).select("node").unionByName(
-        recent5(spark, sf).select(F.col("src_node").alias("node")))
+    """Every root (slot -1) and every sampled node."""
+    return event_roots(spark, sf).select("rid", F.lit(-1).cast("bigint").alias("slot"), "node").unionByName(
+        recent5(spark, sf).select("rid", F.col("slot").cast("bigint").alias("slot"), F.col("src_node").alias("node")))
 
 
-@query(f"""WITH {FRONT} SELECT node, count(*) AS n, {PAIRS.format(v='any_value(feat)')}
-    FROM front LEFT JOIN nv ON id = node GROUP BY node""")
+@query(f"WITH {FRONT} SELECT rid, slot, node, {whole_sql('feat')} AS feat FROM front LEFT JOIN nv ON id = node")
 def attach_node_features(spark, sf):
     front = E.attach_node_features(front_nodes(spark, sf), node_vectors(spark, sf))
-    return front.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.any_value("feat").alias("feat")).select(
-        *ends("feat", "node", "n"))
+    return front.select("rid", "slot", "node", whole("feat").alias("feat"))
 
 
-@query(f"""WITH {FRONT} SELECT node, count(*) AS n, {PAIRS.format(v='any_value(feat)')}
-    FROM front LEFT JOIN nv ON id = node GROUP BY node""")
+@query(f"WITH {FRONT} SELECT rid, slot, node, {whole_sql('feat')} AS feat FROM front LEFT JOIN nv ON id = node")
 def attach_with_hot(spark, sf):
     """The same rows, the most used ids joined by broadcast."""
     front = E.attach_with_hot(front_nodes(spark, sf), node_vectors(spark, sf), hot(spark, sf))
-    return front.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.any_value("feat").alias("feat")).select(
-        *ends("feat", "node", "n"))
+    return front.select("rid", "slot", "node", whole("feat").alias("feat"))
+
+
+@query(f"WITH {FRONT} SELECT rid, slot, node, {whole_sql('feat')} AS feat FROM front LEFT JOIN nv ON id = node")
+def attach_with_hot_salted(spark, sf):
+    """The same rows when the hot vectors are too large to broadcast."""
+    front = E.attach_with_hot(front_nodes(spark, sf), node_vectors(spark, sf), hot(spark, sf), max_bytes=0, salts=4)
+    return front.select("rid", "slot", "node", whole("feat").alias("feat"))
 
 
 @query("""SELECT rid, slot, eid, round(CAST(f0 AS DOUBLE), 4) AS f0, CAST(f1 AS DOUBLE) AS f1
@@ -116,11 +124,14 @@ def access_counts_raw(spark, sf):
 
 
 HOT = """hot AS (SELECT * FROM (SELECT src_node AS id, count(*) AS n,
-    row_number() OVER (ORDER BY count(*) DESC, src_node) - 1 AS rank FROM recent5 GROUP BY src_node) WHERE rank < 20)"""
+    row_number() OVER (ORDER BY count(*) DESC, src_node) - 1 AS rank FROM recent5 GROUP BY src_node)
+    WHERE rank < floor(0.2 * (SELECT count(DISTINCT src_node) FROM recent5)))"""
 
 
 def hot(spark, sf):
-    return E.hot_set(E.access_counts(recent5(spark, sf), "src_node"), 0.2, 100)
+    """A fifth of the ids that were sampled."""
+    counts = E.access_counts(recent5(spark, sf), "src_node")
+    return E.hot_set(counts, 0.2, counts.count())
 
 
 @query(f"WITH {HOT} SELECT id, n, rank FROM hot")
@@ -165,16 +176,29 @@ def insert_missing_state(spark, sf):
 @query(f"SELECT vec_id AS node, 0.0::DOUBLE AS m0, 0.0::DOUBLE AS m1, {MAIL} AS mail_dim FROM embeddings")
 def reset_state(spark, sf):
     return M.reset_state(start_state(spark, sf)).select(
-        "node", F.abs(F.col("mem")[0]).alias("m0"), F.abs(F.col("mem")[1]).alias("m1"),
+        "node", F.col("mem")[0].alias("m0"), F.col("mem")[1].alias("m1"),
         F.size("mail").cast("bigint").alias("mail_dim"))
 
 
-@query(f"""WITH {START}, {FRONT} SELECT f.node, count(*) AS n, round(any_value(coalesce(m0, 0)), 6) AS m0,
-    0 AS mail_ts FROM front f LEFT JOIN start s ON s.node = f.node GROUP BY f.node""")
+MAILS = f"""{START}, rows AS (SELECT batch_id, 2 * pos + i AS p, CASE i WHEN 0 THEN src ELSE dst END AS node,
+      CASE i WHEN 0 THEN dst ELSE src END AS other, b.ts, f0, f1 FROM batches b JOIN ef USING (eid), (SELECT unnest([0, 1]) AS i)),
+    last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch_id DESC, p DESC) AS k FROM rows)
+      WHERE k = 1),
+    mails AS (SELECT coalesce(l.node, s.node) AS node, CASE WHEN l.node IS NULL THEN 0 ELSE coalesce(s.m0, 0) END AS own,
+      coalesce(o.m1, 0) AS other, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(l.ts, 0) AS mail_ts
+      FROM last l FULL JOIN start s ON l.node = s.node LEFT JOIN start o ON o.node = l.other)"""
+
+
+@query(f"""WITH {MAILS} SELECT rid, slot, f.node, round(coalesce(s.m0, 0), 6) AS m0, round(coalesce(s.m1, 0), 6) AS m1, 0 AS mem_ts,
+    round(coalesce(own, 0), 6) AS own, round(coalesce(other, 0), 6) AS other, coalesce(mail_ts, 0) AS mail_ts
+    FROM {FRONT[len("front AS "):]} f LEFT JOIN start s ON s.node = f.node LEFT JOIN mails m ON m.node = f.node""")
 def node_state_lookup(spark, sf):
-    got = M.node_state_lookup(front_nodes(spark, sf), start_state(spark, sf), MEM, MAIL)
-    return got.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.round(F.any_value(F.col("mem")[0]), 6).alias("m0"),
-                                   F.max("mail_ts").alias("mail_ts"))
+    """Memory and mail of every frontier row."""
+    state = M.update_mailbox(start_state(spark, sf), interactions(spark, sf), MEM, MAIL)
+    got = M.node_state_lookup(front_nodes(spark, sf), state, MEM, MAIL)
+    mem, mail = F.col("mem"), F.col("mail")
+    return got.select("rid", "slot", "node", F.round(mem[0], 6).alias("m0"), F.round(mem[1], 6).alias("m1"), "mem_ts",
+                      F.round(mail[0], 6).alias("own"), F.round(mail[3], 6).alias("other"), "mail_ts")
 
 
 def memory_batch(spark, sf):
@@ -212,15 +236,6 @@ def interactions(spark, sf):
     return rows.join(edge_features(spark, sf), "eid")
 
 
-MAILS = f"""{START}, rows AS (SELECT batch_id, 2 * pos + i AS p, CASE i WHEN 0 THEN src ELSE dst END AS node,
-      CASE i WHEN 0 THEN dst ELSE src END AS other, b.ts, f0, f1 FROM batches b JOIN ef USING (eid), (SELECT unnest([0, 1]) AS i)),
-    last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch_id DESC, p DESC) AS k FROM rows)
-      WHERE k = 1),
-    mails AS (SELECT coalesce(l.node, s.node) AS node, CASE WHEN l.node IS NULL THEN 0 ELSE coalesce(s.m0, 0) END AS own,
-      coalesce(o.m1, 0) AS other, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(l.ts, 0) AS mail_ts
-      FROM last l FULL JOIN start s ON l.node = s.node LEFT JOIN start o ON o.node = l.other)"""
-
-
 @query(f"""WITH {MAILS} SELECT node, round(own, 6) AS own, round(other, 6) AS other,
     round(CAST(f0 AS DOUBLE), 4) AS f0, CAST(f1 AS DOUBLE) AS f1, mail_ts FROM mails""")
 def update_mailbox(spark, sf):
@@ -260,12 +275,13 @@ def message_input(spark, sf):
 
 def _aggregated(spark, sf, how):
     got = A.neighbor_aggregate(recent5(spark, sf), node_vectors(spark, sf), DIM, how, ["rid"])
-    return got.select("rid", *[F.round(F.col("agg")[i], 6).alias(f"f{i}") for i in (0, 63)])
+    return got.select("rid", whole("agg").alias("agg"))
 
 
 def _agg_sql(fn: str, neighbors: str = "SELECT rid, src_node AS n FROM recent5") -> str:
-    return f"""SELECT rid, round({fn}(CAST(feat[1] AS DOUBLE)), 6) AS f0, round({fn}(CAST(feat[64] AS DOUBLE)), 6) AS f63
-        FROM ({neighbors}) JOIN nv ON id = n GROUP BY rid"""
+    return f"""SELECT rid, {whole_sql('list(v ORDER BY i)')} AS agg FROM
+        (SELECT rid, i, {fn}(CAST(feat[i] AS DOUBLE)) AS v FROM ({neighbors}) JOIN nv ON id = n, (SELECT unnest(range(1, {DIM + 1})) AS i)
+         GROUP BY rid, i) GROUP BY rid"""
 
 
 @query(_agg_sql("avg"))
@@ -314,13 +330,14 @@ def segment_softmax_any_size(spark, sf):
     return got.select("eid", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {SOFT}, summed AS (SELECT rid, sum(weight * CAST(feat[1] AS DOUBLE)) AS a, sum(weight * CAST(feat[64] AS DOUBLE)) AS b
-      FROM soft JOIN nv ON id = src_node GROUP BY rid)
-    SELECT r.rid, round(coalesce(a, 0), 6) AS f0, round(coalesce(b, 0), 6) AS f63 FROM roots r LEFT JOIN summed USING (rid)""")
+@query(f"""WITH {SOFT}, parts AS (SELECT rid, i, sum(weight * CAST(feat[i] AS DOUBLE)) AS v
+      FROM soft JOIN nv ON id = src_node, (SELECT unnest(range(1, {DIM + 1})) AS i) GROUP BY rid, i),
+    summed AS (SELECT rid, list(v ORDER BY i) AS agg FROM parts GROUP BY rid)
+    SELECT r.rid, {whole_sql(f"coalesce(agg, list_resize([0.0::DOUBLE], {DIM}, 0.0::DOUBLE))")} AS agg FROM roots r LEFT JOIN summed USING (rid)""")
 def weighted_neighbor_sum(spark, sf):
     got = A.weighted_neighbor_sum(scored5(spark, sf), event_roots(spark, sf).select("rid"), node_vectors(spark, sf),
                                   "score", DIM)
-    return got.select("rid", *[F.round(F.col("agg")[i], 6).alias(f"f{i}") for i in (0, 63)])
+    return got.select("rid", whole("agg").alias("agg"))
 
 
 @query("""SELECT eid, round(CASE WHEN x > 0 THEN x ELSE 0.2 * x END, 6) AS y FROM
@@ -331,7 +348,7 @@ def leaky_relu(spark, sf):
 
 
 PRODUCT = """SELECT ord, label, round(list_dot_product(CAST(s.feat AS DOUBLE[]), CAST(o.feat AS DOUBLE[])), 6) AS score,
-      round(CAST(s.feat[1] AS DOUBLE) * CAST(o.feat[1] AS DOUBLE), 6) AS p0
+      array_to_string([CAST(round(CAST(s.feat[i] AS DOUBLE) * CAST(o.feat[i] AS DOUBLE) * 1000000) AS BIGINT) FOR i IN range(1, 65)], ',') AS product
     FROM (SELECT ord, src, dst AS other, 1 AS label FROM with_neg UNION ALL SELECT ord, src, neg, 0 FROM with_neg) w
     JOIN nv s ON s.id = w.src JOIN nv o ON o.id = w.other"""
 
@@ -353,4 +370,15 @@ def link_logits(spark, sf):
 def pair_product(spark, sf):
     return link_logits(spark, sf).select("ord", F.col("label").cast("bigint").alias("label"),
                                          F.round(V.vector_sum("product"), 6).alias("score"),
-                                         F.round(F.col("product")[0], 6).alias("p0"))
+                                         whole("product").alias("product"))
+
+
+@query(f"""SELECT ord, r, {whole_sql('[CAST(s.feat[i] AS DOUBLE) * CAST(o.feat[i] AS DOUBLE) FOR i IN range(1, 65)]')} AS product
+    FROM ({ratio_sql()}) w JOIN nv s ON s.id = w.src JOIN nv o ON o.id = w.neg""")
+def pair_product_ratio(spark, sf):
+    """Products of every source with each of its negatives."""
+    rows = several_negatives(spark, sf).select("ord", "src", F.posexplode("negs").alias("r", "neg"))
+    feats = node_vectors(spark, sf)
+    rows = rows.join(feats.select(F.col("id").alias("src"), F.col("feat").alias("a")), "src")
+    rows = rows.join(feats.select(F.col("id").alias("neg"), F.col("feat").alias("b")), "neg")
+    return rows.select("ord", F.col("r").cast("bigint").alias("r"), whole(V.pair_product("a", "b")).alias("product"))
