@@ -12,7 +12,8 @@ the rules; the sweep carries it forward with a window, and takes the deepest tha
 
 Scale: urls are first reduced to distinct (host, path). The sweep runs per rule host, and a host is
 cut into as many salts as its share of all keys needs, its rules repeated for each; so no task gets
-more than its share. Nothing is broadcast by hand. Only DataFrame functions.
+more than its share. Up to MOST_HOSTS rule hosts (counted first) are broadcast to find the urls that
+have them; more are joined by shuffling. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_HOSTS = 200_000  # rows of a host name and a number: some 20 MB
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,8 +73,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    points = targets.select("host", "path", F.explode(suffixes).alias("rule_host")) \
-        .join(stacks.select("rule_host").distinct(), "rule_host")
+    hosts = stacks.select("rule_host").distinct()
+    # rule hosts are small beside urls, but only a counted table is broadcast
+    small = F.broadcast if hosts.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS else lambda df: df
+    points = targets.select("host", "path", F.explode(suffixes).alias("rule_host")).join(small(hosts), "rule_host")
 
     # as many salts for a host as tasks that its share of all points fills
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -83,7 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     starts = stacks.join(salts, "rule_host").select(
         "rule_host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), "key",
         F.lit(0).alias("kind"), "stack", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
-    swept = points.join(salts, "rule_host").select(
+    swept = points.join(small(salts), "rule_host").select(
         "rule_host", F.pmod(F.xxhash64("host", "path"), F.col("salts")).alias("salt"),
         F.concat(_reversed_labels(F.col("rule_host")), F.lit("/"), "path").alias("key"),
         F.lit(1).alias("kind"), none.alias("stack"), "host", "path")
