@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.plans.ordering import dense_ordinal, fits_one_task, largest_group, running_sum
+from tidegraph.plans.ordering import by_group_size, dense_ordinal, running_sum
 from tidegraph.plans.storage import freeze
 
 
@@ -28,9 +28,16 @@ def test_dense_ordinal(spark, n, start):
     assert [r.o for r in got] == list(range(start, start + n))
 
 
-@pytest.mark.parametrize("strategy", ["plain", "ranged"])
+@pytest.fixture()
+def small_limit(spark):
+    spark.conf.set("spark.tidegraph.maxGroupRows", "700")
+    yield
+    spark.conf.unset("spark.tidegraph.maxGroupRows")
+
+
+@pytest.mark.parametrize("strategy", ["plain", "ranged", "auto"])
 @pytest.mark.parametrize("n,hot,seed", [(0, 0, 1), (2000, 0.0, 2), (2000, 0.5, 3), (2000, 1.0, 4)])
-def test_running_sum_matches_brute_force(spark, strategy, n, hot, seed):
+def test_running_sum_matches_brute_force(spark, small_limit, strategy, n, hot, seed):
     data, df = table(spark, n, hot, seed)
     want, sums = {}, {}
     for k, t, i, v in sorted(data):
@@ -51,16 +58,13 @@ def test_running_sum_without_keys(spark):
     assert dict(big.dtypes)["s"] == "decimal(38,0)"
 
 
-def test_strategy_follows_the_largest_group(spark):
-    _, df = table(spark, 500, 0.9, 6)
-    assert largest_group(df, ["k"]) > 400 and fits_one_task(df, ["k"])
-    spark.conf.set("spark.tidegraph.maxGroupRows", "100")
-    try:
-        assert not fits_one_task(df, ["k"])
-    finally:
-        spark.conf.unset("spark.tidegraph.maxGroupRows")
+def test_only_hot_keys_are_split(spark, small_limit):
+    data, df = table(spark, 2000, 0.5, 6)
+    mark = lambda name: lambda rows: rows.withColumn("plan", F.lit(name))
+    got = by_group_size(df, ["k"], "auto", mark("plain"), mark("ranged")).collect()
+    assert len(got) == 2000 and {(r.k == 0, r.plan) for r in got} == {(True, "ranged"), (False, "plain")}
     with pytest.raises(ValueError):
-        fits_one_task(df, ["k"], "fast")
+        by_group_size(df, ["k"], "fast", mark("a"), mark("b"))
 
 
 def test_freeze_cuts_lineage(spark):

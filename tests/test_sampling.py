@@ -192,3 +192,20 @@ def test_boundary_with_few_edges_and_many_roots(spark, monkeypatch):
 def test_compare_windows(small, roots_of):
     got = S.compare_windows(small, roots_of([0], 2), 5, [0, 1, 2])
     assert sorted(rows(got, "snapshot", "edge_ts")) == [(0, 0.0), (0, 1.0), (1, 1.0), (2, 0.0), (2, 1.0)]
+
+
+@pytest.mark.parametrize("k", [3, 32, 33])
+def test_split_plan_equals_the_others(spark, sf, k):
+    """Hot sources ranged, the rest plain: the same rows, on either side of the lag limit."""
+    from tidegraph.queries.common import event_edges, event_roots
+    edges, roots = event_edges(spark, sf), event_roots(spark, sf)
+    found = {}
+    for name, limit in (("plain", None), ("ranged", None), ("auto", "12")):
+        if limit:
+            spark.conf.set("spark.tidegraph.maxGroupRows", limit)
+        try:
+            rows = S.sample_recent(edges, roots, k, strategy=name).select("rid", "slot", "eid").collect()
+        finally:
+            spark.conf.unset("spark.tidegraph.maxGroupRows")
+        found[name] = sorted(map(tuple, rows))
+    assert found["plain"] == found["ranged"] == found["auto"]

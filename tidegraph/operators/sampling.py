@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..plans.ordering import dense_ordinal, fits_one_task, running_sum
+from ..plans.ordering import by_group_size, dense_ordinal, running_sum
 from ..plans.storage import freeze
 from ..schema import SamplingPreset
 
@@ -88,7 +88,8 @@ def _finish(picked: DataFrame, ranked: DataFrame, hop: int, prop_time: bool, sta
         (root_ts - F.col("edge_ts")).alias("dt"), "start")
 
 
-# Above this the most recent k are fetched by rank like the uniform ones: lag columns grow with k.
+# Above this the most recent k are fetched by rank like the uniform ones: lag columns grow with k. The
+# choice changes the plan, never the rows.
 MAX_LAGS = 32
 
 
@@ -119,8 +120,8 @@ def _last_k_ranged(marks: DataFrame, order_by: Sequence[str], k: int) -> DataFra
     # per node at most (k + 1) rows per partition
     carried = (_with_last_k(bounds, ["node"], ["_pid", "_kind", "at", "_tie"], k).filter("_kind = 0")
                .select("_pid", "node", F.col("_last").alias("_before")))
-    # one row per continued node and partition: bounded by twice the number of partitions
-    joined = local.join(F.broadcast(carried), ["_pid", "node"], "left")
+    # one row of k edges per continued node and partition: left to AQE, which measures it
+    joined = local.join(carried, ["_pid", "node"], "left")
     both = F.filter(F.concat("_last", "_before"), lambda e: e.isNotNull())
     return joined.withColumn("_last", F.when(F.col("_before").isNull(), F.col("_last")).otherwise(F.slice(both, 1, k)))
 
@@ -136,9 +137,10 @@ def _last_k(edges: DataFrame, probes: DataFrame, k: int, strategy: str) -> DataF
         "_kind": F.lit(0), "_tie": F.lit(0).cast("bigint"), "_edge": F.lit(None).cast(marks.schema["_edge"].dataType)}))
     # probes (0) sort before edges (1) of the same time: only strictly earlier edges are seen
     order_by = ["at", "_kind", "_tie", *_tie_columns(extra)]
-    if fits_one_task(marks, ["node"], strategy):
-        return _with_last_k(marks, ["node"], order_by, k).filter("_edge IS NULL")
-    return _last_k_ranged(marks, order_by, k)
+    columns = [*marks.columns, "_last"]
+    return by_group_size(marks, ["node"], strategy,
+                         lambda rows: _with_last_k(rows, ["node"], order_by, k).filter("_edge IS NULL").select(*columns),
+                         lambda rows: _last_k_ranged(rows, order_by, k).select(*columns))
 
 
 def _recent_by_rank(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool, hop: int, static: bool,

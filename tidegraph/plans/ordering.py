@@ -1,14 +1,14 @@
 """Ordinals and running sums that do not depend on how large one key's group is.
 
 A window over `PARTITION BY key ORDER BY ...` sorts a whole key in one task. That is the best plan
-while every key is small, so it is used after the largest group has been measured. Beyond the
-limit the rows are range-partitioned on (keys, order): a hot key then covers many partitions, each
-partition sums its own rows, and a table with at most one row per partition carries the sums on.
+for small keys, and they keep it. Keys that are counted to be larger are taken apart: their rows are
+range-partitioned on (keys, order), a hot key then covers many partitions, each partition sums its
+own rows, and a table with at most one row per partition carries the sums on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 from itertools import accumulate
 
@@ -25,24 +25,24 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.tidegraph.maxGroupRows", str(MAX_GROUP_ROWS)))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Size of the biggest key group: a map-side combined count, one number to the driver."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return top or 0
+def by_group_size(df: DataFrame, keys: Sequence[str], strategy: str, plain: Callable[[DataFrame], DataFrame],
+                  ranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`plain` for the keys whose rows fit one task, `ranged` for the others only; both give the same rows.
 
-
-def fits_one_task(df: DataFrame, keys: Sequence[str], strategy: str = "auto") -> bool:
-    """Whether every key group is known to be small enough for one task.
-
-    The row count comes first: over files it is read from their footers, and a table below the
-    limit needs no look at its keys.
+    "auto" counts the rows of every key once, combined on the map side. Keys above the limit are
+    fewer than rows / limit, so their table may be broadcast. "plain" and "ranged" skip the count.
     """
     if strategy not in ("auto", "plain", "ranged"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy != "auto":
-        return strategy == "plain"
+        return plain(df) if strategy == "plain" else ranged(df)
     limit = max_group_rows(df.sparkSession)
-    return df.count() <= limit or largest_group(df, keys) <= limit
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = freeze(sizes.filter(F.col("_rows") > limit).select(*keys), "hot-keys")
+    if hot.isEmpty():
+        return plain(df)
+    few = F.broadcast(hot)
+    return plain(df.join(few, list(keys), "left_anti")).unionByName(ranged(df.join(few, list(keys), "left_semi")))
 
 
 def _partition_offsets(spark: SparkSession, rows: list[tuple], sums: Sequence[str],
@@ -86,12 +86,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     measures the largest group. Without keys the plan is always ranged.
     """
     keys, order_by = list(keys), list(order_by)
-    names = list(sums)
     each, total = ("decimal(28,0)", "decimal(38,0)") if big else ("bigint", "bigint")
-    if keys and fits_one_task(df, keys, strategy):
+
+    def plain(rows: DataFrame) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c.cast(each)).over(window) for n, c in sums.items()})
+        return rows.withColumns({n: F.sum(c.cast(each)).over(window).cast(total) for n, c in sums.items()}) \
+            .select(*df.columns, *sums)
 
+    def ranged(rows: DataFrame) -> DataFrame:
+        return _running_sum_ranged(rows, keys, order_by, sums, each, total)
+
+    return by_group_size(df, keys, strategy, plain, ranged) if keys else ranged(df)
+
+
+def _running_sum_ranged(df: DataFrame, keys: list[str], order_by: list[str], sums: dict[str, Column], each: str,
+                        total: str) -> DataFrame:
+    names = list(sums)
     valued = df.withColumns({f"_val_{n}": c.cast(each) for n, c in sums.items()})
     ranged = freeze(valued.repartitionByRange(*keys, *order_by)
                     .withColumn("_pid", F.spark_partition_id()), "ranged")

@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegraph-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -32,6 +33,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidegraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete all that this application has written here; frames read from it can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidegraph/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def freeze(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` to the shared folder and return it read back: cut lineage, fixed content."""
     path = new_path(df.sparkSession, label)
