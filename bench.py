@@ -25,6 +25,7 @@ from tidegraph.session import local_session
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+ORDER_LINES = ("sample_recent_with_ties", "partition_balanced_edgecount")
 
 
 def direct_join(edges: DataFrame, roots: DataFrame, k: int) -> DataFrame:
@@ -38,11 +39,20 @@ def direct_join(edges: DataFrame, roots: DataFrame, k: int) -> DataFrame:
 def main() -> None:
     spark = local_session(CPUS, shuffle_partitions=int(CPUS), memory=os.environ.get("BENCH_MEMORY", "12g"), name="bench")
     n_events = spark.read.parquet(f"{SF}/events.parquet").count()
+    n_lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
 
     def hops(fanouts, how="recent"):
         layers = S.sample_multi_hop(both_ways(spark, SF), end_roots(spark, SF), fanouts, how, seed=1)
         return layers[0].select("rid", "slot", "src_node", "eid", "dt")
 
+    def hot_split(k):
+        """Nodes with more rows than a fiftieth of the events count as hot."""
+        spark.conf.set("spark.tidegraph.maxGroupRows", str(n_events // 50))
+        try:
+            return S.sample_recent(both_ways(spark, SF), end_roots(spark, SF), k)
+        finally:
+            spark.conf.unset("spark.tidegraph.maxGroupRows")
+
     # name -> (query, units of work, unit)
     work = {
         "ingest_and_sort": (lambda: G.temporal_sort(both_ways(spark, SF)), 2 * n_events, "edges"),
@@ -53,11 +63,14 @@ def main() -> None:
         "uniform_k10": (lambda: S.sample_uniform(S.rank_edges(both_ways(spark, SF)), end_roots(spark, SF), 10),
                         2 * n_events, "roots"),
         "recent_10_10": (lambda: hops([10, 10]), 2 * n_events, "roots"),
+        "uniform_3_3": (lambda: hops([3, 3], "uniform"), 2 * n_events, "roots"),
+        "recent_k10_hot_split": (lambda: hot_split(10), 2 * n_events, "roots"),
         "snapshots_3": (lambda: QUERIES["sample_snapshots"](spark, SF), 2 * n_events, "roots"),
     }
     for name in ("sample_recent_with_ties", "target_triples", "neighbor_mean", "update_mailbox", "roc_auc",
                  "fennel_round", "partition_balanced_edgecount", "equalize", "prequential"):
-        work[name] = (lambda name=name: QUERIES[name](spark, SF), n_events, "events")
+        units = (n_lines, "order lines") if name in ORDER_LINES else (n_events, "events")
+        work[name] = (lambda name=name: QUERIES[name](spark, SF), *units)
     if os.environ.get("BENCH_DIRECT"):
         work["direct_join_k10_both_ways"] = (lambda: direct_join(both_ways(spark, SF), end_roots(spark, SF), 10),
                                              2 * n_events, "roots")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators import graph as G
 
+# The literal tables and expected rows below are fixed values.
+
 
 def newest(edges, node, spark):
     got = G.temporal_neighbors(edges, spark.createDataFrame([(node,)], "node long")).orderBy("slot").collect()
@@ -38,13 +40,13 @@ def test_reversed(small, spark):
 
 
 def test_unsorted_input(edges_of, spark):
-    edges = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3] * 3, [2, 1, 0] * 3)
+    edges = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3, 1, 2, 3, 1, 2, 3], [2, 1, 0, 2, 1, 0, 2, 1, 0])
     assert newest(edges, 0, spark) == ([1, 2, 3], [2, 1, 0], [0, 1, 2])
 
 
 def test_append_numbers_and_retention(edges_of, spark):
-    first = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3] * 3, [0, 1, 2] * 3, list(range(0, 18, 2)))
-    later = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3] * 3, [3, 4, 5] * 3, list(range(17, 34, 2)))
+    first = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3, 1, 2, 3, 1, 2, 3], [0, 1, 2, 0, 1, 2, 0, 1, 2], list(range(0, 18, 2)))
+    later = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3, 1, 2, 3, 1, 2, 3], [3, 4, 5, 3, 4, 5, 3, 4, 5], list(range(17, 34, 2)))
     graph = G.append_edges(first, later)
     assert counts(graph)["num_edges"] == 18
     kept = G.retain_since(graph, 3.5)

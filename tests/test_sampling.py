@@ -7,6 +7,8 @@ from tidegraph.operators import sampling as S
 
 BOTH = pytest.mark.parametrize("strategy", ["plain", "ranged"])
 
+# The literal tables and expected rows below are fixed values.
+
 
 def block_rows(samples, roots):
     edges, front = S.to_block(samples, roots)
@@ -22,7 +24,7 @@ def test_one_hop_recent(small, roots_of, strategy):
                                              strategy=strategy), roots)
     assert [r.src_node for r in got] == [2, 1, 2, 1, 2, 1]
     assert [r.edge_ts for r in got] == [1, 0, 1, 0, 1, 0]
-    assert [r.dt for r in got] == [.5, 1.5] * 3
+    assert [r.dt for r in got] == [.5, 1.5, .5, 1.5, .5, 1.5]
     assert [r.eid for r in got] == [1, 0, 4, 3, 7, 6]
     assert [r.row for r in got] == [0, 0, 1, 1, 2, 2]
     assert [r.col for r in got] == [3, 4, 5, 6, 7, 8]
@@ -44,7 +46,7 @@ def test_two_hops(small, roots_of, strategy):
     assert [r.eid for r in got] == [1, 0, 4, 3, 7, 6]
     got, counts = block_rows(outer, S.frontier(roots, inner, 2, 3))
     assert [r.src_node for r in got] == [2, 1, 2, 1, 2, 1, 1, 1, 1]
-    assert [r.dt for r in got] == [.5, 1.5] * 3 + [1, 1, 1]
+    assert [r.dt for r in got] == [.5, 1.5, .5, 1.5, .5, 1.5] + [1, 1, 1]
     assert [r.eid for r in got] == [1, 0, 4, 3, 7, 6, 6, 6, 6]
     assert [r.row for r in got] == [0, 0, 1, 1, 2, 2, 3, 5, 7]
     assert tuple(counts) == (9, 18, 9)
@@ -61,7 +63,7 @@ def test_uniform_counts(small, roots_of, strategy):
 
 
 def test_after_retention(small, edges_of, roots_of):
-    later = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3] * 3, [3, 4, 5] * 3).drop("eid", "seq")
+    later = edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3, 1, 2, 3, 1, 2, 3], [3, 4, 5, 3, 4, 5, 3, 4, 5]).drop("eid", "seq")
     graph = G.append_edges(small, later, order_by=["src", "ts"])
     kept = S.rank_edges(G.retain_since(graph, 3.5))
     assert S.sample_recent(kept, roots_of([0, 1, 2], 1.5), 2).count() == 0
@@ -69,14 +71,14 @@ def test_after_retention(small, edges_of, roots_of):
     got, _ = block_rows(S.sample_recent(kept, roots, 2), roots)
     assert [r.src_node for r in got] == [2, 2, 2]
     assert [r.edge_ts for r in got] == [4, 4, 4]
-    assert [r.dt for r in got] == [.5] * 3
+    assert [r.dt for r in got] == [.5, .5, .5]
     assert [r.eid for r in got] == [10, 13, 16]
     assert [r.row for r in got] == [0, 1, 2]
 
 
 @BOTH
 def test_snapshots_one_and_two_hops(edges_of, roots_of, strategy):
-    edges = edges_of([0] * 6 + [1] * 6 + [2] * 6, [1, 2, 3, 4, 5, 6] * 3, [0, 1, 2, 3, 4, 5] * 3)
+    edges = edges_of([0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2], [1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6], [0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5])
     roots = roots_of([0, 1, 2], 5)
     outer, inner = S.sample_multi_hop(edges, roots, [2, 2], snapshots=2, window=1, strategy=strategy)
     for snapshot, node, eids, dt in ((1, 5, [4, 10, 16], 1), (0, 4, [3, 9, 15], 2)):

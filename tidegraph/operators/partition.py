@@ -52,6 +52,9 @@ def partition_round_robin(edges: DataFrame, parts: int, ptable: DataFrame | None
     return _extend(ptable, fresh.withColumn("pid", F.pmod("ord", F.lit(parts))))
 
 
+# The exponent and the slacks of the published scores.
+GAMMA, UPSILON, SLACK = 1.5, 1.1, 1.25
+
 WEIGHTS = ("edgecount", "timestampsum", "timestampavg")
 
 
@@ -122,8 +125,8 @@ def _fennel_terms(edges: DataFrame, parts: int, upsilon: float) -> tuple[float,
     return parts ** 0.5 * num_edges / max(num_nodes, 1) ** 1.5, num_nodes * upsilon / parts
 
 
-def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float = 1.1,
-                 gamma: float = 1.5) -> DataFrame:
+def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float = UPSILON,
+                 gamma: float = GAMMA) -> DataFrame:
     """Choice (node, pid) of every new source against the frozen table.
 
     Score: neighbours in the partition - alpha * gamma * size**(gamma-1); full partitions are
@@ -150,7 +153,7 @@ def _with_degree(ptable: DataFrame, degree: DataFrame) -> DataFrame:
     return ptable.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def fennel_edge_round(edges: DataFrame, ptable: DataFrame, parts: int, slack: float = 1.25) -> DataFrame:
+def fennel_edge_round(edges: DataFrame, ptable: DataFrame, parts: int, slack: float = SLACK) -> DataFrame:
     """Choice (node, pid, degree) against the frozen table, by locality minus edge load.
 
     Locality: edges into the partition plus the out-degrees of the distinct neighbours there.
@@ -195,7 +198,7 @@ def _fill(left: DataFrame, loads: list[int], weight: str, parts: int, order_by:
     return summed.withColumn("pid", pid).select("node", "pid")
 
 
-def partition_fennel(edges: DataFrame, parts: int, upsilon: float = 1.1, gamma: float = 1.5, rounds: int = 4,
+def partition_fennel(edges: DataFrame, parts: int, upsilon: float = UPSILON, gamma: float = GAMMA, rounds: int = 4,
                      ptable: DataFrame | None = None) -> DataFrame:
     """Rounds of fennel_round over hash slices of the new sources; each round sees the ones before.
 
@@ -219,7 +222,7 @@ def partition_fennel(edges: DataFrame, parts: int, upsilon: float = 1.1, gamma:
     return table if left.isEmpty() else _extend(table, _fill(left, sizes, "w", parts))
 
 
-def partition_fennel_edge(edges: DataFrame, parts: int, rounds: int = 4, slack: float = 1.25,
+def partition_fennel_edge(edges: DataFrame, parts: int, rounds: int = 4, slack: float = SLACK,
                           ptable: DataFrame | None = None) -> DataFrame:
     """Rounds of fennel_edge_round, small degrees first: each round takes the next slice by degree."""
     _check(parts)
