@@ -31,7 +31,7 @@ from .components import connected_components
 
 SEED = 42
 SHINGLES_AT_ONCE = 255 * 256
-GROUP_IN_MEMORY = 65_536   # rows of one key that the reader of the index holds back
+GROUP_IN_MEMORY = 4_096    # rows of one key that the reader of the index holds back; more are cut into blocks
 BLOCK = 2_048              # different fingerprints on either side of one comparison
 NO_ID = 1 << 62            # stand-ins for fingerprints whose rows have no id start here
 
@@ -131,7 +131,7 @@ def _shared(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key, ids, hot):
             return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(ids), pa.array(np.full(len(key), hot))], ["key", "id", "hot"])
+                [pa.array(key), pa.array(ids), pa.array(np.broadcast_to(hot, len(key)))], ["key", "id", "hot"])
 
         held_key, held_id, passing = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
@@ -151,28 +151,29 @@ def _shared(width: int):
                 passing = None
             last = int(np.searchsorted(group, group[-1], "left"))
             if last:
-                keep = _meets(key[:last], group[:last], width)
+                keep, hot = _meets(key[:last], group[:last], width)
                 if keep.any():
-                    yield out(key[:last][keep], ids[:last][keep], False)
+                    yield out(key[:last][keep], ids[:last][keep], hot[keep])
             held_key, held_id = key[last:], ids[last:]
             if len(held_key) > GROUP_IN_MEMORY:
                 passing = group[-1]
                 yield out(held_key, held_id, True)
                 held_key, held_id = held_key[:0], held_id[:0]
         if len(held_key):
-            keep = _meets(held_key, held_key >> 1, width)
+            keep, hot = _meets(held_key, held_key >> 1, width)
             if keep.any():
-                yield out(held_key[keep], held_id[keep], False)
+                yield out(held_key[keep], held_id[keep], hot[keep])
     return run
 
 
-def _meets(key: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """Rows of groups with two rows (exact keys) or with both sides (one bit left out)."""
+def _meets(key: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of groups with two rows (exact keys) or with both sides (one bit left out), and whether
+    the group is too large for one comparison."""
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[start, len(group)])
     ones = np.add.reduceat(key & 1, start)
     exact = (group[start] >> width) % (width + 1) == width
-    return np.repeat(np.where(exact, size > 1, (ones > 0) & (ones < size)), size)
+    return np.repeat(np.where(exact, size > 1, (ones > 0) & (ones < size)), size), np.repeat(size > GROUP_IN_MEMORY, size)
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
