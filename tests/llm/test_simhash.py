@@ -110,7 +110,7 @@ def test_recall_at_eight_tenths(spark):
         for at in draw.sample(range(300), 4):  # about 0.88 of the shingles stay
             other[at] = "changed"
         texts += [" ".join(words), " ".join(other)]
-    found = simhash.near_duplicates(docs_of(spark, texts), words=5, lanes=6, segments=16, max_bits=60).collect()
+    found = simhash.near_duplicates(docs_of(spark, texts), words=5, lanes=7, segments=17, width=26, max_bits=70).collect()
     component = {r.id: r.component_id for r in found}
     assert sum(component[i] == component[i + 1] for i in range(0, 80, 2)) >= 36
     assert len(set(component.values())) >= 40

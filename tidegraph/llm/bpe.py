@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,6 +267,19 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", vocabulary
     return df.transform(map_arrow, decode_batches(vocabulary_json or vocabulary(), ids_col, out), schema_with(df, **{out: "string"}))
 
 
+def check_batches(json: str, text_col: str = "text"):
+    """A function that adds to record batches with `ids` their number, n_tokens, and round_trip:
+    whether decoding them gives the text (null as empty) back."""
+    def run(batches: Batches) -> Batches:
+        for batch in decode_batches(json, out="_decoded")(batches):
+            names = batch.schema.names
+            kept = batch.select([n for n in names if n != "_decoded"])
+            same = [a == b for a, b in zip(texts_of(batch, "_decoded"), texts_of(batch, text_col))]
+            yield with_columns(kept, n_tokens=pc.list_value_length(batch.column(names.index("ids"))).cast(pa.int64()),
+                               round_trip=pa.array(same, pa.bool_()))
+    return run
+
+
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 

@@ -95,9 +95,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.transform(map_arrow, run, "id bigint, fp binary")
 
 
-def _segments(fps: np.ndarray, segments: int) -> np.ndarray:
-    """(rows, bytes) -> (rows, segments) of equal width, as integers."""
-    bits = np.unpackbits(fps, axis=1).reshape(len(fps), segments, -1)
+def _segments(fps: np.ndarray, segments: int, width: int) -> np.ndarray:
+    """(rows, bytes) -> (rows, segments): the leading bits in segments, as integers."""
+    bits = np.unpackbits(fps, axis=1)[:, :segments * width].reshape(len(fps), segments, width)
     weights = (1 << np.arange(bits.shape[2], dtype=np.int64))[::-1]
     return bits.astype(np.int64) @ weights
 
@@ -112,7 +112,7 @@ def _index(segments: int, width: int):
                 batch = whole.slice(at, 1_000)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                value = _segments(fps, segments)[:, :, None]
+                value = _segments(fps, segments, width)[:, :, None]
                 side = (value >> place) & 1
                 code = (np.arange(segments, dtype=np.int64)[:, None] * (width + 1) + place)[None]
                 one_out = (code << (width + 1)) | ((value & ~(1 << place)) << 1) | side
@@ -258,16 +258,17 @@ def _compare(width: int, max_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, segments: int = 2, max_bits: int = 2) -> DataFrame:
+def near_links(fps: DataFrame, segments: int = 2, max_bits: int = 2, width: int | None = None) -> DataFrame:
     """(id, fp) with different ids and fingerprints -> (a, b) links, enough to connect every group.
 
-    The fingerprint's bits are cut into `segments` equal segments of at most 32 bits.
+    The fingerprint is cut into `segments` equal segments of at most 32 bits. With `width` only its
+    leading bits are indexed, in segments of that width; all bits are compared.
     """
     first = fps.select(F.max(F.length("fp"))).first()[0]
     if first is None:
         return fps.sparkSession.createDataFrame([], "a bigint, b bigint")
-    width = first * 8 // segments
-    if width * segments != first * 8 or width > 32:
+    given, width = width, width or first * 8 // segments
+    if width * segments > first * 8 or width > 32 or not given and width * segments != first * 8:
         raise ValueError(f"{first * 8} bits can't be cut into {segments} equal segments of at most 32 bits")
     index = fps.select("id", "fp").transform(map_arrow, _index(segments, width), "key bigint, id bigint")
     sorted_keys = (index.withColumn("g", F.shiftright("key", 1)).repartition("g")
@@ -279,7 +280,10 @@ def near_links(fps: DataFrame, segments: int = 2, max_bits: int = 2) -> DataFram
     placed = (hot.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
               .withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
               .select("key", "id", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj")))
-    members = plain.union(placed).join(fps.select("id", "fp"), "id").withColumn("g", F.shiftright("key", 1))
+    # every fingerprint is joined once, with the list of its keys (bounded by segments and blocks)
+    listed = plain.union(placed).groupBy("id").agg(F.collect_list(F.struct("key", "bi", "bj")).alias("at"))
+    members = (listed.join(fps.select("id", "fp"), "id").select("id", "fp", F.explode("at").alias("p"))
+               .select("id", "fp", "p.key", "p.bi", "p.bj").withColumn("g", F.shiftright("key", 1)))
     return (members.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "key", "id")
             .select("key", "bi", "bj", "id", "fp")
             .transform(map_arrow, _compare(width, max_bits), "a bigint, b bigint"))
@@ -292,7 +296,7 @@ def recall(share: float, width: int, segments: int) -> float:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                    lanes: int = 1, segments: int = 2, max_bits: int = 2) -> DataFrame:
+                    lanes: int = 1, segments: int = 2, max_bits: int = 2, width: int | None = None) -> DataFrame:
     """(id, fp, component_id) for every row: the smallest id reachable over links of fingerprints
     that differ in at most `max_bits` bits.
 
@@ -309,7 +313,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = (entries.join(named, "node", "left")
                .withColumn("id", F.when(F.col("n").isNull(), F.col("node"))
                            .otherwise(F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(NO_ID)))))
-    roots = connected_components(near_links(entries.select("id", "fp"), segments, max_bits))
+    roots = connected_components(near_links(entries.select("id", "fp"), segments, max_bits, width))
     grouped = (entries.select("id", "fp", "least")
                .join(roots.withColumnRenamed("node", "id"), "id", "left")
                .withColumn("root", F.coalesce("root", "id")))
