@@ -14,7 +14,7 @@ def captures(spark, pages, **options):
     path = new_path(spark, "warc-test")
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS id", "2 AS digest")
     warc.write_captures(df, path, **options)
-    return path, warc.assemble(warc.read_records(spark, path))
+    return path, warc.read_captures(spark, path)
 
 
 def test_round_trip(spark):

@@ -138,17 +138,20 @@ def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Pages written as WARC captures and read back, one row per capture."""
     path = new_path(spark, "warc")
     warc.write_captures(table(spark, sf, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path))
-    payload = warc.payload_of(F.col("response.block"))
-    response = F.col("response.type") == "response"
-    length = warc.field_of(F.col("metadata.block"), "payloadLength").cast("bigint")
-    digest = F.substring_index("response.payload_digest", ":", -1)
-    return captures.select(
+    captures = warc.read_captures(spark, path)
+    response = F.col("record_type") == "response"
+    # the payload's digest is a column of its own, so that it is computed once
+    read = captures.select(
         warc.field_of(F.col("metadata.block"), "pageId").cast("bigint").alias("page_id"),
-        F.when(response, F.length(payload).cast("bigint")).otherwise(length).alias("payload_bytes"),
-        F.when(response, warc.base32_of_hex(F.sha1(payload))).otherwise(digest).alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.regexp_extract("response.refers_to", "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint").alias("refers_to"))
+        warc.field_of(F.col("metadata.block"), "payloadLength").cast("bigint").alias("length"),
+        F.col("response.type").alias("record_type"), F.substring_index("response.payload_digest", ":", -1).alias("digest"),
+        F.regexp_extract("response.refers_to", "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint").alias("refers_to"),
+        warc.payload_of(F.col("response.block")).alias("payload"))
+    read = read.select("page_id", "length", "record_type", "digest", "refers_to", F.sha1("payload").alias("sha1"),
+                       F.length("payload").cast("bigint").alias("bytes"))
+    return read.withColumn("sha1", warc.base32_of_hex(F.col("sha1"))).select(
+        "page_id", F.when(response, F.col("bytes")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(response, F.col("sha1")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL["op8_warc"] = """

@@ -6,7 +6,8 @@ WARC-Concurrent-To. Reading back gives one row per record; captures are assemble
 records on the request's id, whatever file or order they came in.
 
 Scale: equal payloads are found with a grouped minimum over their digests (combined before the
-shuffle); a payload that very many pages share is a skewed equi join, which AQE splits. Files hold
+shuffle). Up to MOST_REPEATED repeated digests (counted first) are broadcast, so that pages aren't
+shuffled to be written; with more it is an equi join whose skew AQE splits. Files hold
 at most `captures_per_file` captures and are written by Spark's own writer, so a lost task leaves no
 partial file. Reading unpacks a file as a stream, one record at a time.
 """
@@ -22,19 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
+MOST_REPEATED = 200_000  # digests that occur more than once, with an id each: some 20 MB
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_of_hex(digest) -> F.Column:
-    """Bare upper-case base32 of a SHA-1 in hex: 160 bits are 32 digits of 5 bits."""
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    parts = []
-    for i in range(0, 40, 10):  # 40 bits at a time fit a bigint
-        number = F.conv(F.substring(digest, i + 1, 10), 16, 10).cast("bigint")
-        parts += [F.substring(F.lit(alphabet), F.shiftright(number, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1)) for k in range(8)]
-    return F.concat(*parts)
+    """Bare upper-case base32 of a SHA-1 in hex, 40 bits at a time."""
+    parts = [F.lpad(F.conv(F.substring(digest, i + 1, 10), 16, 32), 8, "0") for i in range(0, 40, 10)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _record(headers: list[tuple[str, F.Column | str]], block) -> F.Column:
@@ -48,7 +48,7 @@ def _record(headers: list[tuple[str, F.Column | str]], block) -> F.Column:
 
 
 def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, captures_per_file: int = 20_000) -> None:
+                   date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, captures_per_file: int = 5_000) -> None:
     """One capture per row, in gzipped WARC files under `path`.
 
     Of rows with equal payloads of at least `least_bytes` bytes, the one with the smallest id is
@@ -62,7 +62,9 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     first = (rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest")
              .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"))
     target = F.when(F.col("first") < F.col("id"), F.col("first"))
-    captures = (rows.join(first, "digest", "left").withColumn("target", target)
+    # usually few payloads repeat: with their number known, the payloads needn't be shuffled
+    few = first.limit(MOST_REPEATED + 1).count() <= MOST_REPEATED
+    captures = (rows.join(F.broadcast(first) if few else first, "digest", "left").withColumn("target", target)
                 .withColumn("request", F.expr("uuid()"))
                 .withColumn("sha1", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))))
     urn = lambda part: F.concat(F.lit(f"<urn:capture:{part}:"), F.col("request"), F.lit(">"))
@@ -141,14 +143,16 @@ RECORDS = ("type string, record_id string, concurrent_to string, refers_to strin
 HEADERS = ["warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest"]
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all WARC files under `path`, plain or gzipped."""
+def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per record of all WARC files under `path`, plain or gzipped; only `types`, if given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n.split()[0], pa.binary() if n.endswith("binary") else pa.string()) for n in RECORDS.split(", ")])
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
                 for headers, block in records(content.as_py()):
+                    if types and headers.get("warc-type") not in types:
+                        continue
                     rows.append((*(headers.get(h) for h in HEADERS), block))
                     size += len(block) + 500
                     if size > 4 << 20:
@@ -158,26 +162,37 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(run, RECORDS)
+    return files.transform(map_arrow, run, RECORDS)
 
 
 def assemble(found: DataFrame) -> DataFrame:
     """One nested row per capture: (capture_id, request, response, metadata), joined through the
     concurrent-to ids. `response` is a response or revisit record; parts that are missing are null.
     Records without a concurrent request are captures of their own, without one."""
-    part = lambda name: F.struct(*(F.col(c.split()[0]) for c in RECORDS.split(", "))).alias(name)
+    return _joined(*(found.filter(F.col("type").isin(*types)) for types in PARTS.values()))
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """assemble(read_records(...)), with only the records of its kind on either side of the joins."""
+    return _joined(*(read_records(spark, path, types) for types in PARTS.values()))
+
+
+PARTS = {"response": ("response", "revisit"), "request": ("request",), "metadata": ("metadata",)}
+
+
+def _joined(*parts: DataFrame) -> DataFrame:
     key = F.coalesce("concurrent_to", "record_id").alias("capture_id")
-    requests = found.filter("type = 'request'").select(key, part("request"))
-    responses = found.filter("type IN ('response', 'revisit')").select(key, part("response"))
-    metadata = found.filter("type = 'metadata'").select(key, part("metadata"))
-    return responses.join(requests, "capture_id", "full").join(metadata, "capture_id", "full") \
-        .select("capture_id", "request", "response", "metadata")
+    row = F.struct(*(F.col(c.split()[0]) for c in RECORDS.split(", ")))
+    responses, requests, metadata = (df.select(key, row.alias(name)) for name, df in zip(PARTS, parts))
+    # payloads come last: a full join's key isn't that of either side, so its rows are shuffled again
+    return (requests.join(metadata, "capture_id", "full").join(responses, "capture_id", "full")
+            .select("capture_id", "request", "response", "metadata"))
 
 
 def payload_of(block: F.Column) -> F.Column:
     """The body of an HTTP message (binary): what follows the first empty line."""
-    at = F.locate("0D0A0D0A", F.hex(F.substring(block, 1, 4096)))
-    return F.when(at > 0, F.substring(block, F.floor((at + 9) / 2).cast("int"), F.length(block))).otherwise(block)
+    at = F.locate(CRLF * 2, block.cast("string"))  # a head is ASCII: characters are bytes
+    return F.when(at > 0, F.substring(block, at + 4, F.length(block))).otherwise(block)
 
 
 def field_of(metadata_block: F.Column, name: str) -> F.Column:
