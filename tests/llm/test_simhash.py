@@ -49,6 +49,12 @@ def test_fingerprint_of_long_text():
     assert int.from_bytes(simhash.fingerprint(long)) == plain_fingerprint(long)
 
 
+def test_fingerprint_of_very_long_text_without_repeats():
+    for seed in (19, 20, 21):
+        text = prose(150_000, seed)
+        assert int.from_bytes(simhash.fingerprint(text)) == plain_fingerprint(text)
+
+
 def test_awkward_rows(spark):
     docs = docs_of(spark, AWKWARD).withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id")
     got = {r.id: (int.from_bytes(r.fp), r.component_id) for r in simhash.near_duplicates(docs).collect()}

@@ -18,6 +18,7 @@ probabilistic: `recall` gives the chance that a pair at a given share of differi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +75,7 @@ def fingerprint(text: str, words: int = 3, lanes: int = 1) -> bytes:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros((lanes, 64), np.int64)
     for _ in range(0, total, SHINGLES_AT_ONCE):
-        part = [digest(s, SEED) for s, _ in zip(shingles, range(SHINGLES_AT_ONCE))] if total > SHINGLES_AT_ONCE \
-            else [digest(s, SEED) for s in shingles]
-        hashes = np.array(part, np.uint64)
+        hashes = np.array([digest(s, SEED) for s in islice(shingles, SHINGLES_AT_ONCE)], np.uint64)
         for lane in range(lanes):
             ones[lane] += _ones(_lane(hashes, lane))
     set_bits = (2 * ones > total)[:, ::-1]
