@@ -47,7 +47,3 @@ def roots_of(spark):
 def small(edges_of):
     """Three sources with three edges each at times 0, 1, 2: fixed values."""
     return edges_of([0, 0, 0, 1, 1, 1, 2, 2, 2], [1, 2, 3, 1, 2, 3, 1, 2, 3], [0, 1, 2, 0, 1, 2, 0, 1, 2])
-
-
-def rows(df, *cols):
-    return [tuple(r) for r in df.select(*cols).collect()]

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from tidegraph.schema import PRESETS
