@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import new_path
-from . import block_search, bpe, chat, decontaminate, quality, secret_scan, token_counts, url_rules, warc
+from . import (block_search, bpe, chat, decontaminate, prefix_trie, quality, quartile_digest, secret_scan, token_counts,
+               url_rules, warc, whitening)
 from .common import table
 from .simhash import near_duplicates
 from .tokens import vocabulary
@@ -205,3 +206,49 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf, "labels"))
     return quality.with_scores(docs, model).select(
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the trie of conversations, of which every twenty share up to three first turns."""
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(table(spark, sf, "conversations")))
+
+
+SQL["op11_prefix_trie"] = r"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT FOR i IN range(8)]),
+        lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h FROM (SELECT DISTINCT c FROM turns)),
+lengths AS (SELECT c, max(pos) AS n FROM turns GROUP BY c),
+built AS (
+    SELECT convs.c, t.pos AS d, role, text FROM convs JOIN turns t ON t.c = base AND pos <= h
+    UNION ALL SELECT convs.c, pos - h + least(h, coalesce(n, 0)), role, text
+    FROM convs JOIN turns t ON t.c = convs.c AND pos > h LEFT JOIN lengths ON lengths.c = base),
+prefixes AS (
+    SELECT c, d, md5(string_agg(md5(role || chr(0) || text), '') OVER (PARTITION BY c ORDER BY d)) AS node,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM built
+    UNION ALL SELECT c, 0, 'root', 0 FROM convs),
+sized AS (SELECT *, max(d) OVER (PARTITION BY c) AS size, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent FROM prefixes),
+nodes AS (SELECT node, min(c) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size), '')) AS ends_sha256 FROM sized GROUP BY node),
+children AS (SELECT n.*, coalesce(k, 0) AS n_children FROM nodes n
+    LEFT JOIN (SELECT parent AS node, count(*) AS k FROM nodes WHERE parent IS NOT NULL GROUP BY parent) USING (node)),
+below AS (SELECT p.node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+    FROM children n JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves::BIGINT AS n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM children n JOIN below USING (node) LEFT JOIN nodes u ON u.node = n.parent"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings in whitened coordinates of the first four components."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of documents, of their edited texts, and how near these and the next documents are."""
+    return quartile_digest.compare_neighbours(table(spark, sf, "documents"))
