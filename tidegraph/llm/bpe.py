@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import freeze
-from .common import by_size, map_arrow, schema_with, sliced, texts_of, with_columns
+from .common import by_size, column, free_name, map_arrow, schema_with, sliced, texts_of, with_columns
 from .tokens import Codec, codec, vocabulary
 
 PART_CHARS = 65_536
@@ -135,11 +135,11 @@ def _id_arrays(encoded: list[bytes]) -> pa.Array:
 Batches = Iterator[pa.RecordBatch]
 
 
-def _whole(json: str, out: str, names: list[str], then):
+def _whole(json: str, out: str, names: list[str], then, text_col: str):
     def run(batches: Batches) -> Batches:
         c = codec(json)
-        for batch in by_size(batches, "_encoded"):
-            encoded = _id_arrays([c.encode(t) for t in texts_of(batch, "_encoded")])
+        for batch in by_size(batches, text_col):
+            encoded = _id_arrays([c.encode(t) for t in texts_of(batch, text_col)])
             yield from then(iter([with_columns(batch, **{out: encoded}).select([*names, out])]))
     return run
 
@@ -218,38 +218,43 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", vocabulary_j
     """df with the ids (array<int>) of the text, as the library gives them without added tokens.
 
     Special strings inside a text become their token, the library's default. A null text counts as
-    empty. All columns are kept; one named like `out` is replaced.
+    empty. All columns are kept; one named like `out` is replaced. Rows that repeat an id are rows of
+    their own, an empty table gives an empty one.
 
     `then`, if given, turns the encoded record batches into others (of `then_schema`) before they
     leave their task, as decode_batches does.
     """
     json = vocabulary_json or vocabulary()
     names = [c for c in df.columns if c != out]
-    quoted = [F.col(f"`{c}`") for c in names]
-    source = df.select(*quoted, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_encoded"))
-    short = source.filter(F.length("_encoded") <= part_chars)
+    quoted = [column(c) for c in names]
+    text, row, ids = (free_name(df, c) for c in ("encoded_text", "row", "found_ids"))
+    source = df.select(*quoted, F.coalesce(column(text_col), F.lit("")).alias(text))
+    short = source.filter(F.length(text) <= part_chars)
     schema = schema_with(df.select(*quoted), **{out: "array<int>"})
-    encoded = short.transform(map_arrow, _whole(json, out, names, then), then_schema or schema)
+    encoded = short.transform(map_arrow, _whole(json, out, names, then, text), then_schema or schema)
     # written once, so that its row numbers hold for both uses
-    long = freeze(source.filter(F.length("_encoded") > part_chars).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
-    parts = (long.select("_row", "_encoded").transform(map_arrow, _cut(json, part_chars), _PART).repartition("row", "segment", "part")
+    long = freeze(source.filter(F.length(text) > part_chars).withColumn(row, F.monotonically_increasing_id()), "long-texts")
+    parts = (long.select(row, text).transform(map_arrow, _cut(json, part_chars), _PART).repartition("row", "segment", "part")
              .transform(map_arrow, _encode_parts(json), _PART + ", ends binary, id_ends binary, ids binary"))
     whole = (parts.repartition("row").sortWithinPartitions("row", "segment", "part")
-             .transform(map_arrow, _assemble(json), "row bigint, ids array<int>").select(F.col("row").alias("_row"), F.col("ids").alias("_ids")))
-    joined = long.join(whole, "_row").select(*quoted, F.col("_ids").alias(out))
+             .transform(map_arrow, _assemble(json), "row bigint, ids array<int>").select(F.col("row").alias(row), F.col("ids").alias(ids)))
+    joined = long.join(whole, row).select(*quoted, F.col(ids).alias(out))
     if then_schema:
         joined = joined.transform(map_arrow, then, then_schema)
     return encoded.union(joined)
 
 
+def _decoded(json: str, batch: pa.RecordBatch, ids_col: str = "ids") -> list[str | None]:
+    token = codec(json).token_bytes.__getitem__
+    ids = batch.column(batch.schema.names.index(ids_col))
+    return [None if i is None else b"".join(map(token, i)).decode("utf-8", "replace") for i in _lists(ids)]
+
+
 def decode_batches(json: str, ids_col: str = "ids", out: str = "decoded"):
     """A function that adds to record batches the text of their ids."""
     def run(batches: Batches) -> Batches:
-        token = codec(json).token_bytes.__getitem__
         for batch in sliced(batches, 250):
-            ids = batch.column(batch.schema.names.index(ids_col))
-            texts = [None if i is None else b"".join(map(token, i)).decode("utf-8", "replace") for i in _lists(ids)]
-            yield with_columns(batch, **{out: pa.array(texts, pa.string())})
+            yield with_columns(batch, **{out: pa.array(_decoded(json, batch, ids_col), pa.string())})
     return run
 
 
@@ -271,12 +276,10 @@ def check_batches(json: str, text_col: str = "text"):
     """A function that adds to record batches with `ids` their number, n_tokens, and round_trip:
     whether decoding them gives the text (null as empty) back."""
     def run(batches: Batches) -> Batches:
-        for batch in decode_batches(json, out="_decoded")(batches):
-            names = batch.schema.names
-            kept = batch.select([n for n in names if n != "_decoded"])
-            same = [a == b for a, b in zip(texts_of(batch, "_decoded"), texts_of(batch, text_col))]
-            yield with_columns(kept, n_tokens=pc.list_value_length(batch.column(names.index("ids"))).cast(pa.int64()),
-                               round_trip=pa.array(same, pa.bool_()))
+        for batch in sliced(batches, 250):
+            same = [(a or "") == b for a, b in zip(_decoded(json, batch), texts_of(batch, text_col))]
+            ids = batch.column(batch.schema.names.index("ids"))
+            yield with_columns(batch, n_tokens=pc.list_value_length(ids).cast(pa.int64()), round_trip=pa.array(same, pa.bool_()))
     return run
 
 
@@ -289,10 +292,11 @@ def digest_batches(json: str, keep: list[str]):
     def run(batches: Batches) -> Batches:
         decimal = [str(i).encode() for i in range(len(codec(json).token_bytes))].__getitem__
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in decode_batches(json)(batches):
+        for batch in sliced(batches, 250):
             ids = list(_lists(batch.column(batch.schema.names.index("ids"))))
+            texts = [t or "" for t in _decoded(json, batch)]
             yield with_columns(batch, n_tokens=pa.array([len(i) for i in ids], pa.int64()),
                                ids_sha256=pa.array([sha(b",".join(map(decimal, i))) for i in ids], pa.string()),
-                               decoded_sha256=pa.array([sha(t.encode()) for t in texts_of(batch, "decoded")], pa.string())
+                               decoded_sha256=pa.array([sha(t.encode()) for t in texts], pa.string())
                                ).select([*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
     return run

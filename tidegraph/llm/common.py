@@ -9,7 +9,8 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,6 +49,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one, that no column of df has, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_columns(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
     """The batch with columns added; a column of the same name is replaced."""
     names = [n for n in batch.schema.names if n not in arrays]
