@@ -1,3 +1,4 @@
+import re
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
@@ -146,11 +147,50 @@ def test_batch_sizes(small, roots_of, size):
     assert got.count() == 2 * sum(i % 4 < 3 for i in range(size))
 
 
-def test_partitioned(small, roots_of, spark):
-    ptable = spark.createDataFrame([(0, 0), (1, 1)], "node long, pid int")
-    found, placed = S.sample_partitioned(small, roots_of([2, 1, 0], 1.5), ptable, 2)
+def test_partitioned(small, roots_of, spark, tmp_path):
+    """Only the folders of the owners asked for are read."""
+    from tidegraph.sources import io
+    ptable = spark.createDataFrame([(0, 0), (1, 1), (5, 2)], "node long, pid int")
+    path = str(tmp_path / "owned")
+    io.write_partitioned_edges(small.unionByName(small.withColumn("src", F.lit(5).cast("long"))), ptable, path)
+    found, placed = S.sample_partitioned(spark, path, roots_of([2, 1, 0], 1.5), ptable, 2)
     assert sorted(set(rows(found, "rid", "pid"))) == [(1, 1), (2, 0)]
+    assert sorted(rows(found, "rid", "slot", "eid")) == [(1, 0, 4), (1, 1, 3), (2, 0, 1), (2, 1, 0)]
     assert placed.count() == 3
+    assert re.search(r"PartitionFilters: \[[^]]*pid#\d+ IN \([01],[01]\)", found._jdf.queryExecution().executedPlan().toString())
+    none, _ = S.sample_partitioned(spark, path, roots_of([9], 1.5), ptable, 2)
+    assert none.count() == 0
+
+
+def test_bucketed_edges_are_not_shuffled(spark, edges_of, roots_of):
+    from tidegraph.operators import graph as G
+    n = 400
+    edges = edges_of([i % 7 for i in range(n)], [i % 11 for i in range(n)], [i // 3 for i in range(n)])
+    G.write_bucketed(edges, "bucketed_for_sampling", 4)
+    try:
+        roots = roots_of([i % 8 for i in range(60)], [float(2 * i) for i in range(60)])
+        want = sorted(rows(S.sample_recent(edges, roots, 3), "rid", "slot", "eid"))
+        got = S.sample_bucketed(spark, "bucketed_for_sampling", roots, 3)
+        assert sorted(rows(got, "rid", "slot", "eid")) == want and len(want) > 100
+        # the only exchange is that of the roots
+        plan = S.sample_bucketed(spark, "bucketed_for_sampling", roots, 3, strategy="plain")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "REPARTITION_BY_NUM" in plan
+        shuffled = S.sample_recent(spark.table("bucketed_for_sampling"), roots, 3, strategy="plain")._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" in shuffled
+    finally:
+        spark.sql("DROP TABLE bucketed_for_sampling")
+
+
+@pytest.mark.parametrize("how", ["recent", "uniform"])
+def test_shared_questions_answer_everyone(spark, edges_of, how):
+    """Many roots that ask the same: later hops answer as if each had asked alone."""
+    edges = edges_of([i % 5 for i in range(60)], [(i * 3) % 5 for i in range(60)], [i // 2 for i in range(60)])
+    roots = spark.createDataFrame([(i, i % 2, 25.0) for i in range(30)], "rid long, node long, ts double")
+    outer, inner = S.sample_multi_hop(edges, roots, [3, 3], how, seed=4)
+    front = S.frontier(roots, inner, 3, 30)
+    source = S.rank_edges(edges) if how == "uniform" else edges
+    want = S.sample_layer(source, front, 3, how, 1, seed=4)
+    assert sorted(map(tuple, outer.collect())) == sorted(map(tuple, want.collect())) and outer.count() > 300
 
 
 def test_plain_equals_ranged_with_one_hot_source(spark, monkeypatch):

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
@@ -153,14 +153,28 @@ def _recent_by_rank(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool
     return _finish(picked, ranked, hop, prop_time, static)
 
 
+PROBE = ["node", "snapshot", "ts", "start", "end"]
+
+
+def _once(bounds: DataFrame) -> DataFrame:
+    """The distinct questions of `bounds`, each with the smallest of their rids."""
+    return bounds.groupBy(*PROBE).agg(F.min("rid").alias("rid"))
+
+
 def recent_within(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool = False, hop: int = 0,
-                  static: bool = False, strategy: str = "auto") -> DataFrame:
-    """The newest k edges in [start, end) of each row of `bounds`."""
+                  static: bool = False, strategy: str = "auto", shared: bool = False) -> DataFrame:
+    """The newest k edges in [start, end) of each row of `bounds`.
+
+    `shared`: questions that several rids ask are answered once and the answers joined back.
+    """
     if k > MAX_LAGS:
         found = _recent_by_rank(edges, bounds, k, prop_time, hop, static, strategy)
     else:
-        probes = bounds.select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start")
+        probes = (_once(bounds) if shared else bounds).select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start")
         seen = _last_k(edges, probes, k, strategy)
+        if shared:
+            answers = seen.filter(F.get("_last", F.lit(0)).isNotNull()).select("node", "snapshot", "ts", F.col("at").alias("end"), "start", "_last")
+            seen = bounds.select("rid", *PROBE).join(answers, PROBE).withColumnRenamed("end", "at")
         each = seen.select("rid", "snapshot", "start", F.col("node").alias("root_node"),
                            F.col("at" if static else "ts").alias("root_ts"),
                            F.posexplode("_last").alias("slot", "e")).filter("e IS NOT NULL")
@@ -193,9 +207,15 @@ def sample_uniform(ranked: DataFrame, roots: DataFrame, k: int, window=0, snapsh
 
 def uniform_within(ranked: DataFrame, bounds: DataFrame, k: int, seed: int, whole: bool = False,
                    prop_time: bool = False, hop: int = 0, static: bool = False,
-                   strategy: str = "auto") -> DataFrame:
-    """k draws in [start, end) of each row of `bounds`; `whole`: every earlier edge is a candidate."""
+                   strategy: str = "auto", shared: bool = False) -> DataFrame:
+    """k draws in [start, end) of each row of `bounds`; `whole`: every earlier edge is a candidate.
+
+    `shared`: what several rids ask is counted once; each rid still draws for itself.
+    """
     keep = ["rid", "snapshot", "ts", "start", "end"]
+    everyone = bounds
+    if shared:
+        bounds = _once(bounds)
     if whole:
         probes = bounds.select("node", F.col("end").alias("at"), *keep)
         placed = _count_before(ranked, probes, strategy).withColumn("n", F.col("hi"))
@@ -208,6 +228,8 @@ def uniform_within(ranked: DataFrame, bounds: DataFrame, k: int, seed: int, whol
                   .agg(F.max(F.when(F.col("side") == 1, F.col("hi"))).alias("hi"),
                        F.max(F.when(F.col("side") == 0, F.col("hi"))).alias("lo"))
                   .withColumn("n", F.col("hi") - F.col("lo")))
+    if shared:
+        placed = everyone.select("rid", *PROBE).join(placed.filter("n > 0").select(*PROBE, "hi", "n"), PROBE)
     slots = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
     picked = (placed.filter("n > 0").withColumn("slot", F.explode(slots))
               .withColumn("rk", F.col("hi") - draw(F.col("n"), seed, hop, F.col("snapshot"),
@@ -282,16 +304,20 @@ def sample_preset(edges: DataFrame, roots: DataFrame, preset: SamplingPreset, se
 
 
 def _later_hop(edges, fronts, k, how, hop, snapshots, window, seed, options) -> DataFrame:
-    """Every snapshot has a frontier of its own and is asked in its own window, all in one probe."""
-    if snapshots == 1:
+    """Every snapshot has a frontier of its own and is asked in its own window, all in one probe.
+
+    The same (node, time) is reached from many roots, so questions are shared.
+    """
+    if options["static"]:
         return sample_layer(edges, fronts[0], k, how, hop, None, 1, window, seed, **options)
     bounds = None
     for s, front in fronts.items():
-        part = _snapshot_bounds(front, s, snapshots, window)
+        part = window_bounds(front, 1, window) if snapshots == 1 else _snapshot_bounds(front, s, snapshots, window)
         bounds = part if bounds is None else bounds.unionByName(part)
     if how == "recent":
-        return recent_within(edges, bounds, k, options["prop_time"], hop, False, options["strategy"])
-    return uniform_within(edges, bounds, k, seed, False, options["prop_time"], hop, False, options["strategy"])
+        return recent_within(edges, bounds, k, options["prop_time"], hop, False, options["strategy"], shared=True)
+    whole = snapshots == 1 and window < 1e-6
+    return uniform_within(edges, bounds, k, seed, whole, options["prop_time"], hop, False, options["strategy"], shared=True)
 
 
 def _snapshot_bounds(front, snapshot, snapshots, window) -> DataFrame:
@@ -323,16 +349,34 @@ def block_counts(edges: DataFrame, front: DataFrame) -> DataFrame:
                       n_edges.alias("num_edges"))
 
 
-def sample_partitioned(edges: DataFrame, roots: DataFrame, ptable: DataFrame, k: int, window=0,
+def sample_bucketed(spark: SparkSession, table: str, roots: DataFrame, k: int, window=0, snapshots: int = 1,
+                    prop_time: bool = False, strategy: str = "auto") -> DataFrame:
+    """sample_recent on a table of graph.write_bucketed: its edges are not shuffled.
+
+    Only the roots are, to the table's buckets, and each bucket's edges and roots meet where it is
+    read. Hot sources still leave the buckets, as everywhere.
+    """
+    rows = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Num Buckets'").collect()
+    if not rows:
+        raise ValueError(f"{table} has no buckets")
+    placed = roots.select("rid", "node", "ts").repartition(int(rows[0].data_type), "node")
+    return sample_recent(spark.table(table), placed, k, window, snapshots, prop_time, strategy=strategy)
+
+
+def sample_partitioned(spark: SparkSession, path: str, roots: DataFrame, ptable: DataFrame, k: int, window=0,
                        strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """Sampling where a source's edges live in its partition: (samples with pid, all roots with pid).
+    """Sampling from a folder of io.write_partitioned_edges: (samples with pid, all roots with pid).
 
-    Roots of nodes without a partition return no edges but stay in the root list; `rid` is the order.
+    A root is answered from its owner's edges. The owners asked for, at most as many as there are
+    partitions, are listed first, and no other owner's files are read. Roots of nodes without a
+    partition return no edges but stay in the root list; `rid` is the order.
     """
-    placed = roots.join(ptable.select("node", "pid"), "node", "left")
+    placed = roots.join(ptable.select("node", "pid"), "node", "left").select("rid", "node", "ts", "pid")
     owned = placed.filter(F.col("pid").isNotNull())
+    owners = [r.pid for r in owned.select("pid").distinct().collect()]
+    edges = spark.read.parquet(path).filter(F.col("pid").isin(owners))
     found = sample_recent(edges, owned, k, window, strategy=strategy)
-    return (found.join(owned.select("rid", "pid"), "rid"), placed.select("rid", "node", "ts", "pid"))
+    return found.join(owned.select("rid", "pid"), "rid"), placed
 
 
 def unique_frontier(front: DataFrame) -> DataFrame:
@@ -341,7 +385,8 @@ def unique_frontier(front: DataFrame) -> DataFrame:
 
 
 def sort_frontier(roots: DataFrame) -> DataFrame:
-    return roots.orderBy("node", "rid")
+    """The roots in the order of their nodes, `place` being where each stands."""
+    return dense_ordinal(roots, ["node", "rid"], "place")
 
 
 def compare_windows(edges: DataFrame, roots: DataFrame, k: int, windows: Sequence[float],

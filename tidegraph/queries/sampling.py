@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import sampling as S
 from ..plans.ordering import dense_ordinal
+from ..plans.storage import freeze, new_path
+from ..sources import io, ranked
 from .common import (DAY, PARTS, SEED, both_ways, end_roots, event_edges, event_roots, item_ptable, order_edges,
                      query, sql_hash)
 
@@ -239,11 +242,49 @@ def block_counts(spark, sf):
 
 @query("SELECT s.*, pid FROM (" + recent_sql("rv", "end_roots", 5) + ") s JOIN item_pt ON node = root_node")
 def sample_partitioned(spark, sf):
-    """Only items have a partition: user roots return no edges."""
-    found, _ = S.sample_partitioned(both_ways(spark, sf), end_roots(spark, sf), item_ptable(spark, sf), 5)
+    """Only items have a partition: user roots return no edges, and only the owners' files are read."""
+    path = new_path(spark, "owned-edges")
+    io.write_partitioned_edges(both_ways(spark, sf), item_ptable(spark, sf), path)
+    found, _ = S.sample_partitioned(spark, path, end_roots(spark, sf), item_ptable(spark, sf), 5)
     return _long(found, [*OUT, "pid"])
 
 
+@query(recent_sql("rv", "end_roots"))
+def sample_recent_bucketed(spark, sf):
+    """The newest ten edges from a table bucketed by source: its edges are not shuffled."""
+    path = new_path(spark, "bucketed")
+    name = f"edges_{path[-32:]}"
+    G.write_bucketed(both_ways(spark, sf), name, 8, path)
+    return _long(S.sample_bucketed(spark, name, end_roots(spark, sf), K), OUT)
+
+
+APPENDS = 5
+ARRIVAL = f"CASE WHEN eid % 97 = 0 THEN {APPENDS - 1} ELSE ord * {APPENDS} // (SELECT count(*) FROM ev) END"
+
+
+def ranked_appends(spark, sf):
+    """The folder of a ranked graph after five appends; every 97th event comes late, with the last one."""
+    path = new_path(spark, "ranked")
+    rows = freeze(dense_ordinal(event_edges(spark, sf), ["eid"]), "arrivals")
+    n = rows.count()
+    arrival = F.when(F.col("eid") % 97 == 0, APPENDS - 1).otherwise(F.floor(F.col("ord") * APPENDS / n))
+    for i in range(APPENDS):
+        ranked.append_ranked(rows.filter(arrival == i), path, i + 1)
+    return path
+
+
+@query("SELECT src, eid, row_number() OVER (PARTITION BY src ORDER BY ts, seq) AS rk FROM ev")
+def append_ranked(spark, sf):
+    return ranked.read_ranked(spark, ranked_appends(spark, sf)).select("src", "eid", "rk")
+
+
+@query(uniform_sql("ev", "roots", K, None, SEED))
+def sample_uniform_stored_ranks(spark, sf):
+    """Uniform draws by ranks that appends have kept."""
+    edges = ranked.read_ranked(spark, ranked_appends(spark, sf))
+    return _long(S.sample_uniform(edges, event_roots(spark, sf), K, seed=SEED), OUT)
+
+
 @query("SELECT node FROM roots UNION SELECT src_node FROM recent5")
 def unique_frontier(spark, sf):
     roots = event_roots(spark, sf)
@@ -251,10 +292,9 @@ def unique_frontier(spark, sf):
     return S.unique_frontier(roots.select("node").union(samples.select("src_node")))
 
 
-@query("SELECT row_number() OVER (ORDER BY node, rid) - 1 AS at, rid, node, ts FROM end_roots")
+@query("SELECT row_number() OVER (ORDER BY node, rid) - 1 AS place, rid, node, ts FROM end_roots")
 def sort_frontier(spark, sf):
-    """The order is the result: `at` is the position in it."""
-    return dense_ordinal(S.sort_frontier(end_roots(spark, sf)), ["node", "rid"], "at")
+    return S.sort_frontier(end_roots(spark, sf))
 
 
 @query(f"""SELECT w AS "window", rid, slot, src_node, eid FROM (
