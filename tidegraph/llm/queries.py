@@ -110,28 +110,24 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-def _sql_selected(mask: str) -> str:
-    return " || chr(31) || ".join(f"words[p + {i}]" for i, c in enumerate(mask, 1) if c == "1")
-
-
+# Finds every alignment another way: of n words with e others, some run of (n - e) / (e + 1), rounded up, is equal.
 SQL["op7_decontamination"] = rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
-items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM benchmark),
-doc_at AS (SELECT doc_id, words, unnest(range(len(words) - 7)) AS p FROM docs WHERE len(words) >= 8),
-item_at AS (SELECT item_id, words, unnest(range(len(words) - 7)) AS p FROM items WHERE len(words) >= 8),
-doc_seeds AS (SELECT doc_id, words, p, 0 AS m, {_sql_selected(decontaminate.MASKS[0])} AS seed FROM doc_at
-    UNION ALL SELECT doc_id, words, p, 1, {_sql_selected(decontaminate.MASKS[1])} FROM doc_at),
-item_seeds AS (SELECT item_id, any_value(words) AS words, m, seed, min(p) AS p FROM (
-    SELECT item_id, words, p, 0 AS m, {_sql_selected(decontaminate.MASKS[0])} AS seed FROM item_at
-    UNION ALL SELECT item_id, words, p, 1, {_sql_selected(decontaminate.MASKS[1])} FROM item_at) GROUP BY item_id, m, seed),
-laid AS (SELECT DISTINCT doc_id, item_id, d.words AS dw, i.words AS iw, d.p - i.p AS start
-    FROM doc_seeds d JOIN item_seeds i ON d.m = i.m AND d.seed = i.seed),
-compared AS (SELECT *, least({decontaminate.STRETCH}, len(iw)) AS n,
-    [CASE WHEN start + k >= 0 AND dw[start + k + 1] = iw[k + 1] THEN 1 ELSE 0 END FOR k IN range(len(iw))] AS eq FROM laid),
-scored AS (SELECT doc_id, item_id, len(iw) AS item_words, n,
+items AS (SELECT *, ceil((needed) / (n - needed + 1))::INT AS run FROM (SELECT *, ceil(n * {decontaminate.IDENTITY})::INT AS needed FROM (
+    SELECT *, least({decontaminate.STRETCH}, len(words)) AS n FROM (
+    SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM benchmark)
+    WHERE len(words) >= {decontaminate.LEAST_WORDS}))),
+item_at AS (SELECT *, list_aggregate(words[p + 1:p + run], 'string_agg', ' ') AS seed FROM (
+    SELECT *, unnest(range(len(words) - run + 1)) AS p FROM items)),
+doc_at AS (SELECT *, list_aggregate(words[p + 1:p + run], 'string_agg', ' ') AS seed FROM (
+    SELECT doc_id, words, run, unnest(range(len(words) - run + 1)) AS p FROM docs, (SELECT DISTINCT run FROM items) WHERE len(words) >= run)),
+laid AS (SELECT DISTINCT doc_id, item_id, d.words AS dw, i.words AS iw, n, needed, d.p - i.p AS start
+    FROM doc_at d JOIN item_at i ON d.run = i.run AND d.seed = i.seed),
+compared AS (SELECT *, [CASE WHEN start + k >= 0 AND dw[start + k + 1] = iw[k + 1] THEN 1 ELSE 0 END FOR k IN range(len(iw))] AS eq FROM laid),
+scored AS (SELECT doc_id, item_id, len(iw) AS item_words, needed,
     list_max([list_sum(eq[s + 1:s + n]) FOR s IN range(len(iw) - n + 1)]) AS matched FROM compared)
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(item_words) AS BIGINT) AS item_words
-FROM scored WHERE matched >= ceil(n * {decontaminate.IDENTITY}) GROUP BY doc_id, item_id"""
+FROM scored WHERE matched >= needed GROUP BY doc_id, item_id"""
 
 
 @query
