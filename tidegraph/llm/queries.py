@@ -44,7 +44,8 @@ def _listed(spans):
 @query
 def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in documents: spans by pattern and by compression."""
-    found = secret_scan.secret_spans(table(spark, sf, "documents"), keep=["doc_id"])
+    docs = table(spark, sf, "documents")
+    found = secret_scan.secret_spans(docs, keep=["doc_id"], learned=secret_scan.learn_identifiers(docs))
     return found.select("doc_id", _count("assign").alias("n_assign"), _count("access").alias("n_access"),
                         _count("hex").alias("n_hex"), F.sha2(_listed(F.expr(BASE)), 256).alias("base_sha256"),
                         _listed(F.col("spans")).alias("spans"))
