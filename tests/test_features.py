@@ -94,3 +94,16 @@ def test_elementwise(spark):
     row = spark.range(1).select(V.leaky_relu(F.lit(-2.0)).alias("a"), V.leaky_relu(F.lit(2.0)).alias("b"),
                                 V.pair_product(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("p")).first()
     assert (row.a, row.b, row.p) == (pytest.approx(-.4), 2.0, [3.0, 8.0])
+
+
+@pytest.mark.parametrize("how", ["mean", "max", "sum"])
+@pytest.mark.parametrize("dim,block", [(7, 3), (6, 3), (1_024, 128)])
+def test_vectors_in_blocks(spark, how, dim, block):
+    """Blocks give what one aggregate per dimension gives, in rows of `block` numbers."""
+    rows = [(k, [float((k * 31 + j * 7 + i) % 13) for i in range(dim)]) for k in range(3) for j in range(4)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    got = {r.k: r.agg for r in A.vector_agg(df, ["k"], "v", dim, how, block=block).collect()}
+    fn = {"mean": lambda x: sum(x) / len(x), "max": max, "sum": sum}[how]
+    assert got == {k: [pytest.approx(fn(c)) for c in zip(*(v for q, v in rows if q == k))] for k in range(3)}
+    if dim == 7:
+        assert got == {r.k: r.agg for r in A.vector_agg(df, ["k"], "v", dim, how).collect()}

@@ -53,5 +53,18 @@ def test_means_and_vectors(spark):
     assert H.mean_metric(values, "ap", "worker").first().ap == 5.0
     vecs = spark.createDataFrame([(0, [1.0, 5.0]), (1, [3.0, 5.0])], "row long, vec array<double>")
     assert sorted(r.vec for r in H.standardize(vecs, 2).collect()) == [[-1.0, 0.0], [1.0, 0.0]]
-    got = H.mean_over_runs(vecs.union(vecs).union(spark.createDataFrame([(1, [9.0, 5.0])], vecs.schema)), 2, 2, 1).collect()
-    assert [(r.row, r.vec) for r in got] == [(1, [5.0, 5.0])]
+
+
+def test_mean_over_runs_of_different_lengths(spark):
+    rows = [("a", i, [float(i), 1.0]) for i in range(5)] + [("b", 0, [7.0, 3.0])] + [("c", i, [10.0 * i, 0.0]) for i in range(2)]
+    runs = spark.createDataFrame(rows, "run string, row long, vec array<double>")
+    # each run's own last two rows; b has one only, which is its last
+    assert {r.row: r.vec for r in H.mean_over_runs(runs, 2, 2).collect()} == {0: [1.5, 0.5], 1: [(4 + 7 + 10) / 3, 4 / 3]}
+    assert {r.row: r.vec[0] for r in H.mean_over_runs(runs, 2).collect()} == {0: 7 / 3, 1: 5.5, 2: 2.0, 3: 3.0, 4: 4.0}
+
+
+def test_standardize_long_vectors(spark):
+    dim = 300
+    vecs = spark.createDataFrame([(0, [float(i) for i in range(dim)]), (1, [float(-i) for i in range(dim)])], "id long, vec array<float>")
+    got = {r.id: r.vec for r in H.standardize(vecs, dim).collect()}
+    assert got == {0: [0.0] + [1.0] * (dim - 1), 1: [0.0] + [-1.0] * (dim - 1)}

@@ -1,7 +1,9 @@
 """Neighbourhood aggregation without learned parameters.
 
 Vectors are aggregated by one aggregate per dimension: a single hash aggregation with map-side
-combine, instead of exploding every vector into `dim` rows.
+combine, instead of exploding every vector into `dim` rows. Vectors of more than BLOCK numbers are cut
+into blocks that are keys of their own, so the width of a row, and what code is generated for it, stay
+the same however long the vectors are.
 """
 
 from __future__ import annotations
@@ -17,11 +19,31 @@ ROOT_KEYS = ("hop", "snapshot", "rid")
 HOW = ("mean", "max", "sum", "gcn")
 
 
-def vector_agg(df: DataFrame, keys: Sequence[str], vec: str, dim: int, how: str, name: str = "agg") -> DataFrame:
+# Numbers of a vector that are aggregated side by side.
+BLOCK = 128
+
+
+def vector_blocks(df: DataFrame, vec: str, dim: int, block: int) -> DataFrame:
+    """df with its vectors in blocks: adds `_b`, the block's number, and cuts `vec` to it."""
+    numbers = F.sequence(F.lit(0), F.lit(-(-dim // block) - 1))
+    return df.withColumn("_b", F.explode(numbers)).withColumn(vec, F.slice(vec, F.col("_b") * block + 1, F.lit(block)))
+
+
+def joined_blocks(df: DataFrame, keys: Sequence[str], name: str, dim: int) -> DataFrame:
+    """The vectors of (keys, _b, name) put together again."""
+    blocks = F.array_sort(F.collect_list(F.struct("_b", name)))
+    whole = df.groupBy(*keys).agg(blocks.alias("_all"))
+    return whole.select(*keys, F.slice(F.flatten(F.transform("_all", lambda b: b[name])), 1, dim).alias(name))
+
+
+def vector_agg(df: DataFrame, keys: Sequence[str], vec: str, dim: int, how: str, name: str = "agg", block: int = BLOCK) -> DataFrame:
     """Elementwise mean, max or sum of vectors without NULL elements.
 
     A mean keeps one sum per dimension and a single count, half the buffers of `dim` averages.
     """
+    if dim > block:
+        cut = vector_blocks(df.select(*keys, vec), vec, dim, block)
+        return joined_blocks(vector_agg(cut, [*keys, "_b"], vec, block, how, name, block), keys, name, dim)
     fn = F.max if how == "max" else F.sum
     parts = [f"_d{i}" for i in range(dim)]
     columns = [fn(F.get(vec, F.lit(i)).cast("double")).alias(p) for i, p in enumerate(parts)]

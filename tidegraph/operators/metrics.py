@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import sigmoid
 from ..plans.ordering import running_sum
+from .aggregate import BLOCK, vector_agg, vector_blocks
 
 
 def label_scores(pos: DataFrame, neg: DataFrame, logit: str = "logit") -> DataFrame:
@@ -66,18 +67,25 @@ def standardize(vectors: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
 
     Two numbers per dimension come to the driver and return as literals.
     """
-    x = [F.get(vec, F.lit(i)).cast("double") for i in range(dim)]
-    stats = vectors.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
-                        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).first()
-    if stats["m0"] is None:
+    block = min(dim, BLOCK)
+    x = [F.get(vec, F.lit(i)).cast("double") for i in range(block)]
+    stats = vector_blocks(vectors.select(vec), vec, dim, block).groupBy("_b").agg(
+        F.array(*[F.avg(c) for c in x]).alias("mean"), F.array(*[F.stddev_pop(c) for c in x]).alias("std")).collect()
+    mean, std = ([v for r in sorted(stats) for v in r[i]][:dim] for i in ("mean", "std"))
+    if not mean or mean[0] is None:
         return vectors
-    scaled = F.array(*[(c - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i, c in enumerate(x)])
-    return vectors.withColumn(vec, scaled)
+    centred = F.zip_with(vec, F.lit(mean), lambda v, m: v.cast("double") - m)
+    return vectors.withColumn(vec, F.zip_with(centred, F.lit([s or 1.0 for s in std]), lambda c, s: c / s))
 
 
-def mean_over_runs(vectors: DataFrame, dim: int, rows: int, last: int | None = None, vec: str = "vec") -> DataFrame:
-    """Average vector per row position over runs; `last` keeps the last rows of `rows` positions."""
+def mean_over_runs(vectors: DataFrame, dim: int, last: int | None = None, vec: str = "vec") -> DataFrame:
+    """Average vector over runs by position: (run, row, vec) -> (row, vec); `row` counts from 0 in each run.
+
+    With `last` only each run's own last rows count, whatever its length, and positions are those
+    among them: the final row of every run has position last - 1.
+    """
     if last is not None:
-        vectors = vectors.filter(F.col("row") >= rows - last)
-    return vectors.groupBy("row").agg(
-        F.array(*[F.avg(F.get(vec, F.lit(i)).cast("double")) for i in range(dim)]).alias(vec))
+        sizes = vectors.groupBy("run").agg((F.max("row") + 1).alias("_rows"))
+        vectors = (vectors.join(sizes, "run").withColumn("row", F.col("row") - F.col("_rows") + last)
+                   .filter("row >= 0").drop("_rows"))
+    return vector_agg(vectors, ["row"], vec, dim, "mean", vec)

@@ -10,8 +10,10 @@ from ..operators import batching as B
 from ..operators import continuous as C
 from ..plans.ordering import dense_ordinal
 from ..plans.storage import freeze, new_path
-from ..streaming import ingest, state
-from .common import BATCH, DAY, SEED, edges_from_events, event_edges, query, sql_hash, table
+from ..sources import versioned
+from ..streaming import ingest, memory, state
+from .common import BATCH, DAY, SEED, edge_features, edges_from_events, event_edges, query, sql_hash, table, whole, whole_sql
+from .features import EDGE, MAIL, MEM, START, start_state, whole_state, zeros_sql
 
 RATIO, VAL, STEPS, K = 0.3, 0.1, 10, 5
 SIZES = f"""n AS (SELECT count(*) AS n, floor(count(*) * {RATIO})::BIGINT AS p FROM ev)"""
@@ -158,3 +160,40 @@ def node_state_stream(spark, sf):
     updates = state.node_state_stream(edges_from_events(event_stream(spark, sf, path)), BATCH)
     state.write_updates(updates, f"{path}/updates", f"{path}/checkpoint").awaitTermination()
     return state.merge_last(state.compact(spark, f"{path}/updates", f"{path}/compacted", ["node"], 1))
+
+
+MICRO, SHARE = 3, 0.25
+
+
+def memory_sql() -> str:
+    """State after three batches, each one computed from the state before it."""
+    ctes = [START, f"split AS (SELECT src, dst, ts, o.eid, f0, f1, ord * {MICRO} // (SELECT count(*) FROM ev) AS b FROM ev_ord o JOIN ef ON ef.eid = o.eid)",
+            f"s0 AS (SELECT node, mem, 0::BIGINT AS mem_ts, {zeros_sql(MAIL)} AS mail, 0::BIGINT AS mail_ts FROM start)"]
+    for k in range(MICRO):
+        ends = " UNION ALL ".join(f"SELECT eid, {role} AS role, {end} AS node, ts, f0, f1 FROM split WHERE b = {k}" for role, end in enumerate(("src", "dst")))
+        ctes += [
+            f"""e{k} AS MATERIALIZED (SELECT e.*, list_transform(list_zip(coalesce(mem, {zeros_sql(MEM)}), coalesce(mail, {zeros_sql(MAIL)})[1:{MEM}]),
+                lambda p: p[1] * {1 - SHARE} + p[2] * {SHARE}) AS new FROM ({ends}) e LEFT JOIN s{k} s ON s.node = e.node)""",
+            f"m{k} AS (SELECT node, arg_max(new, (role, eid)) AS mem, arg_max(ts, (role, eid)) AS mem_ts FROM e{k} GROUP BY node)",
+            f"""l{k} AS (SELECT a.node, arg_max(list_concat(list_concat(a.new, o.new), [CAST(a.f0 AS DOUBLE), CAST(a.f1 AS DOUBLE)]), (a.eid, a.role)) AS mail,
+                arg_max(a.ts, (a.eid, a.role)) AS mail_ts FROM e{k} a JOIN e{k} o ON a.eid = o.eid AND o.role = 1 - a.role GROUP BY a.node)""",
+            f"""s{k + 1} AS MATERIALIZED (SELECT coalesce(m.node, s.node) AS node, coalesce(m.mem, s.mem) AS mem, coalesce(m.mem_ts, s.mem_ts) AS mem_ts,
+                coalesce(l.mail, s.mail) AS mail, coalesce(l.mail_ts, s.mail_ts) AS mail_ts
+                FROM s{k} s FULL JOIN m{k} m ON m.node = s.node LEFT JOIN l{k} l ON l.node = m.node)"""]
+    return f"WITH {', '.join(ctes)} SELECT node, {whole_sql('mem')} AS mem, mem_ts, {whole_sql('mail')} AS mail, mail_ts FROM s{MICRO}"
+
+
+@query(memory_sql())
+def node_memory_stream(spark, sf):
+    """Memory and mailbox of every node, kept by a stream of three micro-batches and folded once."""
+    path = new_path(spark, "memory")
+    edges = dense_ordinal(event_edges(spark, sf).join(edge_features(spark, sf), "eid"), ["eid"])
+    edges = freeze(edges.select("src", "dst", "ts", "eid", "feat", "ord"), "events-in-order")
+    n = edges.count()
+    for k in range(MICRO):
+        # one file is one micro-batch
+        edges.filter(F.floor(F.col("ord") * MICRO / n) == k).drop("ord").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    versioned.create(start_state(spark, sf), f"{path}/state", "node")
+    stream = ingest.read_stream(spark, f"{path}/in", edges.drop("ord").schema, files_per_trigger=1)
+    memory.node_memory_stream(stream, f"{path}/state", f"{path}/checkpoint", MEM, EDGE, memory.towards_mail(SHARE), compact_every=2).awaitTermination()
+    return whole_state(versioned.read(spark, f"{path}/state", key="node"), "node")

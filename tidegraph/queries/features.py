@@ -10,22 +10,16 @@ from ..operators import batching as B
 from ..operators import features as E
 from ..operators import sampling as S
 from ..operators import state as M
+from ..plans.ordering import dense_ordinal
+from ..plans.storage import freeze, new_path
+from ..sources import versioned
 from .batching import ratio_sql, several_negatives
 from .common import (BATCH, ITEM, SEED, edge_features, event_edges, event_roots, node_vectors, query, sql_hash,
-                     table, vectors)
+                     table, vectors, whole, whole_sql)
 
 DIM = 64
 
 
-def whole(column):
-    """All components of a vector in millionths, as one text: every number is compared."""
-    return F.array_join(F.transform(column, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
-
-
-def whole_sql(vector: str) -> str:
-    return f"array_to_string([CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) FOR x IN {vector}], ',')"
-
-
 def recent5(spark, sf):
     return S.sample_recent(event_edges(spark, sf), event_roots(spark, sf), 5)
 
@@ -77,33 +71,74 @@ def target_edge_features(spark, sf):
         F.col("feat")[1].cast("double").alias("f1"))
 
 
-UPDATED = """SELECT coalesce(u.id, t.id) AS id,
-      CASE WHEN u.id IS NULL THEN t.a ELSE u.a END AS a, CASE WHEN u.id IS NULL THEN t.b ELSE u.b END AS b
-    FROM (SELECT vec_id AS id, embedding[1] AS a, embedding[2] AS b FROM embeddings) t FULL JOIN
-      (SELECT src AS id, f0 AS a, f1 AS b FROM (SELECT src, f0, f1, row_number() OVER (PARTITION BY src ORDER BY eid DESC) AS k
-         FROM ev JOIN ef USING (eid)) WHERE k = 1) u ON u.id = t.id"""
+# every event gives its user the vector of its number, the later one wins
+UPDATED = """SELECT coalesce(u.id, t.id) AS id, CASE WHEN u.id IS NULL THEN t.feat ELSE u.feat END AS feat
+    FROM (SELECT vec_id AS id, embedding AS feat FROM embeddings) t FULL JOIN
+      (SELECT src AS id, embedding AS feat FROM (SELECT src, eid, row_number() OVER (PARTITION BY src ORDER BY eid DESC) AS k FROM ev)
+         JOIN embeddings ON vec_id = eid % (SELECT count(*) FROM embeddings) WHERE k = 1) u ON u.id = t.id"""
 
 
-def updated_table(spark, sf):
-    base = vectors(spark, sf).select("id", F.slice("feat", 1, 2).alias("feat"))
-    updates = event_edges(spark, sf).select("eid", F.col("src").alias("id")).join(edge_features(spark, sf), "eid")
-    return E.upsert_features(base, updates.withColumnRenamed("eid", "version"))
+def event_vectors(spark, sf):
+    """eid, src, dst, ts and the vector of the event's number: eid mod number of vectors."""
+    base = vectors(spark, sf)
+    ev = event_edges(spark, sf).withColumn("_v", F.pmod("eid", F.lit(base.count())))
+    return ev.join(base.select(F.col("id").alias("_v"), "feat"), "_v").drop("_v")
+
+
+def updates(spark, sf):
+    return event_vectors(spark, sf).select(F.col("src").alias("id"), "feat", F.col("eid").alias("version"))
 
 
-def two(column: str, *keep: str):
-    return [*keep, *[F.round(F.col(column)[i].cast("double"), 4).alias(n) for i, n in enumerate("ab")]]
+def updated_table(spark, sf):
+    return E.upsert_features(vectors(spark, sf), updates(spark, sf))
 
 
-@query(f"""WITH u AS ({UPDATED}) SELECT id, round(CAST(a AS DOUBLE), 4) AS a, round(CAST(b AS DOUBLE), 4) AS b FROM u""")
+@query(f"WITH u AS ({UPDATED}) SELECT id, {whole_sql('feat')} AS feat FROM u")
 def upsert_features(spark, sf):
-    return updated_table(spark, sf).select(*two("feat", "id"))
+    return updated_table(spark, sf).select("id", whole("feat").alias("feat"))
+
+
+LOOKUP = f"""WITH u AS ({UPDATED}) SELECT eid AS req, dst - {ITEM} AS id, {whole_sql('feat')} AS feat
+    FROM ev LEFT JOIN u ON u.id = dst - {ITEM}"""
+
 
+def requests(spark, sf):
+    return event_edges(spark, sf).select(F.col("eid").alias("req"), (F.col("dst") - ITEM).alias("id"))
 
-@query(f"""WITH u AS ({UPDATED}) SELECT eid AS req, dst - {ITEM} AS id, round(CAST(a AS DOUBLE), 4) AS a,
-    round(CAST(b AS DOUBLE), 4) AS b FROM ev LEFT JOIN u ON u.id = dst - {ITEM}""")
+
+@query(LOOKUP)
 def lookup(spark, sf):
-    requests = event_edges(spark, sf).select(F.col("eid").alias("req"), (F.col("dst") - ITEM).alias("id"))
-    return E.lookup(updated_table(spark, sf), requests).select(*two("feat", "req", "id"))
+    return E.lookup(updated_table(spark, sf), requests(spark, sf)).select("req", "id", whole("feat").alias("feat"))
+
+
+def versioned_table(spark, sf):
+    """The same table as a base and three deltas of events in their order, the first two folded."""
+    path = new_path(spark, "feature-versions")
+    versioned.create(vectors(spark, sf), path)
+    parts = freeze(dense_ordinal(updates(spark, sf), ["version"]), "updates")
+    n = parts.count()
+    for k in range(3):
+        part = parts.filter(F.floor(F.col("ord") * 3 / n) == k).drop("ord")
+        versioned.append(part, path, k + 1, order="version")
+    versioned.compact(spark, path, 2)
+    return path
+
+
+@query(f"WITH u AS ({UPDATED}) SELECT id, {whole_sql('feat')} AS feat FROM u")
+def upsert_versions(spark, sf):
+    return versioned.read(spark, versioned_table(spark, sf)).select("id", whole("feat").alias("feat"))
+
+
+@query(LOOKUP)
+def lookup_versions(spark, sf):
+    found = versioned.lookup(spark, versioned_table(spark, sf), requests(spark, sf))
+    return found.select("req", "id", whole("feat").alias("feat"))
+
+
+@query(f"SELECT vec_id AS id, {whole_sql('embedding')} AS feat FROM embeddings")
+def read_first_version(spark, sf):
+    """The table as it was before any update."""
+    return versioned.read(spark, versioned_table(spark, sf), 0).select("id", whole("feat").alias("feat"))
 
 
 BLOCK = f"(SELECT *, rid // {BATCH} AS block FROM recent5)"
@@ -146,17 +181,21 @@ def hot_set_coverage(spark, sf):
     return got.select(F.round("coverage", 6).alias("coverage"), "blocks")
 
 
-# --- node state: memory of two numbers, mail of 2 + 2 + 2 -------------------------------------
+# --- node state: memory of 64 numbers, mail of 64 + 64 + 2 --------------------------------------
 
-MEM, EDGE = 2, 2
+MEM, EDGE = DIM, 2
 MAIL = 2 * MEM + EDGE
 # users and items known to the vector table have a memory, everyone else starts from nothing
-START = "start AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS m0, CAST(embedding[2] AS DOUBLE) AS m1 FROM embeddings)"
+START = "start AS (SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS mem FROM embeddings)"
+
+
+def zeros_sql(n: int) -> str:
+    return f"list_resize([0.0::DOUBLE], {n}, 0.0::DOUBLE)"
 
 
 def start_state(spark, sf):
     return vectors(spark, sf).select(
-        F.col("id").alias("node"), F.transform(F.slice("feat", 1, 2), lambda x: x.cast("double")).alias("mem"),
+        F.col("id").alias("node"), F.transform("feat", lambda x: x.cast("double")).alias("mem"),
         F.lit(0).cast("bigint").alias("mem_ts"), V.zeros(MAIL).alias("mail"), F.lit(0).cast("bigint").alias("mail_ts"))
 
 
@@ -165,65 +204,64 @@ def event_nodes(spark, sf):
     return ev.select(F.col("src").alias("node")).union(ev.select("dst"))
 
 
-@query(f"""WITH {START} SELECT node, round(m0, 6) AS m0, {MAIL} AS mail_dim FROM start UNION ALL
-    SELECT node, 0.0, {MAIL} FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev)
+def whole_state(state, *keep: str):
+    return state.select(*keep, whole("mem").alias("mem"), "mem_ts", whole("mail").alias("mail"), "mail_ts")
+
+
+@query(f"""WITH {START} SELECT node, {whole_sql('mem')} AS mem, 0 AS mem_ts, {whole_sql(zeros_sql(MAIL))} AS mail, 0 AS mail_ts FROM start UNION ALL
+    SELECT node, {whole_sql(zeros_sql(MEM))}, 0, {whole_sql(zeros_sql(MAIL))}, 0 FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev)
     WHERE node NOT IN (SELECT node FROM start)""")
 def insert_missing_state(spark, sf):
-    state = M.insert_missing_state(start_state(spark, sf), event_nodes(spark, sf), MEM, MAIL)
-    return state.select("node", F.round(F.col("mem")[0], 6).alias("m0"), F.size("mail").cast("bigint").alias("mail_dim"))
+    return whole_state(M.insert_missing_state(start_state(spark, sf), event_nodes(spark, sf), MEM, MAIL), "node")
 
 
-@query(f"SELECT vec_id AS node, 0.0::DOUBLE AS m0, 0.0::DOUBLE AS m1, {MAIL} AS mail_dim FROM embeddings")
+@query(f"SELECT vec_id AS node, {whole_sql(zeros_sql(MEM))} AS mem, 0 AS mem_ts, {whole_sql(zeros_sql(MAIL))} AS mail, 0 AS mail_ts FROM embeddings")
 def reset_state(spark, sf):
-    return M.reset_state(start_state(spark, sf)).select(
-        "node", F.col("mem")[0].alias("m0"), F.col("mem")[1].alias("m1"),
-        F.size("mail").cast("bigint").alias("mail_dim"))
+    """Of a state with mails and times."""
+    state = M.update_mailbox(start_state(spark, sf), interactions(spark, sf), MEM, MAIL)
+    known = state.join(vectors(spark, sf).select(F.col("id").alias("node")), "node", "left_semi")
+    return whole_state(M.reset_state(known), "node")
 
 
 MAILS = f"""{START}, rows AS (SELECT batch_id, 2 * pos + i AS p, CASE i WHEN 0 THEN src ELSE dst END AS node,
       CASE i WHEN 0 THEN dst ELSE src END AS other, b.ts, f0, f1 FROM batches b JOIN ef USING (eid), (SELECT unnest([0, 1]) AS i)),
     last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch_id DESC, p DESC) AS k FROM rows)
       WHERE k = 1),
-    mails AS (SELECT coalesce(l.node, s.node) AS node, CASE WHEN l.node IS NULL THEN 0 ELSE coalesce(s.m0, 0) END AS own,
-      coalesce(o.m1, 0) AS other, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(l.ts, 0) AS mail_ts
+    mails AS (SELECT coalesce(l.node, s.node) AS node, CASE WHEN l.node IS NULL THEN {zeros_sql(MAIL)} ELSE list_concat(list_concat(
+        coalesce(s.mem, {zeros_sql(MEM)}), coalesce(o.mem, {zeros_sql(MEM)})), [CAST(f0 AS DOUBLE), CAST(f1 AS DOUBLE)]) END AS mail, coalesce(l.ts, 0) AS mail_ts
       FROM last l FULL JOIN start s ON l.node = s.node LEFT JOIN start o ON o.node = l.other)"""
 
 
-@query(f"""WITH {MAILS} SELECT rid, slot, f.node, round(coalesce(s.m0, 0), 6) AS m0, round(coalesce(s.m1, 0), 6) AS m1, 0 AS mem_ts,
-    round(coalesce(own, 0), 6) AS own, round(coalesce(other, 0), 6) AS other, coalesce(mail_ts, 0) AS mail_ts
+@query(f"""WITH {MAILS} SELECT rid, slot, f.node, {whole_sql(f"coalesce(s.mem, {zeros_sql(MEM)})")} AS mem, 0 AS mem_ts,
+    {whole_sql(f"coalesce(mail, {zeros_sql(MAIL)})")} AS mail, coalesce(mail_ts, 0) AS mail_ts
     FROM {FRONT[len("front AS "):]} f LEFT JOIN start s ON s.node = f.node LEFT JOIN mails m ON m.node = f.node""")
 def node_state_lookup(spark, sf):
     """Memory and mail of every frontier row."""
     state = M.update_mailbox(start_state(spark, sf), interactions(spark, sf), MEM, MAIL)
-    got = M.node_state_lookup(front_nodes(spark, sf), state, MEM, MAIL)
-    mem, mail = F.col("mem"), F.col("mail")
-    return got.select("rid", "slot", "node", F.round(mem[0], 6).alias("m0"), F.round(mem[1], 6).alias("m1"), "mem_ts",
-                      F.round(mail[0], 6).alias("own"), F.round(mail[3], 6).alias("other"), "mail_ts")
+    return whole_state(M.node_state_lookup(front_nodes(spark, sf), state, MEM, MAIL), "rid", "slot", "node")
 
 
 def memory_batch(spark, sf):
-    """Stacked batches whose new memory is [value, pos]."""
-    edges = event_edges(spark, sf).join(
-        table(spark, sf, "events").select(F.col("event_id").alias("eid"), "value"), "eid")
-    parts = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("src").alias("role"), F.col("src").alias("node")),
-                              F.struct(F.lit(1).alias("i"), F.lit("dst").alias("role"), F.col("dst").alias("node"))))
-    rows = B.fixed_batches(edges, BATCH).withColumn("p", parts)
-    pos = F.col("p.i") * BATCH + F.col("pos")
-    return rows.select("batch_id", pos.alias("pos"), "p.role", "p.node", "ts",
-                       F.array(F.col("value").cast("double"), pos.cast("double")).alias("mem"))
+    """Stacked batches whose new memory is the vector of the event's number, negative for destinations."""
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("src").alias("role"), F.col("src").alias("node")),
+                             F.struct(F.lit(1).alias("i"), F.lit("dst").alias("role"), F.col("dst").alias("node"))))
+    made = event_vectors(spark, sf).select("eid", "feat")
+    rows = B.fixed_batches(event_edges(spark, sf), BATCH).join(made, "eid").withColumn("p", ends)
+    sign = 1 - 2 * F.col("p.i")
+    return rows.select("batch_id", (F.col("p.i") * BATCH + F.col("pos")).alias("pos"), "p.role", "p.node", "ts",
+                       F.transform("feat", lambda x: x.cast("double") * sign).alias("mem"))
 
 
 @query(f"""WITH {START}, rows AS (
-      SELECT batch_id, i * {BATCH} + pos AS p, CASE i WHEN 0 THEN src ELSE dst END AS node, ts, value
-      FROM batches JOIN (SELECT event_id AS eid, value FROM events) USING (eid), (SELECT unnest([0, 1]) AS i)),
-    last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch_id DESC, p DESC) AS k FROM rows)
-      WHERE k = 1)
-    SELECT coalesce(l.node, s.node) AS node, round(coalesce(l.value, s.m0), 6) AS m0,
-      round(coalesce(l.p::DOUBLE, s.m1), 6) AS m1, coalesce(l.ts, 0) AS mem_ts
+      SELECT batch_id, i * {BATCH} + pos AS p, CASE i WHEN 0 THEN src ELSE dst END AS node, ts, i, eid FROM batches, (SELECT unnest([0, 1]) AS i)),
+    last AS (SELECT l.*, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 - 2 * i)) AS new FROM (
+      SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch_id DESC, p DESC) AS k FROM rows) l
+      JOIN embeddings ON vec_id = eid % (SELECT count(*) FROM embeddings) WHERE k = 1)
+    SELECT coalesce(l.node, s.node) AS node, {whole_sql('CASE WHEN l.node IS NULL THEN s.mem ELSE l.new END')} AS mem, coalesce(l.ts, 0) AS mem_ts,
+      {whole_sql(zeros_sql(MAIL))} AS mail, 0 AS mail_ts
     FROM last l FULL JOIN start s ON l.node = s.node""")
 def update_memory(spark, sf):
-    state = M.update_memory(start_state(spark, sf), memory_batch(spark, sf), MEM, MAIL)
-    return state.select("node", F.round(F.col("mem")[0], 6).alias("m0"), F.round(F.col("mem")[1], 6).alias("m1"), "mem_ts")
+    return whole_state(M.update_memory(start_state(spark, sf), memory_batch(spark, sf), MEM, MAIL), "node")
 
 
 def interactions(spark, sf):
@@ -236,13 +274,10 @@ def interactions(spark, sf):
     return rows.join(edge_features(spark, sf), "eid")
 
 
-@query(f"""WITH {MAILS} SELECT node, round(own, 6) AS own, round(other, 6) AS other,
-    round(CAST(f0 AS DOUBLE), 4) AS f0, CAST(f1 AS DOUBLE) AS f1, mail_ts FROM mails""")
+@query(f"""WITH {MAILS} SELECT m.node, {whole_sql(f"coalesce(s.mem, {zeros_sql(MEM)})")} AS mem, 0 AS mem_ts, {whole_sql('mail')} AS mail, mail_ts
+    FROM mails m LEFT JOIN start s ON s.node = m.node""")
 def update_mailbox(spark, sf):
-    state = M.update_mailbox(start_state(spark, sf), interactions(spark, sf), MEM, MAIL)
-    mail = F.col("mail")
-    return state.select("node", F.round(mail[0], 6).alias("own"), F.round(mail[3], 6).alias("other"),
-                        F.round(mail[4], 4).alias("f0"), mail[5].alias("f1"), "mail_ts")
+    return whole_state(M.update_mailbox(start_state(spark, sf), interactions(spark, sf), MEM, MAIL), "node")
 
 
 TIME_DIM = 8
@@ -258,17 +293,15 @@ def time_encode(spark, sf):
                        *[F.round(F.col("code")[i], 5).alias(f"c{i}") for i in range(TIME_DIM)])
 
 
-@query(f"""WITH {MAILS} SELECT rid, round(coalesce(own, 0), 6) AS own, CAST(coalesce(f1, 0) AS DOUBLE) AS f1,
-    round(cos(r.ts / 60000000.0::DOUBLE), 5) AS c0, round(cos(r.ts / 60000000.0::DOUBLE * 1e-9), 5) AS c3
+@query(f"""WITH {MAILS} SELECT rid, {whole_sql(f"list_concat(coalesce(mail, {zeros_sql(MAIL)}), [" + ", ".join(
+    f"cos(r.ts / 60000000.0::DOUBLE * {10.0 ** (-9.0 * i / 3)!r}::DOUBLE)" for i in range(4)) + "])")} AS message
     FROM roots r LEFT JOIN mails m ON m.node = r.node""")
 def message_input(spark, sf):
     """Mail and a four-number code of the minutes since the (never updated) memory."""
     state = M.update_mailbox(start_state(spark, sf), interactions(spark, sf), MEM, MAIL)
     front = M.node_state_lookup(event_roots(spark, sf), state, MEM, MAIL)
     got = M.message_input(front.withColumn("ts", F.col("ts") / 6e7), 4)
-    message = F.col("message")
-    return got.select("rid", F.round(message[0], 6).alias("own"), message[5].alias("f1"),
-                      F.round(message[6], 5).alias("c0"), F.round(message[9], 5).alias("c3"))
+    return got.select("rid", whole("message").alias("message"))
 
 
 # --- aggregation -------------------------------------------------------------------------------
@@ -373,7 +406,7 @@ def pair_product(spark, sf):
                                          whole("product").alias("product"))
 
 
-@query(f"""SELECT ord, r, {whole_sql('[CAST(s.feat[i] AS DOUBLE) * CAST(o.feat[i] AS DOUBLE) FOR i IN range(1, 65)]')} AS product
+@query(f"""SELECT ord, r, {whole_sql('list_transform(list_zip(s.feat, o.feat), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))')} AS product
     FROM ({ratio_sql()}) w JOIN nv s ON s.id = w.src JOIN nv o ON o.id = w.neg""")
 def pair_product_ratio(spark, sf):
     """Products of every source with each of its negatives."""

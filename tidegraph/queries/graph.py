@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators.partition import partition_hash
-from ..operators.state import insert_missing_state
+from ..operators.state import reset_state
 from ..plans.ordering import dense_ordinal
 from ..plans.storage import new_path
-from ..schema import NODE_STATE
 from ..sources import io
 from .common import (DAY, MID, PARTS, both_ways, event_edges, node_vectors, order_edges, query, sql_hash,
-                     table, vectors)
+                     table, vectors, whole)
 
 ROLL = "CASE WHEN ord * 100 < n * 70 THEN 0 WHEN ord * 100 < n * 85 THEN 1 ELSE 2 END"
 
@@ -88,18 +87,17 @@ def read_partition_table(spark, sf):
     return io.read_partition_table(spark, path).select("node", F.col("pid").cast("bigint").alias("pid"))
 
 
-@query("""SELECT id AS node, round(CAST(feat[1] AS DOUBLE), 6) AS m0, round(CAST(feat[2] AS DOUBLE), 6) AS m1,
-    0 AS mem_ts, 4 AS mail_dim FROM nv""")
+@query("""SELECT id AS node, array_to_string([CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) FOR x IN feat], ',') AS mem, 7 AS mem_ts,
+    array_to_string([CAST(round(CAST(x AS DOUBLE) * -1000000) AS BIGINT) FOR x IN feat], ',') AS mail, 9 AS mail_ts FROM nv""")
 def snapshot_and_restore_state(spark, sf):
+    """Whole memories and mails, over a later state that is not restored."""
     path = new_path(spark, "state")
-    empty = insert_missing_state(spark.createDataFrame([], NODE_STATE),
-                                 node_vectors(spark, sf).select(F.col("id").alias("node")), 2, 4)
-    state = empty.drop("mem").join(node_vectors(spark, sf).select(
-        F.col("id").alias("node"), F.transform(F.slice("feat", 1, 2), lambda x: x.cast("double")).alias("mem")), "node")
-    io.snapshot_state(state.select(*NODE_STATE.fieldNames()), path, 1)
+    wide = node_vectors(spark, sf).select(F.col("id").alias("node"), F.transform("feat", lambda x: x.cast("double")).alias("mem"))
+    state = wide.withColumns({"mem_ts": F.lit(7).cast("bigint"), "mail": F.transform("mem", lambda x: -x), "mail_ts": F.lit(9).cast("bigint")})
+    io.snapshot_state(state, path, 1)
+    io.snapshot_state(reset_state(state), path, 2)
     back = io.restore_state(spark, path, 1)
-    return back.select("node", F.round(F.col("mem")[0], 6).alias("m0"), F.round(F.col("mem")[1], 6).alias("m1"),
-                       "mem_ts", F.size("mail").cast("bigint").alias("mail_dim"))
+    return back.select("node", whole("mem").alias("mem"), "mem_ts", whole("mail").alias("mail"), "mail_ts")
 
 
 @query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY ts, src, dst) - 1 AS new_eid FROM ev WHERE ts < {MID}),

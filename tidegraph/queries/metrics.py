@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vector_sum
 from ..operators import metrics as H
 from ..plans.storage import freeze
-from .common import BATCH, query, table, vectors
+from .common import BATCH, query, table, vectors, whole, whole_sql
 from .features import link_logits
 
 DIM = 64
@@ -90,15 +90,16 @@ def standardize(spark, sf):
         "id", F.col("dim").cast("bigint").alias("dim"), F.round("v", 5).alias("value"))
 
 
-@query("""WITH r AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings),
-    n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM r GROUP BY run))
-    SELECT k AS "row", round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS f0, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS f63
-    FROM r, n WHERE k < n AND k >= n - 20 GROUP BY k""")
+LAST = 20
+
+
+@query(f"""WITH r AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS back, embedding FROM embeddings)
+    SELECT {LAST} - back AS "row", {whole_sql('list(v ORDER BY i)')} AS vec FROM (
+      SELECT back, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM r, (SELECT unnest(range(1, {DIM + 1})) AS i) WHERE back <= {LAST} GROUP BY back, i)
+    GROUP BY back""")
 def mean_over_runs(spark, sf):
-    """Each label is one run of as many vectors as every label has; the last 20 positions."""
+    """Each label is one run, of its own length; the mean of their last 20 vectors by position."""
     from ..plans.ordering import running_sum
-    runs = table(spark, sf, "embeddings").select(F.col("label").alias("run"), "vec_id", "embedding")
-    numbered = freeze(running_sum(runs, ["run"], ["vec_id"], {"row": F.lit(1)}).withColumn("row", F.col("row") - 1), "runs")
-    n = numbered.groupBy("run").count().agg(F.min("count")).first()[0]
-    got = H.mean_over_runs(numbered.filter(F.col("row") < n), DIM, n, 20, "embedding")
-    return got.select("row", *[F.round(F.col("embedding")[i], 6).alias(f"f{i}") for i in (0, 63)])
+    runs = table(spark, sf, "embeddings").select(F.col("label").alias("run"), "vec_id", F.col("embedding").alias("vec"))
+    numbered = running_sum(runs, ["run"], ["vec_id"], {"row": F.lit(1)}).withColumn("row", F.col("row") - 1)
+    return H.mean_over_runs(freeze(numbered, "runs"), DIM, LAST).select("row", whole("vec").alias("vec"))
