@@ -126,3 +126,14 @@ def test_balanced_continues_from_earlier_loads(spark):
 def test_more_partitions_than_a_byte_holds(spark):
     edges = spark.range(1000).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("id").alias("ts"))
     assert P.partition_round_robin(edges, 500).groupBy("pid").count().count() == 500
+
+
+@pytest.mark.parametrize("run", [
+    lambda e, n: P.fennel_round(e, P.partition_hash(e.filter("src % 2 = 0"), n), n),
+    lambda e, n: P.fennel_edge_round(e, P.partition_hash(e.filter("src % 2 = 0"), n), n),
+    lambda e, n: P.partition_fennel(e, n, rounds=2),
+    lambda e, n: P.partition_fennel_edge(e, n, rounds=2)])
+def test_thousands_of_partitions(graph, run):
+    """Plans and choices need no column per partition."""
+    got = table(run(graph, 2_000))
+    assert got and set(got.values()) <= set(range(2_000))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from decimal import Decimal
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
@@ -96,11 +96,14 @@ def _loads(table: DataFrame, parts: int, value: Column) -> list[int]:
     return [int(got.get(i) or 0) for i in range(parts)]
 
 
-def _best(scores: list[Column], fallback: int) -> Column:
-    """Partition with the highest score, lowest id on ties; NULL scores are excluded."""
-    ranked = F.array(*[F.when(s.isNotNull(), F.struct(s.alias("s"), F.lit(-i).alias("i")))
-                       for i, s in enumerate(scores)])
-    return F.coalesce(-F.array_max(ranked)["i"], F.lit(fallback))
+def _per_partition(spark: SparkSession, values: list, name: str, kind: str) -> DataFrame:
+    """One row per partition, for a broadcast join."""
+    return F.broadcast(spark.createDataFrame(list(enumerate(values)), f"pid int, {name} {kind}"))
+
+
+def _place(score: Column, pid: Column) -> Column:
+    """Compares as: the higher score, then the lower partition."""
+    return F.struct(score.cast("double").alias("score"), (-pid).cast("int").alias("minus"))
 
 
 def _pair_counts(edges: DataFrame) -> DataFrame:
@@ -110,13 +113,18 @@ def _pair_counts(edges: DataFrame) -> DataFrame:
 
 def _fennel_choice(pairs: DataFrame, fresh: DataFrame, ptable: DataFrame, sizes: list[int], alpha: float,
                    gamma: float, capacity: float) -> DataFrame:
+    """One row per node and partition that has neighbours of it; of the others only the best counts,
+    which is the same for every node."""
     mine = pairs.join(fresh.select("node"), "node", "left_semi")
-    placed = mine.join(ptable.select(F.col("node").alias("dst"), "pid"), "dst", "left")
-    near = placed.groupBy("node").agg(
-        *[F.sum(F.when(F.col("pid") == i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(len(sizes))])
-    scores = [F.col(f"n{i}") - F.lit(alpha * gamma * size ** (gamma - 1)) if size < capacity
-              else F.lit(None).cast("double") for i, size in enumerate(sizes)]
-    return near.select("node", _best(scores, sizes.index(min(sizes))).alias("pid"))
+    placed = mine.join(ptable.select(F.col("node").alias("dst"), F.col("pid").cast("int").alias("pid")), "dst", "left")
+    prices = [alpha * gamma * size ** (gamma - 1) if size < capacity else None for size in sizes]
+    near = placed.groupBy("node", "pid").agg(F.sum("c").alias("c")).join(_per_partition(pairs.sparkSession, prices, "price", "double"), "pid", "left")
+    best = near.groupBy("node").agg(F.max(F.when(F.col("price").isNotNull(), _place(F.col("c") - F.col("price"), F.col("pid")))).alias("best"))
+    open_ = [(-price, -i) for i, price in enumerate(prices) if price is not None]
+    if not open_:
+        return best.select("node", F.lit(sizes.index(min(sizes))).alias("pid"))
+    score, minus = max(open_)
+    return best.select("node", (-F.greatest("best", _place(F.lit(score), F.lit(-minus)))["minus"]).alias("pid"))
 
 
 def _fennel_terms(edges: DataFrame, parts: int, upsilon: float) -> tuple[float, float]:
@@ -140,13 +148,16 @@ def fennel_round(edges: DataFrame, ptable: DataFrame, parts: int, upsilon: float
 def _fennel_edge_choice(pairs: DataFrame, fresh: DataFrame, owned: DataFrame, loads: list[int],
                         limit: float) -> DataFrame:
     mine = pairs.join(fresh.select("node"), "node", "left_semi")
-    placed = mine.join(owned.select(F.col("node").alias("dst"), "pid", "degree"), "dst", "left")
-    near = placed.groupBy("node").agg(
-        F.sum("c").alias("degree"),
-        *[F.sum(F.when(F.col("pid") == i, F.col("c") + F.col("degree")).otherwise(0)).alias(f"n{i}")
-          for i in range(len(loads))])
-    scores = [F.when(F.col("degree") + load <= limit, F.col(f"n{i}") - load) for i, load in enumerate(loads)]
-    return near.select("node", _best(scores, loads.index(min(loads))).alias("pid"), "degree")
+    placed = mine.join(owned.select(F.col("node").alias("dst"), F.col("pid").cast("int").alias("pid"), F.col("degree").alias("theirs")), "dst", "left")
+    near = placed.groupBy("node", "pid").agg(F.sum("c").alias("c"), F.sum(F.col("c") + F.col("theirs")).alias("local"))
+    near = near.join(mine.groupBy("node").agg(F.sum("c").alias("degree")), "node").join(_per_partition(pairs.sparkSession, loads, "load", "bigint"), "pid", "left")
+    fits = F.col("degree") + F.col("load") <= limit
+    best = near.groupBy("node", "degree").agg(F.max(F.when(fits, _place(F.col("local") - F.col("load"), F.col("pid")))).alias("best"))
+    # of partitions without neighbours the least loaded is the best, and if it has no room none has
+    least = loads.index(min(loads))
+    empty = F.when(F.col("degree") + min(loads) <= limit, _place(F.lit(-min(loads)), F.lit(least)))
+    chosen = -F.greatest("best", empty)["minus"]
+    return best.select("node", F.coalesce(chosen, F.lit(least)).alias("pid"), "degree")
 
 
 def _with_degree(ptable: DataFrame, degree: DataFrame) -> DataFrame:
@@ -191,10 +202,12 @@ def _fill(left: DataFrame, loads: list[int], weight: str, parts: int, order_by:
     below = [0, *accumulate(loads[i] for i in order)]
     used = next(u for u in range(1, parts + 1)
                 if u == parts or total + below[u] <= u * loads[order[u]])
-    pid = F.lit(order[0])
-    for i in range(1, used):
-        start = -((used * below[i] - i * (total + below[used])) // used)
-        pid = F.when(F.col("_cum") - F.col(weight) >= F.lit(Decimal(start) if big else start), F.lit(order[i])).otherwise(pid)
+    starts = [-((used * below[i] - i * (total + below[used])) // used) for i in range(1, used)]
+    if not starts:
+        return summed.select("node", F.lit(order[0]).alias("pid"))
+    at, kind = F.col("_cum") - F.col(weight), "decimal(38,0)" if big else "bigint"
+    passed = F.size(F.filter(F.array(*[F.lit(Decimal(v) if big else v).cast(kind) for v in starts]), lambda v: v <= at))
+    pid = F.get(F.array(*map(F.lit, order[:used])), passed)
     return summed.withColumn("pid", pid).select("node", "pid")
 
 
