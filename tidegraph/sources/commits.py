@@ -41,9 +41,12 @@ def commits(spark: SparkSession, path: str, kind: str | None = None) -> list[Com
     return sorted(found, key=lambda c: (c.kind, *(0 if v is None else v for v in c.values)))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def forget(spark: SparkSession, path: str, part: Commit, data: str) -> None:
     """Take a part's name away, then its files."""
-    files, folder = _folder(spark, path)
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    files.delete(make(folder, ".".join([part.kind, *("" if v is None else str(v) for v in part.values)])), False)
-    files.delete(make(data), True)
+    delete(spark, ".".join([f"{path}/{FOLDER}/{part.kind}", *("" if v is None else str(v) for v in part.values)]))
+    delete(spark, data)
