@@ -11,7 +11,7 @@ from ..operators import continuous as C
 from ..plans.ordering import dense_ordinal
 from ..plans.storage import freeze, new_path
 from ..sources import versioned
-from ..streaming import ingest, memory, state
+from ..streaming import ingest, memory, runs, state
 from .common import BATCH, DAY, SEED, edge_features, edges_from_events, event_edges, query, sql_hash, table, whole, whole_sql
 from .features import EDGE, MAIL, MEM, START, start_state, whole_state, zeros_sql
 
@@ -197,3 +197,36 @@ def node_memory_stream(spark, sf):
     stream = ingest.read_stream(spark, f"{path}/in", edges.drop("ord").schema, files_per_trigger=1)
     memory.node_memory_stream(stream, f"{path}/state", f"{path}/checkpoint", MEM, EDGE, memory.towards_mail(SHARE), compact_every=2).awaitTermination()
     return whole_state(versioned.read(spark, f"{path}/state", key="node"), "node")
+
+
+RUN_STEPS, RUN_WINDOW = 3, 5 * DAY
+
+
+@query(f"""WITH {SIZES}, z AS (SELECT p, (n - p) // {RUN_STEPS} AS size FROM n),
+    run AS (SELECT * FROM (SELECT o.*, CASE WHEN ord < p THEN -1 ELSE (ord - p) // size END AS step FROM ev_ord o, z) WHERE step < {RUN_STEPS}),
+    since AS (SELECT step, arg_min(ts, ord) - {RUN_WINDOW} AS since FROM run WHERE step >= 0 GROUP BY step),
+    seen AS (SELECT s.step, id, row_number() OVER (PARTITION BY s.step ORDER BY id) - 1 AS idx, count(*) OVER (PARTITION BY s.step) AS n
+      FROM since s JOIN (SELECT dst AS id, min(step) AS first FROM run GROUP BY dst) d ON d.first <= s.step),
+    asked AS (SELECT step, ord, 1 AS label, dst AS node FROM run WHERE step >= 0 UNION ALL
+      SELECT r.step, r.ord, 0, id FROM run r JOIN seen s ON s.step = r.step AND s.idx = {sql_hash(str(SEED), "'dst'", 'r.ord')} % s.n),
+    scored AS (SELECT a.step, a.label, (SELECT count(*) FROM run r WHERE r.dst = a.node AND r.step < a.step
+        AND r.ts >= coalesce((SELECT since FROM since b WHERE b.step = a.step - 1), 0)) AS score FROM asked a),
+    r AS (SELECT step, label, rank() OVER (PARTITION BY step ORDER BY score)
+        + (count(*) OVER (PARTITION BY step, score) - 1) / 2 AS r,
+        sum(label) OVER (PARTITION BY step) AS p, sum(1 - label) OVER (PARTITION BY step) AS n FROM scored),
+    auc AS (SELECT step, (sum(CASE WHEN label = 1 THEN r END) - any_value(p) * (any_value(p) + 1) / 2)
+      / (any_value(p) * any_value(n)) AS auc FROM r GROUP BY step),
+    ap AS (SELECT step, sum(p * tp / total) / sum(p) AS ap FROM (SELECT step, p, sum(p) OVER w AS tp, sum(c) OVER w AS total
+      FROM (SELECT step, score, sum(label) AS p, count(*) AS c FROM scored GROUP BY step, score)
+      WINDOW w AS (PARTITION BY step ORDER BY score DESC)) GROUP BY step)
+    SELECT step, round(auc, 9) AS auc, round(ap, 6) AS ap FROM auc JOIN ap USING (step)""")
+def continuous_run(spark, sf):
+    """Three steps of append, score, drop and replay, stopped after the first one and resumed."""
+    path = new_path(spark, "run")
+    ordered_rows = freeze(ordered(spark, sf), "ordered")
+    steps = freeze(C.increments(ordered_rows, int(ordered_rows.count() * RATIO), RUN_STEPS), "run-steps")
+    options = dict(window=RUN_WINDOW, replay=0.2, val=VAL, seed=SEED)
+    runs.continuous_run(steps, path, stop_after=0, **options)
+    runs.continuous_run(steps, path, **options)
+    got = runs.results(spark, path, "metrics")
+    return got.select(F.col("step").cast("bigint").alias("step"), F.round("auc", 9).alias("auc"), F.round("ap", 6).alias("ap"))
