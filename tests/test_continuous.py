@@ -86,6 +86,24 @@ def test_recent_state_equals_batch(spark, sf, stream_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/u").select("batch").distinct().count() == 4
 
 
+def test_recent_read_from_the_state_itself(spark, stream_dir, tmp_path):
+    """At two batches, what the state store holds equals the updates stored up to there."""
+    path, schema = stream_dir
+    stream = edges_from_events(ingest.read_stream(spark, path, schema, files_per_trigger=1))
+    run(spark, lambda: state.write_updates(state.recent_neighbors_state(stream, 3, salts=3), f"{tmp_path}/u", f"{tmp_path}/c"))
+    updates = spark.read.parquet(f"{tmp_path}/u")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, state.ROCKSDB)
+    try:
+        for batch_id in (1, 3, None):
+            seen = updates if batch_id is None else updates.filter(F.col("batch") <= batch_id)
+            want = sorted(map(tuple, state.merge_recent(seen, 3).collect()))
+            assert sorted(map(tuple, state.recent_at(spark, f"{tmp_path}/c", 3, batch_id).collect())) == want and want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_last_state_equals_batch(spark, sf, stream_dir, tmp_path):
     path, schema = stream_dir
     stream = edges_from_events(ingest.read_stream(spark, path, schema, files_per_trigger=2))

@@ -7,7 +7,7 @@ from oracle_check import connect, difference
 from tidegraph.queries import QUERIES, SQL
 
 # these set a session option while they run
-STREAMS = {"recent_neighbors_state", "node_state_stream"}
+STREAMS = {"recent_neighbors_state", "recent_neighbors_at", "node_state_stream"}
 
 
 @pytest.fixture(scope="module")

@@ -43,7 +43,14 @@ def test_shards_are_pruned(small, spark, tmp_path):
 def test_matrix_file(spark, tmp_path):
     matrix = np.arange(35, dtype=np.float16).reshape(7, 5)
     np.save(tmp_path / "f.npy", matrix)
-    got = io.read_matrix(spark, str(tmp_path / "f.npy"), rows_per_task=3).orderBy("id").collect()
+    got = io.read_matrix(spark, str(tmp_path / "f.npy")).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(7)) and [r.feat for r in got] == matrix.astype(float).tolist()
+    # row-split parts, and files that are no part
+    for part, name in ((matrix[:3], "m0.npy"), (matrix[3:3], "m1.npy"), (matrix[3:], "m2.npy")):
+        (tmp_path / "parts").mkdir(exist_ok=True)
+        np.save(tmp_path / "parts" / name, part)
+    (tmp_path / "parts" / "note.txt").write_text("no part")
+    got = io.read_matrix(spark, str(tmp_path / "parts")).orderBy("id").collect()
     assert [r.id for r in got] == list(range(7)) and [r.feat for r in got] == matrix.astype(float).tolist()
 
 

@@ -151,6 +151,17 @@ def recent_neighbors_state(spark, sf):
     return state.merge_recent(spark.read.parquet(f"{path}/updates"), K)
 
 
+@query(f"""SELECT src AS node, row_number() OVER (PARTITION BY src ORDER BY ts DESC, seq DESC) - 1 AS slot, dst, ts, eid
+    FROM ev QUALIFY slot < {K}""")
+def recent_neighbors_at(spark, sf):
+    """The same lists read from the stream's state store, without stored updates."""
+    path = new_path(spark, "recent-state")
+    with _rocksdb(spark):
+        updates = state.recent_neighbors_state(edges_from_events(event_stream(spark, sf, path)), K, salts=2)
+        state.write_updates(updates, f"{path}/updates", f"{path}/checkpoint").awaitTermination()
+        return freeze(state.recent_at(spark, f"{path}/checkpoint", K), "recent-at")
+
+
 @query(f"""SELECT node, ts, eid FROM (SELECT node, ts, eid, row_number() OVER (PARTITION BY node ORDER BY b DESC, p DESC) AS k
     FROM (SELECT src AS node, ts, eid, eid // {BATCH} AS b, eid % {BATCH} AS p FROM ev UNION ALL
       SELECT dst, ts, eid, eid // {BATCH}, eid % {BATCH} + {BATCH} FROM ev)) WHERE k = 1""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -76,28 +78,35 @@ def read_features(spark: SparkSession, node: str | None = None,
     return nodes, None if edges is None else edges.withColumnRenamed("id", "eid")
 
 
-def read_matrix(spark: SparkSession, path: str, rows_per_task: int = 100_000) -> DataFrame:
-    """A .npy matrix on a shared folder as (id, feat): row i belongs to id i.
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """A matrix in .npy files, one or several parts in the order of their names, as (id, feat): row i
+    belongs to id i, values become float32.
 
-    The driver reads the header; every task maps the file and reads its own row range.
+    Spark reads the files, from wherever it can; a part is one value of a row and so below 2 GB. One
+    number per part, its rows, comes to the driver.
     """
-    shape = np.load(path, mmap_mode="r").shape
-    tasks = max(1, -(-shape[0] // rows_per_task))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(np.load(BytesIO(content))) for content in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["path", "rows"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = np.load(path, mmap_mode="r")
-        step = max(1, 4_000_000 // max(1, shape[1]))
         for batch in batches:
-            for task in batch.column(0).to_pylist():
-                stop = min(shape[0], (task + 1) * rows_per_task)
-                for low in range(task * rows_per_task, stop, step):
-                    part = np.asarray(matrix[low:min(stop, low + step)], dtype=np.float32)
-                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * shape[1])
+            for content, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                matrix = np.load(BytesIO(content))
+                step = max(1, 4_000_000 // max(1, matrix.shape[1]))
+                for low in range(0, len(matrix), step):
+                    part = matrix[low:low + step].astype(np.float32)
+                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * matrix.shape[1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(low, low + len(part), dtype=np.int64)),
+                        [pa.array(np.arange(start + low, start + low + len(part), dtype=np.int64)),
                          pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], ["id", "feat"])
 
-    return spark.range(0, tasks, 1, tasks).mapInArrow(rows, FEATURES)
+    sizes = sorted(files.select("path", "content").mapInArrow(counted, "path string, rows bigint").collect())
+    starts = spark.createDataFrame(list(zip((r.path for r in sizes), accumulate((r.rows for r in sizes), initial=0))), "path string, start bigint")
+    return files.join(F.broadcast(starts), "path").select("content", "start").mapInArrow(rows, FEATURES)
 
 
 def write_partitioned_edges(edges: DataFrame, ptable: DataFrame, path: str) -> None:

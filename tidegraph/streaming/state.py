@@ -116,6 +116,20 @@ def merge_recent(updates: DataFrame, k: int, strategy: str = "auto") -> DataFram
     return ranked.filter(F.col("_n") <= k).select("node", (F.col("_n") - 1).alias("slot"), "dst", "ts", "eid")
 
 
+def recent_at(spark: SparkSession, checkpoint: str, k: int, batch_id: int | None = None, strategy: str = "auto") -> DataFrame:
+    """Last k neighbours per node as they were after micro-batch `batch_id` (None: the last one), read
+    from the state of recent_neighbors_state itself: no stored updates are needed.
+
+    The checkpoint keeps the state of as many batches as spark.sql.streaming.minBatchesToRetain says.
+    """
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "kept")
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    kept = reader.load().select("key.node", "list_element.*").withColumns({"_t": -F.col("ts"), "_s": -F.col("seq")})
+    ranked = running_sum(kept, ["node"], ["_t", "_s"], {"_n": F.lit(1)}, strategy)
+    return ranked.filter(F.col("_n") <= k).select("node", (F.col("_n") - 1).alias("slot"), "dst", "ts", "eid")
+
+
 def merge_last(updates: DataFrame) -> DataFrame:
     """Last interaction per node from the stored updates of node_state_stream."""
     return _newest(updates, ["node"]).select("node", "ts", "eid")
