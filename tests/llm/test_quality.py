@@ -56,3 +56,37 @@ def test_query_on_the_held_out_fold(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.85
     good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
+def plain_score(text, model):
+    """The score of one text from its compressed blocks, step by step."""
+    import math
+
+    import zstandard
+    data = (text or "").encode()
+
+    def size(dictionary):
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        total = 0
+        for at in range(0, len(data), 512):
+            total += len(zstandard.ZstdCompressor(level=3, dict_data=content, write_content_size=False).compress(data[at:at + 512]))
+        return total
+
+    n = max(1, len(data))
+    good, bad, none = size(model.good), size(model.bad), size(b"")
+    x = [(bad - good) / n, good / n, none / n, math.log(n)]
+    z = [min(4, max(-4, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+    total = sum(w * v for w, v in zip(model.weights, [1, *z, *(v * v for v in z)]))
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_are_the_plain_ones(spark, sf):
+    """Every score of the query, recomputed text by text from the fitted model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op5_quality"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, (score, predicted) in got.items():
+        want = plain_score(texts[i], model)
+        assert abs(score - want) < 1e-9 and predicted == (want >= 0.3)

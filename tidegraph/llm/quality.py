@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """df with the probability (0 to 1) that a text is good; null texts count as empty.
+    """df with the probability (0 to 1) that a text is good; null texts count as empty, rows that repeat
+    are scored each, an empty table gives an empty one.
 
     All columns are kept; one named like `out` is replaced.
     """
