@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegraph.llm import bpe, decontaminate, quality, quartile_digest, secret_scan, token_counts
-from tidegraph.llm.tokens import vocabulary
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["_row", "_score", "_encoded", "_scanned", "row", "ROW_", "key", "node", "score", "_decoded", "encoded_text", "scanned_text", "found_ids", "root",
