@@ -2,8 +2,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from tidegraph.operators import state as M
 from tidegraph.sources import commits, versioned
 from tidegraph.streaming import ingest, memory

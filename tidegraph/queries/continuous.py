@@ -12,7 +12,7 @@ from ..plans.ordering import dense_ordinal
 from ..plans.storage import freeze, new_path
 from ..sources import versioned
 from ..streaming import ingest, memory, runs, state
-from .common import BATCH, DAY, SEED, edge_features, edges_from_events, event_edges, query, sql_hash, table, whole, whole_sql
+from .common import BATCH, DAY, SEED, edge_features, edges_from_events, event_edges, query, sql_hash, table, whole_sql
 from .features import EDGE, MAIL, MEM, START, start_state, whole_state, zeros_sql
 
 RATIO, VAL, STEPS, K = 0.3, 0.1, 10, 5

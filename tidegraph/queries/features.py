@@ -14,7 +14,7 @@ from ..plans.ordering import dense_ordinal
 from ..plans.storage import freeze, new_path
 from ..sources import versioned
 from .batching import ratio_sql, several_negatives
-from .common import (BATCH, ITEM, SEED, edge_features, event_edges, event_roots, node_vectors, query, sql_hash,
+from .common import (BATCH, ITEM, SEED, edge_features, event_edges, event_roots, node_vectors, query,
                      table, vectors, whole, whole_sql)
 
 DIM = 64

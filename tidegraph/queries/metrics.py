@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vector_sum
 from ..operators import metrics as H
 from ..plans.storage import freeze
-from .common import BATCH, query, table, vectors, whole, whole_sql
+from .common import query, table, vectors, whole, whole_sql
 from .features import link_logits
 
 DIM = 64
