@@ -139,7 +139,7 @@ def rebuilt(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     turns of the first of its twenty.
 
     Conversation c takes the first h turns of c - c % GROUP (all if fewer, none if absent) and then
-    its own after the first h; h is crc32(decimal c) mod HEADS. Turns are ordered by number, null
+    its own after the first h; h is crc32(decimal c) mod HEADS, c % GROUP has the sign of c. Turns are ordered by number, null
     first; of equal numbers by role, first 256 characters and hash of the text. A null role or text
     counts as empty, rows without a conversation id take no part. `size` is the number of turns of
     the rebuilt conversation, (ha, hb) a 128-bit hash of role and text, `words` the text's words.
