@@ -251,3 +251,24 @@ def test_split_plan_equals_the_others(spark, sf, k):
             spark.conf.unset("spark.tidegraph.maxGroupRows")
         found[name] = sorted(map(tuple, rows))
     assert found["plain"] == found["ranged"] == found["auto"]
+
+
+@pytest.mark.parametrize("how", ["recent", "uniform"])
+def test_answers_are_not_shuffled(edges_of, roots_of, how):
+    """Chosen edges leave where their node's edges are: after the one shuffle by node nothing is exchanged."""
+    edges, roots = edges_of([0] * 60, range(60), range(60)), roots_of([0, 0], [50, 70])
+    got = S.sample_recent(edges, roots, 40, strategy="plain") if how == "recent" else \
+        S.sample_uniform(S.rank_edges(edges, strategy="plain"), roots, 4, window=9, strategy="plain")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+    assert got.count() == (80 if how == "recent" else 8)
+
+
+def test_many_questions_of_one_node_meet_in_parts(spark, edges_of, roots_of):
+    edges, roots = edges_of([0] * 60 + [1] * 3, range(63), range(63)), roots_of([0] * 300 + [1] * 9, [50] * 200 + [70] * 109)
+    want = set(map(tuple, S.sample_recent(edges, roots, 40, strategy="plain").collect()))
+    spark.conf.set("spark.tidegraph.maxGroupRows", "100")
+    try:
+        assert set(map(tuple, S.sample_recent(edges, roots, 40).collect())) == want and len(want) == 300 * 40 + 9 * 3
+    finally:
+        spark.conf.unset("spark.tidegraph.maxGroupRows")

@@ -6,21 +6,25 @@ does roots x degree work. Both plans here sort edges and roots together once per
 Most recent: in that order the k edges before a root are its answer; they are picked up with `lag`
 while passing, so the edges are shuffled once and nothing is joined.
 
-Uniform: edges also get a rank per source; each root counts the edges before its window's start and
-end, draws ranks between the two, and fetches them by an equi join on (src, rank).
+Uniform draws, later hops and large fanouts: edges and roots are shuffled once by node, each root's
+window is found among its node's edges, and the chosen edges leave with the root (plans/meeting.py).
+Nothing that grows with the fanout is shuffled.
 
-Neither needs a whole node in one task: see plans/ordering.py and _last_k_ranged.
+Neither needs a whole node in one task: see plans/ordering.py and _last_k_ranged. A node of very many
+roots meets its edges in several tasks; for one of very many edges, edges get a rank per source, each
+root counts the edges before its window's start and end, and fetches ranks by an equi join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw
-from ..plans.ordering import by_group_size, dense_ordinal, running_sum
+from ..functions.hashing import draw, stable_hash
+from ..plans import meeting
+from ..plans.ordering import by_group_size, dense_ordinal, max_group_rows, running_sum
 from ..plans.storage import freeze
 from ..schema import SamplingPreset
 
@@ -43,7 +47,6 @@ def rank_edges(edges: DataFrame, snapshots: int = 1, window=0, static: bool = Fa
 
 def window_bounds(roots: DataFrame, snapshots: int = 1, window=0, static: bool = False) -> DataFrame:
     """[start, end) per root and snapshot; the last snapshot is the newest."""
-    ts = F.col("ts")
     cols = ["rid", "node", "ts"]
     if static:
         kind = roots.schema["ts"].dataType.simpleString()
@@ -52,11 +55,20 @@ def window_bounds(roots: DataFrame, snapshots: int = 1, window=0, static: bool =
         return roots.select(*cols, F.lit(0).alias("snapshot"), F.lit(None).cast(kind).alias("start"),
                             top.cast(kind).alias("end"))
     if snapshots == 1:
-        start = ts - window if window >= 1e-6 else ts * 0
-        return roots.select(*cols, F.lit(0).alias("snapshot"), start.alias("start"), ts.alias("end"))
+        start, end = _window(snapshots, window)
+        return roots.select(*cols, F.lit(0).alias("snapshot"), start.alias("start"), end.alias("end"))
     spread = roots.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(snapshots - 1))).alias("snapshot"))
+    start, end = _window(snapshots, window)
+    return spread.withColumn("end", end).withColumn("start", start)
+
+
+def _window(snapshots: int, window) -> tuple[Column, Column]:
+    """(start, end) of a row with `ts` and `snapshot`."""
+    ts = F.col("ts")
+    if snapshots == 1:
+        return ts - window if window >= 1e-6 else ts * 0, ts
     end = ts - (snapshots - 1 - F.col("snapshot")) * window
-    return spread.withColumn("end", end).withColumn("start", F.col("end") - window)
+    return end - window, end
 
 
 def _count_before(ranked: DataFrame, probes: DataFrame, strategy: str) -> DataFrame:
@@ -81,11 +93,19 @@ def _finish(picked: DataFrame, ranked: DataFrame, hop: int, prop_time: bool, sta
                          F.col("ts").alias("edge_ts"))
     found = picked.join(edge, ["node", "rk"])
     root_ts = F.col("end") if static else F.col("ts")
-    return found.select(
-        F.lit(hop).alias("hop"), "snapshot", "rid", F.col("slot").cast("int").alias("slot"),
-        F.col("node").alias("root_node"), root_ts.alias("root_ts"), "src_node", "eid", "edge_ts",
-        (root_ts if prop_time else F.col("edge_ts")).alias("out_ts"),
-        (root_ts - F.col("edge_ts")).alias("dt"), "start")
+    found = found.select("snapshot", "rid", F.col("slot").cast("int").alias("slot"), F.col("node").alias("root_node"),
+                         root_ts.alias("root_ts"), "src_node", "eid", "edge_ts", "start")
+    return _with_times(found, hop, prop_time, "start")
+
+
+# What a sample is read from again; the other columns follow from these.
+STORED = ("snapshot", "rid", "slot", "root_node", "root_ts", "src_node", "eid", "edge_ts")
+
+
+def _with_times(found: DataFrame, hop: int, prop_time: bool, *more: str) -> DataFrame:
+    """Samples of the columns STORED with all SAMPLE_COLUMNS."""
+    return found.withColumns({"hop": F.lit(hop), "out_ts": F.col("root_ts" if prop_time else "edge_ts"),
+                              "dt": F.col("root_ts") - F.col("edge_ts")}).select(*SAMPLE_COLUMNS, *more)
 
 
 # Above this the most recent k are fetched by rank like the uniform ones: lag columns grow with k. The
@@ -153,45 +173,140 @@ def _recent_by_rank(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool
     return _finish(picked, ranked, hop, prop_time, static)
 
 
-PROBE = ["node", "snapshot", "ts", "start", "end"]
+# Questions about one node that a single task may answer, as a part of max_group_rows.
+QUESTIONS = 8
 
 
-def _once(bounds: DataFrame) -> DataFrame:
-    """The distinct questions of `bounds`, each with the smallest of their rids."""
-    return bounds.groupBy(*PROBE).agg(F.min("rid").alias("rid"))
+def _meeting(edges: DataFrame, asked: DataFrame, spread: Callable[[DataFrame], DataFrame], choose, draws: int, whole: bool,
+             once: bool, draw_hash, static: bool, by_rank: Callable[[DataFrame, DataFrame], DataFrame], strategy: str) -> DataFrame:
+    """Samples (STORED) of the questions `asked` (rid, node, ts, ...), answered where their node's edges are.
 
+    spread: rows with `asks` -> the questions among them with snapshot, start and end; it is applied
+    after the shuffle. by_rank(edges, bounds): the same rows for nodes of very many edges.
+    """
+    if strategy not in ("auto", "plain", "ranged"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    edges = edges.filter(F.col("src").isNotNull())
+    asked = asked.filter(F.col("node").isNotNull() & F.col("ts").isNotNull())
+    many = None
+    if strategy == "auto":
+        limit = max_group_rows(edges.sparkSession)
+        ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("_e"), F.lit(0).alias("_q"))
+        sizes = (ends.unionAll(asked.select("node", F.lit(0), F.lit(1))).groupBy("node")
+                 .agg(F.sum("_e").alias("_e"), F.sum("_q").alias("_q")))
+        most = max(1, limit // QUESTIONS)
+        # a node's edges are copied for each part of its questions: together no more than its questions
+        parts = F.least(F.ceil(F.col("_q") / most), F.floor(F.col("_q") / F.greatest("_e", F.lit(1))))
+        sizes = sizes.select("node", F.when(F.col("_e") > limit, 0).otherwise(F.greatest(parts, F.lit(1))).cast("int").alias("_parts"))
+        # fewer than rows / most, so it may be broadcast
+        many = freeze(sizes.filter("_parts <> 1"), "hot-keys")
+        if many.isEmpty():
+            many = None
+    by_ranks = None
+    if strategy == "ranged":
+        return by_rank(edges, spread(asked.withColumn("asks", F.lit(1)))).select(*STORED)
+    if many is not None:
+        hot = F.broadcast(many.filter("_parts = 0").select("node"))
+        by_ranks = by_rank(edges.join(hot.withColumnRenamed("node", "src"), "src", "left_semi").select(*edges.columns),
+                           spread(asked.join(hot, "node", "left_semi").withColumn("asks", F.lit(1)))).select(*STORED)
+
+    time, root_time = edges.schema["ts"].dataType.simpleString(), asked.schema["ts"].dataType.simpleString()
+    kind = "double" if {"double", "float"} & {time, root_time} else "bigint"
+    lowest = F.lit(float("-inf") if kind == "double" else -(1 << 63)).cast(kind)
+    extra = [c for c in asked.columns if c not in ("rid", "node", "ts")]
+    nothing = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
+    # an edge without a time is older than any other
+    rows = edges.select(F.col("src").alias("node"), F.lit(0).cast("tinyint").alias("asks"), F.coalesce(F.col("ts").cast(kind), lowest).alias("ts"),
+                        F.col("seq").cast("bigint").alias("rid"), "dst", "eid", *nothing)
+    rows = rows.unionByName(asked.select("node", F.lit(1).cast("tinyint").alias("asks"), F.col("ts").cast(kind).alias("ts"),
+                                         F.col("rid").cast("bigint").alias("rid"), *extra), allowMissingColumns=True)
+    if many is None:
+        rows = rows.withColumn("salt", F.lit(0))
+        placed = rows.repartition("node")
+    else:
+        few = F.broadcast(many)
+        rows = rows.join(few, "node", "left").filter("_parts is null or _parts > 0").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        copies = F.when(F.col("asks") == 0, F.sequence(F.lit(0), F.col("_parts") - 1)) \
+            .otherwise(F.array(F.pmod(F.xxhash64("rid", "ts"), F.col("_parts")).cast("int")))
+        placed = rows.withColumn("salt", F.explode(copies)).drop("_parts").repartition("node", "salt")
+    questions = spread(placed)
+    top = F.lit(float("inf") if kind == "double" else 1 << 62).cast(kind)
+    zero = F.lit(0).cast(kind)
+    end = top if static else F.coalesce(F.col("end").cast(kind), zero)
+    ready = questions.select(
+        "node", "salt", "asks", F.col("ts").alias("at"), (zero if whole else F.coalesce(F.col("start").cast(kind), zero)).alias("start"),
+        end.alias("end"), "ts", "rid", F.col("snapshot").cast("int").alias("snapshot"), "dst", "eid")
+    ready = ready.sortWithinPartitions("node", "salt", "asks", "ts", "rid", "snapshot")
+    hashes = {f"draw_{i}": F.when(F.col("asks") == 1, draw_hash(F.lit(i).cast("bigint"))).otherwise(0) for i in range(draws)}
+    ready = ready.withColumns(hashes) if hashes else ready
+    dst, eid = (edges.schema[c].dataType.simpleString() for c in ("dst", "eid"))
+    found = ready.mapInArrow(meeting.answers(choose, draws, whole, once),
+                             f"snapshot int, rid bigint, slot int, node bigint, ts {kind}, src_node {dst}, eid {eid}, edge_ts {kind}")
+    edge_ts = F.when(F.col("edge_ts") != lowest, F.col("edge_ts")).cast(time)
+    root_ts = (top if static else F.col("ts")).cast(root_time)
+    found = found.select("snapshot", "rid", "slot", F.col("node").alias("root_node"), root_ts.alias("root_ts"), "src_node", "eid", edge_ts.alias("edge_ts"))
+    return found if by_ranks is None else found.unionByName(by_ranks)
+
+
+def _as_given(rows: DataFrame) -> DataFrame:
+    """Questions that have their snapshot, start and end."""
+    return rows
+
+
+def _spread(snapshots: int, window, static: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Every question (rid, node, ts) in its window of every snapshot."""
+    def spread(rows: DataFrame) -> DataFrame:
+        if static:
+            return rows.withColumns({"snapshot": F.lit(0), **{c: F.lit(None).cast(rows.schema["ts"].dataType) for c in ("start", "end")}})
+        each = F.when(F.col("asks") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(snapshots - 1)))
+        rows = rows.withColumn("snapshot", F.explode(each) if snapshots > 1 else F.lit(0))
+        return _windowed(snapshots, window)(rows)
+    return spread
+
+
+def _windowed(snapshots: int, window) -> Callable[[DataFrame], DataFrame]:
+    """Questions (rid, node, ts, snapshot) with the window of their snapshot."""
+    def spread(rows: DataFrame) -> DataFrame:
+        start, end = _window(snapshots, window)
+        return rows.withColumns({"start": start, "end": end})
+    return spread
+
+
+def _recent_meeting(edges: DataFrame, asked: DataFrame, spread, k: int, prop_time: bool, hop: int, static: bool, strategy: str) -> DataFrame:
+    def by_rank(hot_edges: DataFrame, bounds: DataFrame) -> DataFrame:
+        if static:
+            bounds = window_bounds(bounds, static=True)
+        found = _recent_by_rank(hot_edges.select("src", "dst", "ts", "eid", "seq"), bounds, k, prop_time, hop, static, "ranged")
+        return found if static else found.filter("edge_ts >= start")
+
+    found = _meeting(edges, asked, spread, meeting.newest(k), 0, static, False, None, static, by_rank, strategy)
+    return _with_times(found, hop, prop_time)
 
-def recent_within(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool = False, hop: int = 0,
-                  static: bool = False, strategy: str = "auto", shared: bool = False) -> DataFrame:
-    """The newest k edges in [start, end) of each row of `bounds`.
 
-    `shared`: questions that several rids ask are answered once and the answers joined back.
-    """
+def recent_within(edges: DataFrame, bounds: DataFrame, k: int, prop_time: bool = False, hop: int = 0,
+                  static: bool = False, strategy: str = "auto") -> DataFrame:
+    """The newest k edges in [start, end) of each row of `bounds`."""
     if k > MAX_LAGS:
-        found = _recent_by_rank(edges, bounds, k, prop_time, hop, static, strategy)
-    else:
-        probes = (_once(bounds) if shared else bounds).select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start")
-        seen = _last_k(edges, probes, k, strategy)
-        if shared:
-            answers = seen.filter(F.get("_last", F.lit(0)).isNotNull()).select("node", "snapshot", "ts", F.col("at").alias("end"), "start", "_last")
-            seen = bounds.select("rid", *PROBE).join(answers, PROBE).withColumnRenamed("end", "at")
-        each = seen.select("rid", "snapshot", "start", F.col("node").alias("root_node"),
-                           F.col("at" if static else "ts").alias("root_ts"),
-                           F.posexplode("_last").alias("slot", "e")).filter("e IS NOT NULL")
-        found = each.select(
-            F.lit(hop).alias("hop"), "snapshot", "rid", "slot", "root_node", "root_ts", "e.src_node", "e.eid",
-            "e.edge_ts", F.col("root_ts" if prop_time else "e.edge_ts").alias("out_ts"),
-            (F.col("root_ts") - F.col("e.edge_ts")).alias("dt"), "start")
+        asked = bounds.select("rid", "node", "ts", "snapshot", "start", "end")
+        return _recent_meeting(edges, asked, _as_given, k, prop_time, hop, static, strategy)
+    probes = bounds.select("node", F.col("end").alias("at"), "rid", "snapshot", "ts", "start")
+    seen = _last_k(edges, probes, k, strategy)
+    each = seen.select("rid", "snapshot", "start", F.col("node").alias("root_node"),
+                       F.col("at" if static else "ts").alias("root_ts"),
+                       F.posexplode("_last").alias("slot", "e")).filter("e IS NOT NULL")
+    found = each.select("snapshot", "rid", "slot", "root_node", "root_ts", "e.src_node", "e.eid", "e.edge_ts", "start")
     # the newest k before `end` that are also >= start are the newest k of the window
     if not static:
         found = found.filter("edge_ts >= start")
-    return found.select(*SAMPLE_COLUMNS)
+    return _with_times(found, hop, prop_time)
 
 
 def sample_recent(edges: DataFrame, roots: DataFrame, k: int, window=0, snapshots: int = 1,
                   prop_time: bool = False, hop: int = 0, static: bool = False,
                   strategy: str = "auto") -> DataFrame:
     """The k most recent neighbours strictly before each root's time (newest first, `slot` 0)."""
+    if k > MAX_LAGS:
+        return _recent_meeting(edges, roots.select("rid", "node", "ts"), _spread(snapshots, window, static), k, prop_time, hop, static, strategy)
     bounds = window_bounds(roots, snapshots, window, static)
     return recent_within(edges, bounds, k, prop_time, hop, static, strategy)
 
@@ -201,35 +316,46 @@ def sample_uniform(ranked: DataFrame, roots: DataFrame, k: int, window=0, snapsh
                    strategy: str = "auto") -> DataFrame:
     """k independent draws with replacement among each root's candidates; none without candidates."""
     whole = static or (snapshots == 1 and window < 1e-6)
-    bounds = window_bounds(roots, snapshots, window, static)
-    return uniform_within(ranked, bounds, k, seed, whole, prop_time, hop, static, strategy)
+    return _uniform_meeting(ranked, roots.select("rid", "node", "ts"), _spread(snapshots, window, static), k, seed, whole,
+                            prop_time, hop, static, strategy, not whole)
 
 
-def uniform_within(ranked: DataFrame, bounds: DataFrame, k: int, seed: int, whole: bool = False,
-                   prop_time: bool = False, hop: int = 0, static: bool = False,
-                   strategy: str = "auto", shared: bool = False) -> DataFrame:
-    """k draws in [start, end) of each row of `bounds`; `whole`: every earlier edge is a candidate.
+def _uniform_meeting(edges: DataFrame, asked: DataFrame, spread, k: int, seed: int, whole: bool, prop_time: bool, hop: int,
+                     static: bool, strategy: str, once: bool) -> DataFrame:
+    """k draws in the window of each question; `whole`: every earlier edge is a candidate; `once`: rows
+    of `asked` that are equal draw once."""
+    def by_rank(hot_edges: DataFrame, bounds: DataFrame) -> DataFrame:
+        if static:
+            bounds = window_bounds(bounds, static=True)
+        ranked = hot_edges if "rk" in hot_edges.columns else rank_edges(hot_edges, static=True, strategy="ranged")
+        return _uniform_by_rank(ranked, bounds, k, seed, whole, prop_time, hop, static, "ranged", once)
 
-    `shared`: what several rids ask is counted once; each rid still draws for itself.
-    """
+    def draw_hash(slot: Column) -> Column:
+        return stable_hash(seed, hop, F.col("snapshot"), F.col("rid"), slot)
+
+    found = _meeting(edges, asked, spread, meeting.drawn, k, whole, once, draw_hash, static, by_rank, strategy)
+    return _with_times(found, hop, prop_time)
+
+
+def _uniform_by_rank(ranked: DataFrame, bounds: DataFrame, k: int, seed: int, whole: bool, prop_time: bool, hop: int,
+                     static: bool, strategy: str, once: bool) -> DataFrame:
     keep = ["rid", "snapshot", "ts", "start", "end"]
-    everyone = bounds
-    if shared:
-        bounds = _once(bounds)
     if whole:
         probes = bounds.select("node", F.col("end").alias("at"), *keep)
         placed = _count_before(ranked, probes, strategy).withColumn("n", F.col("hi"))
     else:
+        # rows that are equal keep a number each, unless they are to draw once
+        twin = F.lit(0).cast("bigint") if once else F.monotonically_increasing_id()
         both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")),
                                  F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
-        probes = bounds.select("node", *keep, both.alias("b")).select("node", "b.at", "b.side", *keep)
+        bounds = bounds.withColumn("_twin", twin)
+        bounds = bounds if once else freeze(bounds.select("node", *keep, "_twin"), "bounds")
+        probes = bounds.select("node", *keep, "_twin", both.alias("b")).select("node", "b.at", "b.side", *keep, "_twin")
         sides = _count_before(ranked, probes, strategy)
-        placed = (sides.groupBy("rid", "snapshot", "node", "ts", "start", "end")
+        placed = (sides.groupBy("rid", "snapshot", "node", "ts", "start", "end", "_twin")
                   .agg(F.max(F.when(F.col("side") == 1, F.col("hi"))).alias("hi"),
                        F.max(F.when(F.col("side") == 0, F.col("hi"))).alias("lo"))
                   .withColumn("n", F.col("hi") - F.col("lo")))
-    if shared:
-        placed = everyone.select("rid", *PROBE).join(placed.filter("n > 0").select(*PROBE, "hi", "n"), PROBE)
     slots = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
     picked = (placed.filter("n > 0").withColumn("slot", F.explode(slots))
               .withColumn("rk", F.col("hi") - draw(F.col("n"), seed, hop, F.col("snapshot"),
@@ -273,10 +399,8 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
                      snapshots: int = 1, window=0, seed: int = 0, prop_time: bool = False,
                      static: bool = False, strategy: str = "auto", max_rid: int | None = None) -> list[DataFrame]:
     """Samples of every hop, outermost (last) hop first. Every hop is written before the next reads it."""
-    if how == "uniform" or max(fanouts) > MAX_LAGS:
-        edges = rank_edges(edges, snapshots, window, static, strategy)
-        if len(fanouts) > 1:
-            edges = freeze(edges, "ranked")
+    if how == "uniform" and snapshots == 1 and window < 1e-6 and not static:
+        edges = edges.filter(F.col("ts") >= 0)  # as in rank_edges
     if max_rid is None:
         max_rid = roots.agg(F.max("rid")).first()[0]
     span = (max_rid if max_rid is not None else -1) + 1
@@ -289,7 +413,7 @@ def sample_multi_hop(edges: DataFrame, roots: DataFrame, fanouts: Sequence[int],
         else:
             layer = _later_hop(edges, current, k, how, hop, snapshots, window, seed, options)
         if hop + 1 < len(fanouts):
-            layer = freeze(layer, f"hop{hop}")
+            layer = _with_times(freeze(layer.select(*STORED), f"hop{hop}"), hop, prop_time)
             current = {s: frontier(current[s], layer, k, span, s) for s in current}
             span += span * k
         layers.append(layer)
@@ -304,26 +428,18 @@ def sample_preset(edges: DataFrame, roots: DataFrame, preset: SamplingPreset, se
 
 
 def _later_hop(edges, fronts, k, how, hop, snapshots, window, seed, options) -> DataFrame:
-    """Every snapshot has a frontier of its own and is asked in its own window, all in one probe.
-
-    The same (node, time) is reached from many roots, so questions are shared.
-    """
+    """Every snapshot has a frontier of its own and is asked in its own window, all in one probe."""
     if options["static"]:
         return sample_layer(edges, fronts[0], k, how, hop, None, 1, window, seed, **options)
-    bounds = None
+    asked = None
     for s, front in fronts.items():
-        part = window_bounds(front, 1, window) if snapshots == 1 else _snapshot_bounds(front, s, snapshots, window)
-        bounds = part if bounds is None else bounds.unionByName(part)
+        part = front.withColumn("snapshot", F.lit(s))
+        asked = part if asked is None else asked.unionByName(part)
+    spread, prop_time, strategy = _windowed(snapshots, window), options["prop_time"], options["strategy"]
     if how == "recent":
-        return recent_within(edges, bounds, k, options["prop_time"], hop, False, options["strategy"], shared=True)
+        return _recent_meeting(edges, asked, spread, k, prop_time, hop, False, strategy)
     whole = snapshots == 1 and window < 1e-6
-    return uniform_within(edges, bounds, k, seed, whole, options["prop_time"], hop, False, options["strategy"], shared=True)
-
-
-def _snapshot_bounds(front, snapshot, snapshots, window) -> DataFrame:
-    shift = (snapshots - 1 - snapshot) * window
-    return (front.withColumn("snapshot", F.lit(snapshot))
-            .withColumn("end", F.col("ts") - shift).withColumn("start", F.col("end") - window))
+    return _uniform_meeting(edges, asked, spread, k, seed, whole, prop_time, hop, False, strategy, False)
 
 
 def to_block(samples: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
