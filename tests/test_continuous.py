@@ -1,6 +1,7 @@
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidegraph.operators import continuous as C
@@ -141,3 +142,19 @@ def test_ingest_drops_duplicates_and_late_rows(spark, tmp_path):
         assert late.of(query) == 1
     finally:
         spark.streams.removeListener(late)
+
+
+def test_last_k_of_edges_without_numbers(spark):
+    """Null numbers are the oldest and stay null."""
+    class Kept:
+        value = []
+        def get(self): return iter(self.value)  # noqa: E704
+        def put(self, value): self.value = value  # noqa: E704
+
+    names = ("node", "ts", "seq", "dst", "eid", "salt")
+    processor = state.RecentNeighbors(2, None)
+    processor.kept = Kept()
+    rows = [Row(**dict(zip(names, v))) for v in ((7, 5, 1, None, None, 0), (7, None, 2, 3, 4, 0), (7, 5, None, 8, 9, 0))]
+    for part in (rows[:2], rows[2:]):
+        got = list(processor.handleInputRows((7, 0), iter(part), None))
+    assert [tuple(r) for r in got] == [(7, 0, 5, 1, None, None), (7, 0, 5, None, 8, 9)]

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from heapq import nlargest
+from itertools import chain
+from operator import itemgetter
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -28,6 +30,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _LONG = T.LongType()
 RECENT = T.StructType([T.StructField(c, _LONG) for c in ("ts", "seq", "dst", "eid")])
 RECENT_OUT = T.StructType([T.StructField("node", _LONG), T.StructField("salt", T.IntegerType()), *RECENT])
+_OUT_ROW = Row(*RECENT_OUT.fieldNames())
+
+
+def _age(edge: tuple) -> tuple:
+    """Order of edges (ts, seq, ...), those without a number first."""
+    return edge[0] is not None, edge[0] or 0, edge[1] is not None, edge[1] or 0
+
 
 class RecentNeighbors(StatefulProcessor):
     """Keeps the k newest edges of a key in a list state; idle keys expire after `ttl_ms`."""
@@ -38,17 +47,12 @@ class RecentNeighbors(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("kept", RECENT, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = RECENT.fieldNames()
-        best = pd.DataFrame(list(self.kept.get()) if self.kept.exists() else [], columns=columns)
-        for chunk in rows:
-            best = pd.concat([best, chunk[columns]]) if len(best) else chunk[columns]
-            best = best.sort_values(["ts", "seq"], ascending=False).head(self.k)
-        self.kept.put([tuple(int(v) for v in row) for row in best.itertuples(index=False)])
-        best = best.astype("int64")
-        best.insert(0, "salt", key[1])
-        best.insert(0, "node", key[0])
-        yield best
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # most keys have a few rows in a batch: plain tuples cost less than a frame for each key
+        best = nlargest(self.k, chain(self.kept.get(), map(itemgetter(*RECENT.fieldNames()), rows)), key=_age)
+        self.kept.put([tuple(edge) for edge in best])
+        for edge in best:
+            yield _OUT_ROW(key[0], key[1], *edge)
 
     def close(self) -> None:
         pass
@@ -64,7 +68,7 @@ def recent_neighbors_state(stream: DataFrame, k: int, salts: int = 16, ttl_ms: i
     Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass = ROCKSDB).
     """
     keyed = _salted(stream.select(F.col("src").alias("node"), "ts", "seq", "dst", "eid"), salts)
-    return keyed.groupBy("node", "salt").transformWithStateInPandas(
+    return keyed.groupBy("node", "salt").transformWithState(
         RecentNeighbors(k, ttl_ms), RECENT_OUT, "Update", "None" if ttl_ms is None else "ProcessingTime")
 
 
