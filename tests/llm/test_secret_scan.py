@@ -121,6 +121,13 @@ def test_learned_identifiers(spark):
     assert cost(secret_scan.Scanner(learned)) < cost(secret_scan.Scanner())
 
 
+def test_identifiers_are_learned_from_all_texts(spark):
+    """A word that three of many texts have is found wherever they stand; copies count once."""
+    texts = [f"text number{i}" for i in range(2_500)] + [f"rareword_handler in {i}" for i in range(3)] + ["copied_word"] * 3
+    learned = secret_scan.learn_identifiers(docs_of(spark, texts))
+    assert learned == ("number", "text", "rareword_handler")
+
+
 def test_repeats_of_a_secret_are_reported():
     scanner = secret_scan.Scanner()
     secret = "q7Zr2LxV9bKt4NwYp8Hd3MfJ"

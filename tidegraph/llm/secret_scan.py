@@ -11,7 +11,7 @@ Other copies of a candidate, before or after it, are left out of the surrounding
 a reported string is reported.
 
 The dictionary has two parts: the names of Python's own modules, and, if `learn_identifiers` is used,
-words that several documents of a bounded sample have.
+words that several documents have.
 
 Rows are independent: one pass over the text, no shuffle, and memory is that of one batch; the time
 is in proportion to the text. Null and empty texts have no spans; texts are scanned whole. Rows that
@@ -54,7 +54,7 @@ REACH = 64           # characters after a sensitive word in which a candidate ma
 AROUND = 256         # characters of surroundings on either side
 LETTERS = 2_000      # of text that gives the usual frequencies of characters
 LEAST_SHARE = 0.95   # of the bits that a random string of the candidate's alphabet and length holds
-SAMPLE_DOCUMENTS, MOST_WORDS = 2_000, 5_000     # from which, and how many words a dictionary learns
+MOST_WORDS = 5_000   # that a dictionary learns
 # forms that may look random and are no secrets: UUIDs, and paths or names of three or more plain parts
 HARMLESS = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
                       r"|/?(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,4})(?:[/_-](?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,4})){2,}")
@@ -80,16 +80,15 @@ def standard_identifiers() -> tuple[str, ...]:
     return (*sorted(names), string.digits * 2, string.ascii_lowercase, string.ascii_uppercase, "/usr/share/lib/local/bin/etc/var/home/")
 
 
-def learn_identifiers(docs: DataFrame, text_col: str = "text", documents: int = SAMPLE_DOCUMENTS, most: int = MOST_WORDS) -> tuple[str, ...]:
-    """The `most` words of letters and underscores that most of a sample of different texts have,
-    two at least. The sample is the texts with the `documents` lowest hashes."""
+def learn_identifiers(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> tuple[str, ...]:
+    """The `most` words of letters and underscores that most of all different texts have, two at least.
+
+    Equal texts count once: each of n copies counts 1/n, so that no text is moved for it."""
     texts = docs.select(column(text_col).alias("text")).filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
-    bound = texts.select("h").distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    if bound is None:
-        return ()
-    sample = texts.filter(F.col("h") <= bound).groupBy("h").agg(F.min("text").alias("text"))
-    words = sample.select("h", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]{4,24})"), F.lit(1)))).alias("w"))
-    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = texts.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]{4,24})"), F.lit(1)))
+    words = texts.join(copies, "h", "left").select(F.explode(found).alias("w"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    counted = words.groupBy("w").agg(F.round(F.sum("part")).cast("bigint").alias("n")).filter("n > 1")
     return tuple(r.w for r in counted.orderBy(F.desc("n"), "w").limit(most).collect())
 
 
