@@ -229,14 +229,15 @@ def _meeting(edges: DataFrame, asked: DataFrame, spread: Callable[[DataFrame], D
         copies = F.when(F.col("asks") == 0, F.sequence(F.lit(0), F.col("_parts") - 1)) \
             .otherwise(F.array(F.pmod(F.xxhash64("rid", "ts"), F.col("_parts")).cast("int")))
         placed = rows.withColumn("salt", F.explode(copies)).drop("_parts").repartition("node", "salt")
-    questions = spread(placed)
+    # edges have no window: the lowest time has none that fits a bigint
+    questions = spread(placed.withColumns({"at": F.col("ts"), "ts": F.when(F.col("asks") == 1, F.col("ts"))}))
     top = F.lit(float("inf") if kind == "double" else 1 << 62).cast(kind)
     zero = F.lit(0).cast(kind)
     end = top if static else F.coalesce(F.col("end").cast(kind), zero)
     ready = questions.select(
-        "node", "salt", "asks", F.col("ts").alias("at"), (zero if whole else F.coalesce(F.col("start").cast(kind), zero)).alias("start"),
+        "node", "salt", "asks", "at", (zero if whole else F.coalesce(F.col("start").cast(kind), zero)).alias("start"),
         end.alias("end"), "ts", "rid", F.col("snapshot").cast("int").alias("snapshot"), "dst", "eid")
-    ready = ready.sortWithinPartitions("node", "salt", "asks", "ts", "rid", "snapshot")
+    ready = ready.sortWithinPartitions("node", "salt", "asks", "at", "rid", "snapshot")
     hashes = {f"draw_{i}": F.when(F.col("asks") == 1, draw_hash(F.lit(i).cast("bigint"))).otherwise(0) for i in range(draws)}
     ready = ready.withColumns(hashes) if hashes else ready
     dst, eid = (edges.schema[c].dataType.simpleString() for c in ("dst", "eid"))
