@@ -18,8 +18,9 @@ from tidegraph.plans.storage import freeze, new_path, scratch
 
 GOOD = 0.3
 
-# Near-duplicates share 80 hundredths or more of their distinct five-word shingles.
-NEAR = {"words": 5, "similar": 80}
+# Near-duplicates share 80 hundredths or more of their distinct five-word shingles. SimHash links those
+# whose fingerprints differ in up to 16 bits of 64; what it doesn't meet is searched for exactly.
+NEAR = {"words": 5, "similar": 80, "bits": 16}
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: the one with the smallest id. Rows are told
-    apart by number, whether their ids are repeated or missing."""
+    """One row of each near-duplicate group stays: the one with the smallest id. Groups are linked by
+    SimHash, confirmed and completed by the shared shingles. Rows are told apart by number, whether their ids are repeated or missing."""
     row = free_name(docs, "row")
     rows = freeze(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     groups = shingle_pairs.similar_rows(rows.select(F.col(row).alias("row"), "text"), **NEAR)

@@ -85,3 +85,40 @@ def test_rows_of_equal_and_missing_ids(spark):
     """Near copies go whatever their ids, other texts stay."""
     a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
     assert kept(spark, [a, b, b, c, c, a], [7, 7, 8, None, None, None]) == sorted([a, b, c])
+
+
+def test_simhash_links_first(spark, monkeypatch):
+    """Close copies are linked by fingerprints alone; with no exact pass after it, they are one group."""
+    text = prose(300, 700)
+    draw = random.Random(5)
+    texts = [text] + [changed(text, 1, draw) for _ in range(10)] + [prose(300, 701)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    pairs = shingle_pairs._alike(rows, 5, corpus_pipeline.NEAR["bits"]).collect()
+    met = {frozenset((p.a, p.b)) for p in pairs}
+    assert len({i for p in met for i in p if i < 11}) > 8 and all(len(p) == 2 for p in met)
+    asked = []
+    links = shingle_pairs.near_links
+    monkeypatch.setattr(shingle_pairs, "near_links", lambda *a, **o: asked.append(o) or links(*a, **o))
+    assert kept(spark, texts) == sorted([texts[0], texts[11]]) and asked == [{"max_bits": corpus_pipeline.NEAR["bits"]}]
+
+
+def test_rows_made_grow_with_the_group():
+    """Loosely alike sets under one key: the likeliest pairs are fewer than the sets, and connect them."""
+    import numpy as np
+    import pyarrow as pa
+    draw = np.random.default_rng(1)
+
+    def made(m, likeliest):
+        base = draw.integers(0, 1 << 63, 400, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[20 + i % 20:], draw.integers(0, 1 << 63, 20, dtype=np.uint64)]) for i in range(m)]
+        nodes = np.arange(m)
+        one = np.zeros(m, np.int64)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(one), pa.array(one), pa.array(one), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array(one.astype(np.int32)),
+             pa.array(nodes), pa.array([shingle_pairs._sketch(s) for s in sets], pa.binary())], ["key", "bi", "bj", "node", "n", "at", "root", "made"])
+        return [(a, b) for out in shingle_pairs._left_apart(80, likeliest)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+
+    for m in (10, 40, 160):
+        forest = made(m, True)
+        assert len(forest) == m - 1 and {i for p in forest for i in p} == set(range(m))
+        assert len(made(m, False)) == m * (m - 1) // 2

@@ -1,4 +1,10 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word-shingle sets.
+"""Near-duplicate groups by SimHash, confirmed and completed by the Jaccard similarity of word-shingle sets.
+
+SimHash comes first: every distinct set's text has a 64-bit fingerprint, fingerprints that differ in at
+most `bits` bits and share a half up to one bit are linked (simhash.near_links), and a link stands if
+the whole sets are similar enough. Close copies are linked so. At a share of 80 hundredths some 15 % of
+the bits differ, and many such pairs have no half in common; an exact search of what is still apart
+follows, and nothing is missed.
 
 Two sets of which `similar` hundredths are shared have at least that share of the larger one in
 common. So with the shingles in any one order, they share one among the first n - ceil(share * n) + 1
@@ -11,13 +17,14 @@ with enough of them, however many passages or lines it shares with others. The r
 orders, one after the other:
 
 1. By hash, shingles that are frequent in a sample last. Of each key held by several sets, the set
-   with most such keys, which is the most typical of its copies, is compared with the others, under
-   two keys of each set. This links groups of copies in proportion to their size.
+   with most such keys, which is the most typical of its copies, is compared with the others that
+   SimHash has not linked to it, under two keys of each set.
 2. Sets that still share a key with a set of another component are looked at again, as components:
    first by the counted part, then, if that leaves them, in an order of all their shingles: those
    that only one component has come first, then the rarer ones. A set of which less than `similar`
    hundredths occur in other components can't be similar to anything left, and goes without any
-   comparison. What is left is compared, across components only, in blocks.
+   comparison. What is left is compared, across components only, in blocks: first the likeliest pairs
+   that would connect the sets of a block, fewer than it has sets, then all that these left apart.
 
 Scale: equal sets are one entry. No pass holds a key's sets in memory but the last, a block at a
 time. All that is written on the way is deleted when the result is.
@@ -36,10 +43,12 @@ from pyspark.sql import functions as F
 from ..plans.storage import freeze, new_path, scratch, write_to
 from .common import map_arrow, sliced, texts_of
 from .components import connected_components
+from .simhash import fingerprints, near_links
 
 SEED = 42
 BLOCK = 1_024          # sets on either side of one comparison
 SKETCH = 4_096         # classes of hashes, a multiple of 64
+BITS = 16              # of 64 that may differ in a SimHash link
 PART = 3               # one shingle in so many is counted over all sets
 SAMPLE = 16            # one set in so many is counted for the order
 OFTEN = 8              # a shingle in so many sampled sets is frequent
@@ -192,9 +201,36 @@ def _with_most_typical(similar: int):
     return run
 
 
-def _left_apart(similar: int):
+def _most_shared(n: int, m: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """The most shingles that a set of n can share with sets of m by their sketches' classes."""
+    return np.minimum(n - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), m - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+
+
+def _likeliest(node, n, at, root, classes, similar: int) -> tuple[list[int], list[int]]:
+    """Of the possible pairs of different components, a spanning forest of the most similar by sketch."""
+    size = len(node)
+    left, best, near = np.ones(size, bool), np.full(size, -1.0), np.full(size, -1)
+    a, b = [], []
+    for _ in range(size):
+        k = int(np.argmax(np.where(left, best, -2.0)))
+        if near[k] >= 0:
+            a.append(node[near[k]])
+            b.append(node[k])
+        left[k] = False
+        j = np.flatnonzero(left)
+        linked = j[root[j] == root[k]]
+        best[linked], near[linked] = 2.0, -1
+        j = j[(root[j] != root[k]) & _can_be_similar(n[k], at[k], n[j], at[j], similar)]
+        most = _most_shared(n[k], n[j], classes[k], classes[j])
+        share = most / np.maximum(n[k] + n[j] - most, 1)
+        closer = (100 * most >= similar * (n[k] + n[j] - most)) & (share > best[j])
+        best[j[closer]], near[j[closer]] = share[closer], k
+    return a, b
+
+
+def _left_apart(similar: int, likeliest: bool):
     """From rows sorted by (key, block, block): the pairs of different components that positions and
-    sketches leave possible."""
+    sketches leave possible, or of these a forest that is at most as large as the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _Pairs()
         for key, bi, bj, node, n, at, root, made in _groups(batches, 3):
@@ -202,10 +238,12 @@ def _left_apart(similar: int):
             for s, e in zip(start, np.r_[start[1:], len(key)]):
                 classes = np.stack([np.frombuffer(m, np.uint64, offset=8) for m in made[s:e]])
                 found = []
-                for k in range(s, e):
-                    j = s + np.flatnonzero((root[k] != root[s:e]) & _can_be_similar(n[k], at[k], n[s:e], at[s:e], similar))
-                    mine, theirs = classes[k - s], classes[j - s]
-                    most = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                if likeliest:
+                    found = pairs.new(*(np.array(c, np.int64) for c in _likeliest(node[s:e], n[s:e], at[s:e], root[s:e], classes, similar)))
+                for k in range(s, e) if not likeliest else ():
+                    # either way round once
+                    j = k + 1 + np.flatnonzero((root[k] != root[k + 1:e]) & _can_be_similar(n[k], at[k], n[k + 1:e], at[k + 1:e], similar))
+                    most = _most_shared(n[k], n[j], classes[k - s], classes[j - s])
                     j = j[100 * most >= similar * (n[k] + n[j] - most)]
                     found += pairs.new(np.full(len(j), node[k]), node[j])
                 if found:
@@ -255,9 +293,30 @@ def _links(possible: DataFrame, texts: DataFrame, words: int, similar: int) -> D
             sets = [shingle_set(t, words).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "made"])
 
+    spark = texts.sparkSession
     needed = possible.select(F.col("a").alias("row")).union(possible.select("b")).distinct()
     sets = texts.join(needed, "row", "left_semi").select("row", "text").transform(map_arrow, whole, "node bigint, made binary")
-    return _passing(possible, freeze(sets, "whole-sets"), _similar_sets, similar)
+    path = new_path(spark, "links")
+    with scratch(spark):
+        return write_to(_passing(possible, freeze(sets, "whole-sets"), _similar_sets, similar), path)
+
+
+def _alike(texts: DataFrame, words: int, bits: int) -> DataFrame:
+    """(a, b), written: rows of (row, text) that SimHash links, enough to connect every group of fingerprints."""
+    spark = texts.sparkSession
+    path = new_path(spark, "alike")
+    with scratch(spark):
+        marked = freeze(fingerprints(texts, "row", "text", words), "fingerprints")
+        entries = freeze(marked.groupBy("fp").agg(F.min("id").alias("id")), "entries")
+        equal = marked.join(entries.withColumnRenamed("id", "b"), "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
+        return write_to(near_links(entries.select("id", "fp"), max_bits=bits).union(equal).distinct(), path)
+
+
+def _of_two_components(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are of different components."""
+    for side in ("a", "b"):
+        pairs = _rooted(pairs.withColumnRenamed(side, "node"), roots).withColumnsRenamed({"node": side, "root": f"root_{side}"})
+    return pairs.filter("root_a <> root_b").select("a", "b")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -294,29 +353,31 @@ def _second_keys(shingles: DataFrame, similar: int) -> DataFrame:
     return placed.filter(F.col("nth") <= needed).select("key", "node", "n", at.cast("int").alias("at"), "root")
 
 
-def _blocked(keyed: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
-    """The possible pairs of different components that share a key. keyed: key, node, n, at, root, written."""
+def _blocked(keyed: DataFrame, sketches: DataFrame, similar: int, likeliest: bool) -> DataFrame:
+    """The possible pairs of different components that share a key, or the likeliest of each block.
+    keyed: key, node, n, at, root, written."""
     blocks = _apart(keyed).select("key", F.ceil(F.col("size") / BLOCK).cast("bigint").alias("blocks"))
     placed = (keyed.join(blocks, "key").join(sketches, "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
               .withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
               .select("key", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "node", "n", "at", "root", "made"))
     return (placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node")
-            .transform(map_arrow, _left_apart(similar), "a bigint, b bigint"))
+            .transform(map_arrow, _left_apart(similar, likeliest), "a bigint, b bigint"))
 
 
-def similar_rows(texts: DataFrame, words: int, similar: int) -> DataFrame:
+def similar_rows(texts: DataFrame, words: int, similar: int, bits: int = BITS) -> DataFrame:
     """(row bigint, text) with different rows, written -> (row, root): the smallest row that is
-    reachable over pairs of which `similar` hundredths or more of all shingles are shared.
+    reachable over pairs of which `similar` hundredths or more of all shingles are shared. `bits`
+    decides how many of them SimHash links, never which are found.
 
     Null and blank texts have no shingles; they are equal to each other. Other columns aren't read.
     """
     spark = texts.sparkSession
     path = new_path(spark, "near-duplicates")
     with scratch(spark):
-        return write_to(_similar_rows(texts.select("row", "text"), words, similar), path)
+        return write_to(_similar_rows(texts.select("row", "text"), words, similar, bits), path)
 
 
-def _similar_rows(texts: DataFrame, words: int, similar: int) -> DataFrame:
+def _similar_rows(texts: DataFrame, words: int, similar: int, bits: int) -> DataFrame:
     digests = freeze(texts.transform(map_arrow, _digests(words), "row bigint, digest binary, sketch binary, n int, counted int"), "digests")
     equal = freeze(digests.groupBy("digest").agg(F.min("row").alias("node")), "equal-sets")
     sets = freeze(digests.join(equal.select(F.col("node").alias("row")), "row", "left_semi")
@@ -324,6 +385,10 @@ def _similar_rows(texts: DataFrame, words: int, similar: int) -> DataFrame:
     sketches = sets.select("node", "made")
     once = texts.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select("row", "text")
 
+    alike = _passing(_alike(once, words, bits), sketches, _similar_sketches, similar)
+    near = _links(alike, texts, words, similar)
+    close = connected_components(near)
+
     hashed = once.transform(map_arrow, _hashes(words, _counted), "key bigint, node bigint")
     counted = freeze(hashed.repartition("key").sortWithinPartitions("key").transform(map_arrow, _of_several, "key bigint, node bigint"), "counted")
     possible = freeze(_still_possible(sets.select("node", "n", "counted"), counted, similar), "possible")
@@ -342,7 +407,8 @@ def _similar_rows(texts: DataFrame, words: int, similar: int) -> DataFrame:
     ordered = (shared.join(typical, "node").select("key", "node", "n", "at", chosen.alias("chosen"), F.col("keys").alias("keys"))
                .repartition("key").sortWithinPartitions("key", F.desc("keys"), "node").drop("keys"))
     pairs = ordered.transform(map_arrow, _with_most_typical(similar), "a bigint, b bigint").distinct()
-    links = _links(_passing(freeze(pairs, "first-pairs"), sketches, _similar_sketches, similar), texts, words, similar)
+    first = freeze(_of_two_components(pairs, close), "first-pairs")
+    links = near.union(_links(_passing(first, sketches, _similar_sketches, similar), texts, words, similar))
     roots = connected_components(links)
 
     # sets that share a key with another component are looked at again, unless the counted part rules them out
@@ -355,8 +421,13 @@ def _similar_rows(texts: DataFrame, words: int, similar: int) -> DataFrame:
     shingles = (texts.join(again.select("row"), "row", "left_semi").select("row", "text")
                 .transform(map_arrow, _hashes(words), "key bigint, node bigint").join(again.select(F.col("row").alias("node"), "n"), "node"))
     keyed = freeze(_second_keys(freeze(_rooted(shingles, roots).select("key", "node", "n", "root"), "all-shingles"), similar), "second-keys")
-    rest = freeze(_blocked(keyed, sketches, similar).distinct(), "left-apart")
-    if not rest.isEmpty():
-        roots = connected_components(links.union(_links(rest, texts, words, similar)))
+    tried = freeze(_blocked(keyed, sketches, similar, True).distinct(), "likeliest")
+    if not tried.isEmpty():
+        links = links.union(_links(tried, texts, words, similar))
+        roots = connected_components(links)
+        keyed = _rooted(keyed.drop("root"), roots).select(*keyed.columns)
+        rest = freeze(_blocked(freeze(keyed, "keys-again"), sketches, similar, False).distinct().join(tried, ["a", "b"], "left_anti"), "left-apart")
+        if not rest.isEmpty():
+            roots = connected_components(links.union(_links(rest, texts, words, similar)))
     grouped = equal.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return digests.select("row", "digest").join(grouped, "digest").select("row", "root")
