@@ -107,3 +107,40 @@ def test_vectors_in_blocks(spark, how, dim, block):
     assert got == {k: [pytest.approx(fn(c)) for c in zip(*(v for q, v in rows if q == k))] for k in range(3)}
     if dim == 7:
         assert got == {r.k: r.agg for r in A.vector_agg(df, ["k"], "v", dim, how).collect()}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 150, 0])
+def test_aggregates_wherever_vectors_meet(spark, samples, feats, most, monkeypatch):
+    """All vectors broadcast, the most used ones, or none: the same sums. Repeated and missing ids count as they are."""
+    monkeypatch.setattr(A, "MAX_BYTES", most)
+    twice = feats.filter("id <> 3").union(feats.filter("id = 2"))
+    get = lambda how: {r.rid: r.agg for r in A.neighbor_aggregate(samples, twice, 2, how, ["rid"]).collect()}
+    assert get("mean") == {0: pytest.approx([5 / 3, -5 / 3])}
+    assert get("gcn") == {0: pytest.approx([2.5, -2.5]), 1: [4, -4]}
+    roots = spark.createDataFrame([(0,), (1,), (2,)], "rid long")
+    got = {r.rid: r.agg for r in A.weighted_neighbor_sum(samples, roots, twice, "score", 2).collect()}
+    first = 1 / (1 + math.exp(2))
+    assert got[0] == pytest.approx([first + 4 * (1 - first), -first - 4 * (1 - first)]) and got[1] == got[2] == [0, 0]
+
+
+def test_vectors_are_not_shuffled(samples, feats):
+    """Rows are shuffled as ids; no vector, and no sums of them, after their vectors are there."""
+    roots = samples.select("rid").distinct()
+    for got in (A.neighbor_aggregate(samples, feats, 2, "gcn", ["rid"]), A.weighted_neighbor_sum(samples, roots, feats, "score", 2)):
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1]
+        after = plan[:plan.index("BroadcastHashJoin")] if "rid" in got.columns and len(got.columns) == 2 else plan
+        assert sum("REPARTITION_BY_NUM" in line for line in plan.splitlines()) == 1
+        assert "_d0" in after and not any("Exchange hashpartitioning" in line and "_d0" in line for line in after.splitlines())
+
+
+def test_vectors_as_text(spark):
+    """As rounding, casting and joining in Spark: ties, signs, nulls, empty lists."""
+    from pyspark.sql import functions as F
+
+    from tidegraph.queries.common import whole
+    values = [[0.0078125, -0.0078125, 0.0234375, None, 1.5], None, [], [None], [-0.0, 4.999999999999999e-07, 5e-07, -5e-07, 123456.789]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v array<double>")
+
+    for column in (F.col("v"), F.col("v").cast("array<float>")):
+        got = rows.withColumn("v", column).select("i", whole("v").alias("got"), F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",").alias("want"))
+        assert all(r.got == r.want for r in got.collect())

@@ -4,6 +4,10 @@ Vectors are aggregated by one aggregate per dimension: a single hash aggregation
 combine, instead of exploding every vector into `dim` rows. Vectors of more than BLOCK numbers are cut
 into blocks that are keys of their own, so the width of a row, and what code is generated for it, stay
 the same however long the vectors are.
+
+Vectors go to the ids, not ids to the vectors: the rows of a group are brought together while they
+are only ids, the vectors most of them ask for are broadcast within a measured bound, and the group is
+aggregated where it is. Only rows of ids beyond that bound meet their vector in a shuffle of their own.
 """
 
 from __future__ import annotations
@@ -52,16 +56,54 @@ def vector_agg(df: DataFrame, keys: Sequence[str], vec: str, dim: int, how: str,
     return reduced.select(*keys, F.array(*values).alias(name))
 
 
+# Rows of ids in one task that aggregates; what is broadcast to it.
+GROUP_ROWS = 1_000_000
+MAX_BYTES = 64 << 20
+
+
+def _written(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows that are read several times, and into how many parts they go by keys. The number is fixed,
+    because the rows become much wider after they are placed."""
+    rows = freeze(rows, "ids")
+    parts = -(-rows.count() // GROUP_ROWS)
+    return rows, max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _aggregated(rows: DataFrame, placed: DataFrame, feats: DataFrame, keys: Sequence[str], dim: int, how: str, value=None,
+                max_bytes: int | None = None) -> DataFrame:
+    """(keys, agg) of the vectors of `placed`: rows (keys, id, ...) that lie together by their keys; `rows`
+    are the same, written. value: what is aggregated, of a row with `feat`; feat itself if None."""
+    def parts(of: DataFrame) -> DataFrame:
+        return of.withColumn("feat", value) if value is not None else of
+
+    uses = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_uses"))
+    wanted = freeze(feats.select("id", "feat").join(uses, "id"), "wanted-vectors")
+    n, width = wanted.agg(F.count(F.lit(1)), F.max(F.size("feat"))).first()
+    most = (MAX_BYTES if max_bytes is None else max_bytes) // (32 + 8 * max(width or 0, 0))
+    if n <= most:
+        near = placed.join(F.broadcast(wanted.drop("_uses")), "id")
+        return vector_agg(parts(near), keys, "feat", dim, how)
+    # one vector in so many bytes: the most used ids, all rows of an id on the same side
+    often = freeze(wanted.groupBy("id").agg(F.max("_uses").alias("_uses"), F.count(F.lit(1)).alias("_n"))
+                   .orderBy(F.desc("_uses"), "id").limit(most).filter("_n = 1").select("id"), "often-used")
+    few = F.broadcast(often)
+    near = placed.join(F.broadcast(wanted.join(few, "id", "left_semi").drop("_uses")), "id")
+    far = placed.join(few, "id", "left_anti").join(wanted.join(few, "id", "left_anti").drop("_uses"), "id")
+    return vector_agg(parts(near.unionByName(far)), keys, "feat", dim, how)
+
+
 def neighbor_aggregate(samples: DataFrame, feats: DataFrame, dim: int, how: str = "mean",
                        keys: Sequence[str] = ROOT_KEYS) -> DataFrame:
     """Mean / max / sum / self-inclusive mean ("gcn") of the neighbours' vectors per root."""
     if how not in HOW:
         raise ValueError(f"how must be one of {HOW}")
-    neighbors = samples.select(*keys, "root_node", F.col("src_node").alias("id"))
+    neighbors = samples.select(*keys, F.col("src_node").alias("id"))
     if how == "gcn":
-        selves = samples.select(*keys, "root_node").distinct().withColumn("id", F.col("root_node"))
-        neighbors, how = neighbors.unionByName(selves), "mean"
-    return vector_agg(neighbors.join(feats.select("id", "feat"), "id"), keys, "feat", dim, how)
+        pairs = freeze(samples.select(*keys, "root_node", F.col("src_node").alias("id")), "neighbors")
+        selves = pairs.select(*keys, F.col("root_node").alias("id")).distinct()
+        neighbors, how = pairs.drop("root_node").unionByName(selves), "mean"
+    rows, parts = _written(neighbors, keys)
+    return _aggregated(rows, rows.repartition(parts, *keys), feats, keys, dim, how)
 
 
 def neighbor_sum(samples: DataFrame, value: str, keys: Sequence[str] = ROOT_KEYS, name: str = "total") -> DataFrame:
@@ -90,9 +132,9 @@ def segment_softmax(samples: DataFrame, score: str, keys: Sequence[str] = ROOT_K
 def weighted_neighbor_sum(samples: DataFrame, roots: DataFrame, feats: DataFrame, score: str, dim: int,
                           keys: Sequence[str] = ("rid",)) -> DataFrame:
     """Softmax-weighted sum of neighbour vectors; zeros for roots without neighbours."""
-    weighted = (segment_softmax(samples.select(*keys, "src_node", score), score, keys)
-                .join(feats.select(F.col("id").alias("src_node"), "feat"), "src_node"))
+    rows, parts = _written(samples.select(*keys, F.col("src_node").alias("id"), score), keys)
+    weighted = segment_softmax(rows.repartition(parts, *keys), score, keys).drop(score)
     scaled = F.transform("feat", lambda x: x.cast("double") * F.col("weight"))
-    sums = vector_agg(weighted.withColumn("_w", scaled), keys, "_w", dim, "sum", "_sum")
+    sums = _aggregated(rows, weighted, feats, keys, dim, "sum", scaled).withColumnRenamed("agg", "_sum")
     return (roots.join(sums, list(keys), "left")
             .withColumn("agg", F.coalesce("_sum", F.array_repeat(F.lit(0.0), dim))).drop("_sum"))
