@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.texts import in_millionths
 from ..operators.graph import add_reverse
 from ..plans.ordering import dense_ordinal
 
@@ -32,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def whole(column):
     """All components of a vector in millionths, as one text: every number is compared."""
-    return F.array_join(F.transform(column, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+    return in_millionths(column)
 
 
 def whole_sql(vector: str) -> str:

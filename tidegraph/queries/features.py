@@ -27,10 +27,16 @@ def recent5(spark, sf):
 FRONT = "front AS (SELECT rid, -1 AS slot, node FROM roots UNION ALL SELECT rid, slot, src_node FROM recent5)"
 
 
-def front_nodes(spark, sf):
+def front_nodes(spark, sf, samples=None):
     """Every root (slot -1) and every sampled node."""
+    samples = recent5(spark, sf) if samples is None else samples
     return event_roots(spark, sf).select("rid", F.lit(-1).cast("bigint").alias("slot"), "node").unionByName(
-        recent5(spark, sf).select("rid", F.col("slot").cast("bigint").alias("slot"), F.col("src_node").alias("node")))
+        samples.select("rid", F.col("slot").cast("bigint").alias("slot"), F.col("src_node").alias("node")))
+
+
+def sampled_once(spark, sf):
+    """The samples, written: both the hot set and the frontier, in its two parts, are made of them."""
+    return freeze(recent5(spark, sf).select("rid", "slot", "src_node"), "samples")
 
 
 @query(f"WITH {FRONT} SELECT rid, slot, node, {whole_sql('feat')} AS feat FROM front LEFT JOIN nv ON id = node")
@@ -42,14 +48,16 @@ def attach_node_features(spark, sf):
 @query(f"WITH {FRONT} SELECT rid, slot, node, {whole_sql('feat')} AS feat FROM front LEFT JOIN nv ON id = node")
 def attach_with_hot(spark, sf):
     """The same rows, the most used ids joined by broadcast."""
-    front = E.attach_with_hot(front_nodes(spark, sf), node_vectors(spark, sf), hot(spark, sf))
+    samples = sampled_once(spark, sf)
+    front = E.attach_with_hot(front_nodes(spark, sf, samples), node_vectors(spark, sf), hot(spark, sf, samples))
     return front.select("rid", "slot", "node", whole("feat").alias("feat"))
 
 
 @query(f"WITH {FRONT} SELECT rid, slot, node, {whole_sql('feat')} AS feat FROM front LEFT JOIN nv ON id = node")
 def attach_with_hot_salted(spark, sf):
     """The same rows when the hot vectors are too large to broadcast."""
-    front = E.attach_with_hot(front_nodes(spark, sf), node_vectors(spark, sf), hot(spark, sf), max_bytes=0, salts=4)
+    samples = sampled_once(spark, sf)
+    front = E.attach_with_hot(front_nodes(spark, sf, samples), node_vectors(spark, sf), hot(spark, sf, samples), max_bytes=0, salts=4)
     return front.select("rid", "slot", "node", whole("feat").alias("feat"))
 
 
@@ -163,9 +171,10 @@ HOT = """hot AS (SELECT * FROM (SELECT src_node AS id, count(*) AS n,
     WHERE rank < floor(0.2 * (SELECT count(DISTINCT src_node) FROM recent5)))"""
 
 
-def hot(spark, sf):
+def hot(spark, sf, samples=None):
     """A fifth of the ids that were sampled."""
-    counts = E.access_counts(recent5(spark, sf), "src_node")
+    # counted, and read twice to be ranked
+    counts = freeze(E.access_counts(recent5(spark, sf) if samples is None else samples, "src_node"), "access-counts")
     return E.hot_set(counts, 0.2, counts.count())
 
 
